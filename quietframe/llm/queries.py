@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm import exact_dedup, packing, token_store, url_filter
+from quietframe.llm import exact_dedup, packing, simhash, token_store, url_filter
 from quietframe.llm.common import Scratch
 
 
@@ -30,6 +30,11 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), spark, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257, end_id=2)
 
 
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), spark)
+    return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     out = index.dedup(table(spark, sf_dir, "documents"), scratch := Scratch(spark, "op9"))
@@ -38,7 +43,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_url_filter, op7_token_store, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_url_filter, op7_token_store, op8_simhash_golay, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
