@@ -166,3 +166,20 @@ def unique_rows(spark: SparkSession, names: list[str], taken: list[str]) -> dict
         low.add(new.lower())
         out[name] = new
     return out
+
+
+def whole_groups(batches, columns: int):
+    """From batches of rows sorted by their first column: lists of `columns` arrays that each hold whole groups of it. A column of
+    binary rows comes as an object array."""
+    kept: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        kept = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
+        last = int(np.searchsorted(kept[0], kept[0][-1]))
+        if last:
+            yield [c[:last] for c in kept]
+            kept = [c[last:] for c in kept]
+    if kept and len(kept[0]):
+        yield kept

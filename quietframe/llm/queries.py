@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm import exact_dedup, packing, simhash, token_store, url_filter
+from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_store, url_filter
 from quietframe.llm.common import Scratch
 
 
@@ -20,6 +20,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), spark, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), spark)
+    return found.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"), "selected")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spark)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, label double")
     judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.train(spark, labelled))
@@ -43,7 +53,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_url_filter, op7_token_store, op8_simhash_golay, op9_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), spark)
+    return found.select("doc_id", "lines_removed", F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_importance_resampling, op4_decontaminate, op5_url_filter, op7_token_store, op8_simhash_golay, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
