@@ -12,18 +12,21 @@ import re
 import numpy as np
 
 _DOUBLE = re.compile(r"\s\s")
-#: White space to Python, but not to the tokenizers: such texts are encoded whole.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Marks that may follow a word. No apostrophe: contractions are tokens of their own.
+_MARKS = ".,;:!?%&*$#|"
+#: Letters whose lower case depends on their place or has several characters.
+_CASED = re.compile("[\u0130\u03a3]")
 
 
 class Encoder:
     """ids(texts) -> little-endian unsigned 32-bit ids of each text, without special tokens.
 
     spaced: a chunk carries the space before it (byte-level merges); else white space is dropped before merging and only parts chunks.
-    At most `most` chunks are remembered.
+    Chunks are looked up without that space; one that has none before it, as the first of a text, is marked by a leading "\\0".
+    About `most` chunks and twice as many stems are remembered.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,6 +36,7 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.spaced = self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids
 
@@ -40,18 +44,40 @@ class Encoder:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, parts: set[str]) -> None:
-        """Adds parts to what is known. When that is full it becomes the older half, from which words that come again return."""
-        if len(self.known) + len(parts) > self.most // 2:
-            self.older, self.known = self.known, {}
-        new = []
-        for p in parts:
-            ids = self.older.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                self.known[p] = ids
+        """Adds parts to what is known. When that is full it becomes the older half, from which words that come again return.
+
+        A part that is letters or digits and then ASCII marks is known once its stem and its marks are: both tokenizers split there before they
+        merge. Where the tokenizer lowers letters, stems of either case share an entry.
+        """
+        if len(self.known) + len(parts) > self.most:
+            self.known = {}
+        stems, older = self.stems, self.older
+        if len(stems) > self.most:
+            self.older, self.stems = older, stems = stems, {}
+        split: list[tuple[str, str, str]] = []
+        new: set[str] = set()
+        for key in parts:
+            p = key if not self.spaced else key[1:] if key[:1] == "\0" else f" {key}"
+            stem = p.rstrip(_MARKS)
+            marks = p[len(stem) :]
+            if marks and not (stem and stem[-1].isalnum()) or not p.isascii() and _CASED.search(p):
+                stem, marks = p, ""
+            elif not self.spaced:
+                stem = stem.lower()
+            for x in (stem, marks):
+                if x and x not in stems:
+                    if x in older:
+                        stems[x] = older[x]
+                    else:
+                        new.add(x)
+            split.append((key, stem, marks))
         if new:
-            self.known.update(zip(new, self.whole(new), strict=True))
+            order = list(new)
+            stems.update(zip(order, self.whole(order), strict=True))
+        known = self.known
+        stems[""] = b""
+        for key, stem, marks in split:
+            known[key] = stems[stem] + stems[marks] if marks else stems[stem]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -61,17 +87,18 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _ODD.search(text):
-                out[i] = self.whole([text])[0]
+            if "\0" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+                out[i] = self.whole([text])[0]  # our own mark, and white space to Python alone
                 continue
             if not self.spaced:
                 parts = text.split()
             elif _DOUBLE.search(text):
                 # Cut only where a single space stands between two characters that aren't space.
-                parts = re.split(r"(?<=\S)(?= \S)", text)
+                parts = [x if x[:1] == " " else f"\0{x}" for x in re.split(r"(?<=\S)(?= \S)", text)]
+                parts = [x[1:] if x[0] == " " else x for x in parts]
             else:
                 parts = text.split(" ")
-                parts = [parts[0], *[f" {x}" for x in parts[1:]]]
+                parts[0] = f"\0{parts[0]}"
             ids = list(map(known, parts))
             if None in ids:
                 missing.update(p for p, x in zip(parts, ids, strict=True) if x is None)
@@ -79,10 +106,11 @@ class Encoder:
             else:
                 out[i] = b"".join(ids)
         if late:
+            old = known
             self._learn(missing)
-            known, older = self.known.get, self.older.get
+            known = self.known.get
             for i, parts in late:
-                out[i] = b"".join([x if (x := known(p)) is not None else older(p) for p in parts])
+                out[i] = b"".join([x if (x := known(p)) is not None else old(p) for p in parts])
         return out
 
 
