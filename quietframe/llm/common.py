@@ -38,6 +38,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def folder(self, name: str) -> str:
+        """An empty folder for files that tasks write."""
+        self._fs.mkdirs(self._path(self.path(name)))
+        return self.path(name)
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it again: its lineage is cut and a lost executor costs nothing that was written."""
         df.write.mode("overwrite").parquet(self.path(name))

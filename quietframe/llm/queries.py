@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_store, url_filter
+from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_store, url_filter, warc
 from quietframe.llm.common import Scratch
 
 
@@ -36,6 +36,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"), spark, least=0)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), spark, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257, end_id=2)
 
@@ -58,7 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines_removed", F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_importance_resampling, op4_decontaminate, op5_url_filter, op7_token_store, op8_simhash_golay, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_importance_resampling, op4_decontaminate, op5_url_filter, op6_warc_archive, op7_token_store, op8_simhash_golay, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """

@@ -166,7 +166,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
         for batch in batches:
             for part in slices(batch, "text"):
                 if writer is None:
-                    stream = fs.open_output_stream(path)
+                    stream = fs.open_output_stream(path, compression=None)
                     writer = TokenWriter(stream, bits)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).ids(part.column(1).to_pylist()), strict=True):
                     writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
@@ -204,10 +204,5 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[dict]) -> DataF
 
 
 def store_and_read(docs: DataFrame, spark: SparkSession, tokenizer: str, vocabulary: int, end_id: int) -> DataFrame:
-    scratch = Scratch(spark, "tokens")
-    manifest = write_tokens(docs, scratch.path("files"), tokenizer, vocabulary, end_id, shuffle_partitions(spark)) if _ready(scratch) else []
-    return read_tokens(spark, scratch.path("files"), manifest)
-
-
-def _ready(scratch: Scratch) -> bool:
-    return scratch._fs.mkdirs(scratch._path(scratch.path("files")))
+    folder = Scratch(spark, "tokens").folder("files")
+    return read_tokens(spark, folder, write_tokens(docs, folder, tokenizer, vocabulary, end_id, shuffle_partitions(spark)))
