@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are done, rather than when the driver happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(self.path(name)), True)
 
@@ -173,16 +179,16 @@ def unique_rows(spark: SparkSession, names: list[str], taken: list[str]) -> dict
     return out
 
 
-def whole_groups(batches, columns: int):
-    """From batches of rows sorted by their first column: lists of `columns` arrays that each hold whole groups of it. A column of
-    binary rows comes as an object array."""
+def whole_groups(batches, columns: int, low_bits: int = 0):
+    """From batches of rows sorted by their first column: lists of `columns` arrays that each hold whole groups of it (of what is over its
+    low_bits lowest bits). A column of binary rows comes as an object array."""
     kept: list[np.ndarray] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
         kept = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
-        last = int(np.searchsorted(kept[0], kept[0][-1]))
+        last = int(np.searchsorted(kept[0], kept[0][-1] >> low_bits << low_bits))
         if last:
             yield [c[:last] for c in kept]
             kept = [c[last:] for c in kept]

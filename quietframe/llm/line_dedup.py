@@ -7,12 +7,12 @@ no shingle and stay.
 
 1. A pass over the texts gives every line's set as one 64-bit key, and counts tokens in 65,536 buckets over the whole corpus.
 2. The counts order tokens by rarity (a class by count, then the hash). Any fixed order makes the prefix filter exact: sets of n and m
-   tokens with Jaccard t or more share a token among the first n - ceil(t n) + 1 of each. A pass emits those (token, key); tokens of one
-   key alone are dropped, which leaves the tokens that lines share.
-3. Their bitmap (a fixed number of bits; false hits only cost work) goes out to a third pass, which emits the prefix postings
-   again for shared tokens, now with the whole set and the line's place. Lines under one token are compared in order of place under the
-   length filter, the positional filter, a bound from 64-bit bitmaps of the sets (their exclusive or bounds the overlap), and
-   then exactly. Each line keeps its earliest match, so a family of like lines leaves one row for each line, not its pairs.
+   tokens with Jaccard t or more share a token among the first n - ceil(t n) + 1 of each. A pass emits those as (token, place, size, key,
+   64-bit bitmap of the set), and under each token the length filter, the positional filter (the token as the pair's first common one) and
+   the bitmaps (bits in which they differ bound the overlap) rule lines out. What is left: candidate tokens and candidate keys.
+3. Two bitmaps of those (a fixed number of bits; false hits only cost work) go out to a third pass, which emits the candidates' postings again, now
+   with the whole set and the line's place. Lines under one token are compared in order of place under the same filters and then
+   exactly. Each line keeps its earliest match, so a family of like lines leaves one row for each line, not its pairs.
 4. Equal sets need no comparison: a key's first occurrence stands for it, and later ones go. What goes is collected by document and
    joined with the texts.
 
@@ -131,9 +131,18 @@ def rarity_classes(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(8 * np.log2(np.maximum(counts, 1) / middle)) + 1, 0, 15).astype(np.uint8)
 
 
+def marks_of(tokens: np.ndarray, first: np.ndarray, words: int = 1) -> list[np.ndarray]:
+    """A bitmap of each set, in `words` 64-bit words. Bits in which two bitmaps differ are tokens that one of the sets has alone."""
+    slot = mix64(tokens) >> np.uint64(48)
+    bit = np.uint64(1) << (slot & np.uint64(63))
+    word = (slot >> np.uint64(6)) % np.uint64(words)
+    return [np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(words)]
+
+
 def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Pass 2: (token, key) of every line's prefix, each line of a task once."""
-    schema = pa.schema([("token", pa.int64()), ("key", pa.int64())])
+    """Pass 2: the prefix of every line, each line of a task about once. packed: token (44 bits), place in the prefix (8 bits, 255 for more) and
+    size (12 bits, 4095 for more)."""
+    schema = pa.schema([("packed", pa.int64()), ("key", pa.int64()), ("mark", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -150,36 +159,71 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                     owner, within = prefixes(n, first)
                     take = once[owner]
                     owner, within = owner[take], within[take]
-                    yield pa.RecordBatch.from_arrays([pa.array(order[first[owner] + within].view(np.int64)), pa.array(keys[owner])], schema=schema)
+                    packed = order[first[owner] + within] << np.uint64(20) | (np.minimum(within, 255) << 12 | np.minimum(n[owner], 4095)).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(keys[owner]), pa.array(marks_of(tokens, first)[0][owner].view(np.int64))], schema=schema)
 
-    return docs.mapInArrow(emit, "token long, key long")
+    return docs.mapInArrow(emit, "packed long, key long, mark long")
 
 
-def shared_tokens(post: DataFrame, partitions: int) -> DataFrame:
-    """The tokens that stand in the prefix of two different sets or more."""
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, key in whole_groups(batches, 2):
-            same = token[1:] == token[:-1]
-            two = np.unique(token[1:][same & (key[1:] != key[:-1])])
-            if len(two):
-                yield pa.RecordBatch.from_pydict({"token": pa.array(two)})
+def _may_match(n, m, p, q, x, y):
+    """Whether sets of n and m tokens, whose first common token is at place p of one and q of the other, can match; x, y: their
+    bitmaps, lists of words. Sizes of 4095 and places of 255 stand for more, and then nothing is ruled out by them."""
+    need = needed(n + m, THRESHOLD / (1 + THRESHOLD))
+    differ = sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(x, y, strict=True))
+    could = np.minimum(np.minimum(n - p, m - q), (n + m - differ) // 2)
+    return (could >= need) | (n >= 4095) | (m >= 4095)
 
-    return post.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(some, "token long")
 
+def candidates(post: DataFrame, partitions: int) -> DataFrame:
+    """(value, is_token): the tokens and the keys of postings that have a possible match under the token as their first common one."""
+    schema = pa.schema([("value", pa.int64()), ("is_token", pa.bool_())])
 
-def bitmap(tokens: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits bits that has the bit of every token; built by an aggregate, so only the bitmap reaches the driver."""
-    slot = F.col("token") % (1 << bits)
-    rows = (tokens.select(F.floor(slot / 64).cast("int").alias("word"), (slot % 64).cast("int").alias("bit"))
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed, key, mark in whole_groups(batches, 3, 20):
+            packed, mark = packed.view(np.uint64), mark.view(np.uint64)
+            token = packed >> np.uint64(20)
+            place, n = (packed >> np.uint64(12) & np.uint64(255)).astype(np.int64), (packed & np.uint64(4095)).astype(np.int64)
+            hit = np.zeros(len(token), bool)
+            cut = np.flatnonzero(token[1:] != token[:-1]) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
+            size = ends - starts
+            small = np.repeat(size <= 24, size)
+            for d in range(1, 24):
+                a = np.flatnonzero((token[d:] == token[:-d]) & small[d:] & (key[d:] != key[:-d]))
+                if len(a):
+                    b = a + d
+                    a = a[ok := _may_match(n[a], n[b], place[a], place[b], [mark[a]], [mark[b]])]
+                    hit[a] = hit[b[ok]] = True
+            for s, e in zip(starts[size > 24].tolist(), ends[size > 24].tolist(), strict=True):
+                for i in range(s, e - 1):
+                    ok = _may_match(n[i], n[i + 1 : e], place[i], place[i + 1 : e], [mark[i]], [mark[i + 1 : e]]) & (key[i + 1 : e] != key[i])
+                    if ok.any():
+                        hit[i] = True
+                        hit[i + 1 : e] |= ok
+            if hit.any():
+                tokens, keys = np.unique(token[hit]).view(np.int64), np.unique(key[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([tokens, keys])), pa.array(np.arange(len(tokens) + len(keys)) < len(tokens))], schema=schema)
+
+    return post.repartition(partitions, F.shiftright("packed", 20)).sortWithinPartitions("packed").mapInArrow(some, "value long, is_token boolean")
+
+
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** bits bits that has the bit of every value; built by an aggregate, so only the bitmap reaches the driver."""
+    slot = F.pmod(F.col("value"), F.lit(1 << bits))
+    rows = (values.select(F.floor(slot / 64).cast("int").alias("word"), (slot % 64).cast("int").alias("bit"))
             .select("word", F.expr("shiftleft(1L, bit)").alias("mask")).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas())
     out = np.zeros((1 << bits) // 64, np.uint64)
     out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def full_postings(docs: DataFrame, classes: np.ndarray, shared: np.ndarray, bits: int) -> DataFrame:
-    """Pass 3: the prefix postings of shared tokens, with place in the prefix, place in the corpus, and the whole set."""
+def in_bitmap(marks: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
+    slot = values.view(np.uint64) & np.uint64((1 << bits) - 1)
+    return (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def full_postings(docs: DataFrame, classes: np.ndarray, tokens_in: np.ndarray, keys_in: np.ndarray, bits: int) -> DataFrame:
+    """Pass 3: the prefix postings of candidates, with place in the prefix, place in the corpus, and the whole set."""
     schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("tokens", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,29 +232,27 @@ def full_postings(docs: DataFrame, classes: np.ndarray, shared: np.ndarray, bits
             for part in slices(batch, "text"):
                 ord_, uid = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for row, line, n, first, tokens, order in line_tokens(part.column(2), classes):
-                    owner, within = prefixes(n, first)
-                    slot = order[first[owner] + within] & np.uint64((1 << bits) - 1)
-                    hit = (shared[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    owner, within = owner[hit], within[hit]
-                    if not len(owner):
-                        continue
                     keys = set_keys(n, first, tokens)
                     keep = np.zeros(len(keys), bool)
-                    for i in np.unique(owner).tolist():  # the earliest occurrence that the task has met, again if an earlier one comes
+                    for i in np.flatnonzero(in_bitmap(keys_in, bits, keys)).tolist():  # the earliest occurrence that the task has met, again if an earlier one comes
                         place, k = (ord_[row[i]], uid[row[i]], line[i]), int(keys[i])
                         if k not in best or place < best[k]:
                             best[k] = place
                             keep[i] = True
                     if len(best) > 500_000:
                         best.clear()
-                    take = keep[owner]
-                    owner, within = owner[take], within[take]
+                    if not keep.any():
+                        continue
+                    owner, within = prefixes(n, first)
+                    owner, within = owner[keep[owner]], within[keep[owner]]
+                    hit = in_bitmap(tokens_in, bits, order[first[owner] + within])
+                    owner, within = owner[hit], within[hit]
                     sets: dict[int, bytes] = {}
                     for i in np.unique(owner).tolist():
                         x = order[first[i] : first[i] + n[i]]
                         sets[i] = (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
-                    for a in range(0, len(owner), 4096):
-                        o, w = owner[a : a + 4096], within[a : a + 4096]
+                    for a in range(0, len(owner), 1024):
+                        o, w = owner[a : a + 1024], within[a : a + 1024]
                         yield pa.RecordBatch.from_arrays([pa.array(order[first[o] + w].view(np.int64)), pa.array(keys[o]), pa.array(ord_[row[o]]), pa.array(uid[row[o]]), pa.array(line[o].astype(np.int32)), pa.array(w.astype(np.int32)), pa.array([sets[i] for i in o.tolist()], pa.binary())], schema=schema)
 
     return docs.mapInArrow(emit, "token long, key long, ord long, uid long, line int, at int, tokens binary")
@@ -240,26 +282,28 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             rows = s + np.sort(once)
             n, first, tokens = _sets(blobs[rows])
-            marks = np.bitwise_or.reduceat(np.uint64(1) << (mix64(tokens) >> np.uint64(58)), first)
+            marks = marks_of(tokens, first, 4)
             place = at[rows].astype(np.int64)
             for j in range(1, len(rows)):
-                m = n[:j]
-                need = needed(m + n[j], THRESHOLD / (1 + THRESHOLD))  # the overlap that makes Jaccard THRESHOLD
-                could = np.minimum(m - place[:j], n[j] - place[j]) + np.minimum(place[:j], place[j])
-                could = np.minimum(could, (m + n[j] - np.bitwise_count(marks[:j] ^ marks[j])) // 2)
-                mine = None
-                for i in np.flatnonzero((could >= need) & (np.minimum(m, n[j]) >= need)).tolist():
-                    mine = tokens[first[j] : first[j] + n[j]] if mine is None else mine
-                    both = np.intersect1d(tokens[first[i] : first[i] + n[i]], mine, assume_unique=True).size
-                    if both >= need[i]:
-                        r = rows[i]
-                        out.append((key[rows[j]], ord_[r], uid[r], line[r], both / (n[i] + n[j] - both)))
+                likely = np.flatnonzero(_may_match(n[:j], n[j], place[:j], place[j], [m[:j] for m in marks], [m[j] for m in marks]))
+                mine = tokens[first[j] : first[j] + n[j]]
+                for k in range(0, len(likely), 64):  # the earliest first, some at a time
+                    i = likely[k : k + 64]
+                    ends = np.cumsum(n[i])
+                    theirs = tokens[np.arange(ends[-1]) + np.repeat(first[i] - (ends - n[i]), n[i])]
+                    pos = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    both = np.add.reduceat((mine[pos] == theirs).astype(np.int64), ends - n[i])
+                    good = np.flatnonzero(both >= needed(n[i] + n[j], THRESHOLD / (1 + THRESHOLD)))
+                    if len(good):
+                        g = good[0]
+                        r = rows[i[g]]
+                        out.append((key[rows[j]], ord_[r], uid[r], line[r], both[g] / (n[i[g]] + n[j] - both[g])))
                         break
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MATCH.types, strict=True)], schema=_MATCH)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int = 24) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int = 25) -> DataFrame:
     """ord, uid, line, by_ord, by_line, similarity of every line that goes, with its earliest match. docs: ord, uid, text."""
     scanned = scratch.table(scan_lines(docs), "scan")
     lines = scanned.filter("count IS NULL").drop("count")
@@ -267,11 +311,13 @@ def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int
     for r in scanned.filter("count IS NOT NULL").groupBy("key").agg(F.sum("count").alias("n")).collect():
         counts[r["key"]] = r["n"]
     classes = rarity_classes(counts)
-    shared = scratch.table(shared_tokens(postings(docs, classes), partitions), "shared")
-    marks = bitmap(shared, bits)
-    full = full_postings(docs, classes, marks, bits).repartition(partitions, "token").sortWithinPartitions("token", "ord", "uid", "line")
+    found = scratch.table(candidates(postings(docs, classes), partitions), "candidates")
+    scratch.free()
+    tokens_in, keys_in = bitmap(found.filter("is_token"), bits), bitmap(found.filter("NOT is_token"), bits)
+    full = full_postings(docs, classes, tokens_in, keys_in, bits).repartition(partitions, "token").sortWithinPartitions("token", "ord", "uid", "line")
     matches = scratch.table(full.mapInArrow(_matches, "key long, ord long, uid long, line int, similarity double"), "matches")
     place = F.struct("ord", "uid", "line")
+    scratch.free()
     earliest = matches.groupBy("key").agg(F.min(F.struct("ord", "uid", "line", "similarity")).alias("match"))
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     verdict = firsts.join(earliest, "key", "left").filter("n > 1 OR match IS NOT NULL")
