@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, quality, simhash, token_store, url_filter, warc
+from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, token_store, url_filter, warc
 from quietframe.llm.common import Scratch
 
 
@@ -25,6 +25,10 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_grams", F.round("log_weight", 6).alias("log_weight"), F.round("key", 6).alias("key"), "selected")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.trained())
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spark)
     return found.withColumn("similarity", F.round("similarity", 6))
@@ -62,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lines_removed", F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_importance_resampling, op4_decontaminate, op5_url_filter, op6_warc_archive, op7_token_store, op8_simhash_golay, op9_exact_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_importance_resampling, op3_personal_data, op4_decontaminate, op5_url_filter, op6_warc_archive, op7_token_store, op8_simhash_golay, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
