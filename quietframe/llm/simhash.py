@@ -245,15 +245,37 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(kept)
 
 
+def large_keys(prints: DataFrame, block: int) -> dict[int, int]:
+    """Keys with more than `block` fingerprints, and how many: at most keys / block of them. Counters of 1,024 keys each tell where such a
+    key can be, and only there keys are counted one by one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 20_000):
+                k = segment_keys(batch.column(0).slice(i, 20_000).to_numpy().view(np.uint64))
+                for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+                    key = (k[a][:, :, None] << 12 | k[b][:, None, :]) | pair << 24
+                    counts += np.bincount(key[(k[a][:, :, None] >= 0) & (k[b][:, None, :] >= 0)] >> 10, minlength=1 << 16)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(counts[some])})
+
+    slots = prints.select("fp").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+    slots = [r["slot"] for r in slots.collect()]
+    if not slots:
+        return {}
+    counted = keyed(prints).filter(F.shiftright("key", 10).isin(slots)).groupBy("key").count().filter(F.col("count") > block)
+    return {r["key"]: r["count"] for r in counted.collect()}
+
+
 def links(prints: DataFrame, scratch: Scratch, partitions: int, block: int = 50_000) -> DataFrame:
     """Edges (a, b) of fingerprints that keep every connection by links."""
-    keys = scratch.table(keyed(prints), "keys")
+    keys = keyed(prints)
     ordinary = keys.withColumn("side", F.lit(-1).cast("byte"))
-    # Keys with more fingerprints than a task should hold: at most rows / block of them.
-    large = [r["key"] for r in keys.groupBy("key").count().filter(F.col("count") > block).select("key").collect()] if prints.count() > block else []
+    large = large_keys(prints, block)
     if large:
-        hot = F.col("key").isin(large)
-        sizes = {r["key"]: -(-r["count"] // block) for r in keys.filter(hot).groupBy("key").count().collect()}
+        hot = F.col("key").isin(list(large))
+        sizes = {k: -(-n // block) for k, n in large.items()}
         blocks = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("key"))
         dealt = keys.filter(hot).withColumn("n", blocks).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -263,7 +285,7 @@ def links(prints: DataFrame, scratch: Scratch, partitions: int, block: int = 50_
         ordinary = ordinary.filter(~hot).unionByName(pairs)
     sorted_ = ordinary.select("key", "fp", "own", "side").repartition(partitions, "key").sortWithinPartitions("key", "side")
     found = scratch.table(sorted_.mapInArrow(_edges, "a long, b long"), "edges")
-    scratch.drop("keys")
+    scratch.free()
     return found
 
 
