@@ -85,8 +85,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).ids(part.column(1).to_pylist()), strict=True):
-                    ids += end
+                every, first = encoder(tokenizer).encode(part.column(1))
+                first = first.tolist()
+                for k, doc_id in enumerate(part.column(0).to_pylist()):
+                    ids = every[first[k] : first[k + 1]].astype("<u4").tobytes() + end
                     for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
                         rows.append((doc_id, i, at // 4, len(piece) // 4, zlib.crc32(piece)))

@@ -168,8 +168,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
                 if writer is None:
                     stream = fs.open_output_stream(path, compression=None)
                     writer = TokenWriter(stream, bits)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(tokenizer).ids(part.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+                ids, first = encoder(tokenizer).encode(part.column(1))
+                first = first.tolist()
+                for k, doc_id in enumerate(part.column(0).to_pylist()):
+                    writer.add(doc_id, np.concatenate([ids[first[k] : first[k + 1]], end]))
         if writer is not None:
             n, ids = writer.close()
             stream.close()
