@@ -87,7 +87,7 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, name: str, most: int = 2 << 20):
     """The batch in runs of rows whose texts take about `most` bytes, so that memory doesn't follow the batch's size."""
     _, offsets = column_bytes(batch.column(batch.schema.get_field_index(name)))
     i, n = 0, batch.num_rows

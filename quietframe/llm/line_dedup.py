@@ -154,7 +154,7 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                     _, at = np.unique(keys, return_index=True)
                     once[at] = [k not in seen for k in keys[at].tolist()]
                     seen.update(keys[at].tolist())
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     owner, within = prefixes(n, first)
                     take = once[owner]
@@ -239,7 +239,7 @@ def full_postings(docs: DataFrame, classes: np.ndarray, tokens_in: np.ndarray, k
                         if k not in best or place < best[k]:
                             best[k] = place
                             keep[i] = True
-                    if len(best) > 500_000:
+                    if len(best) > 200_000:
                         best.clear()
                     if not keep.any():
                         continue
