@@ -3,16 +3,16 @@
 The library encodes about 1 MB of text a second on a core, and most of a corpus is words that came before. Both tokenizers part a text
 at white space before they merge, so the ids of a text are those of its chunks in order. numpy cuts a whole batch into chunks and hashes
 them (64 bits), each distinct chunk is looked up once, and the ids are gathered for all chunks at once. The library makes all ids: it
-encodes the chunks, or rather their stems, that a worker hasn't met.
+encodes the chunks that a worker hasn't met.
 
 Cuts are made only where they provably change nothing. Where white space is dropped before merging, chunks are the runs between ASCII
 white space. Where a chunk carries the space before it, a cut is before white space that is followed by a character that isn't white space
-and that is itself a space or follows an ASCII character that isn't white space; a pre-token never runs over such a place.
+and that is itself a space or follows an ASCII character that isn't white space. Both tokenizers also part letters and digits from marks, so
+there are cuts between those too. A pre-token never runs over such a place.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 
 import numpy as np
@@ -20,10 +20,15 @@ import pyarrow as pa
 
 from quietframe.llm.common import LOWER, SPACE, column_bytes, word_hashes, word_spans
 
-#: Marks that may follow a word. No apostrophe: contractions are tokens of their own.
-_MARKS = ".,;:!?%&*$#|"
-#: Letters whose lower case depends on their place or has several characters.
-_CASED = re.compile("[İΣ]")
+#: ASCII marks that end a run of letters or digits, and begin one after them. No apostrophe: contractions are tokens of their own.
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?%&*$#|")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Second bytes of U+00C0 to U+00FF that are letters.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
 _SAME = np.arange(256, dtype=np.uint8)
 #: First bytes of characters that may be white space (ASCII ones, and U+0085, U+00A0, U+1680 and so on): no cut before them.
 _DOUBTFUL = SPACE.copy()
@@ -31,10 +36,9 @@ _DOUBTFUL[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    """encode(column): the ids of all texts, one after the other, and where each text's begin. About `most` chunks and twice as many
-    stems are remembered."""
+    """encode(column): the ids of all texts, one after the other, and where each text's begin. Up to twice `most` chunks are remembered."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,8 +48,7 @@ class Encoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
         self.known: dict[int, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.older: dict[int, bytes] = {}
         self.spaced = self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -53,45 +56,37 @@ class Encoder:
         out = [array("I", x.ids) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return [x.tobytes() for x in out]
 
-    def _learn(self, chunks: list[tuple[int, str]]) -> None:
-        """Adds chunks (hash, text) to what is known.
-
-        A chunk of letters or digits and then ASCII marks is known once its stem and its marks are: both tokenizers split there before
-        they merge. Where the tokenizer lowers letters, stems of either case share an entry. Full stems become the older half, from
-        which those that come again return.
-        """
-        if len(self.known) + len(chunks) > self.most:
-            self.known.clear()
-        if len(self.stems) > self.most:
-            self.older, self.stems = self.stems, {}
-        stems, older = self.stems, self.older
-        stems[""] = b""
-        split: list[tuple[int, str, str]] = []
-        new: dict[str, None] = {}
-        for key, text in chunks:
-            stem = text.rstrip(_MARKS)
-            marks = text[len(stem) :]
-            if marks and not (stem and stem[-1].isalnum()) or not text.isascii() and _CASED.search(text):
-                stem, marks = text, ""
-            elif not self.spaced:
-                stem = stem.lower()
-            for x in (stem, marks):
-                if x not in stems:
-                    if x in older:
-                        stems[x] = older[x]
-                    else:
-                        new[x] = None
-            split.append((key, stem, marks))
-        if new:
-            stems.update(zip(new, self.whole(list(new)), strict=True))
-        known = self.known
-        for key, stem, marks in split:
-            known[key] = stems[stem] + stems[marks] if marks else stems[stem]
+    def _find(self, keys: list[int], text) -> list[bytes]:
+        """The ids of chunks by hash; text gives a chunk's text by its place in keys. When what is known is full it becomes the older half, from
+        which chunks that come again return."""
+        found = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            if len(self.known) > self.most:
+                self.older, self.known = self.known, {}
+            new = []
+            for i in missing:
+                ids = self.older.get(keys[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    found[i] = self.known[keys[i]] = ids
+            for i, ids in zip(new, self.whole([text(i) for i in new]), strict=True):
+                found[i] = self.known[keys[i]] = ids
+        return found
 
     def chunks(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not self.spaced:
-            return word_spans(buf, offsets)
         n = len(buf)
+        inner = np.zeros(n, bool)  # between a letter or digit and a mark
+        if n > 1:
+            ends = _ALNUM[buf]
+            ends[1:] |= _LATIN[buf[1:]] & (buf[:-1] == 0xC3)
+            inner[1:] = (ends[:-1] & _MARK[buf[1:]]) | (_MARK[buf[:-1]] & _ALNUM[buf[1:]])
+            inner[offsets[(offsets > 0) & (offsets < n)]] = False
+        if not self.spaced:
+            starts, ends = word_spans(buf, offsets)
+            inner = np.flatnonzero(inner)
+            return np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
         cut = np.zeros(n, bool)
         if n > 1:
             cut[:-1] = SPACE[buf[:-1]] & ~_DOUBTFUL[buf[1:]]
@@ -100,6 +95,7 @@ class Encoder:
         begin = offsets[:-1][np.diff(offsets) > 0]
         cut[begin[1:] - 1] = False  # the last byte of a text has nothing after it
         cut[begin] = True
+        cut |= inner
         starts = np.flatnonzero(cut)
         return starts, np.append(starts[1:], n) if n else starts
 
@@ -109,15 +105,8 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         hashes, first, which = np.unique(word_hashes(buf, starts, ends, _SAME if self.spaced else LOWER), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        found = list(map(self.known.get, keys))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            data = buf.tobytes()
-            a, b = starts[first].tolist(), ends[first].tolist()
-            self._learn([(keys[i], data[a[i] : b[i]].decode()) for i in missing])
-            for i in missing:
-                found[i] = self.known[keys[i]]
+        data, a, b = buf.tobytes(), starts[first].tolist(), ends[first].tolist()
+        found = self._find(hashes.tolist(), lambda i: data[a[i] : b[i]].decode())
         ids = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin = np.cumsum(size) - size
