@@ -123,7 +123,7 @@ public("quoted_names", 'SELECT n."n_name" AS [a b], `n_nationkey` AS k FROM "nat
 # ---- mechanisms
 
 
-@register("noisy_scale_table", "SELECT * FROM (VALUES ('laplace', 1.0, 1, 1.0, {}, {}), ('laplace', 100.0, 3, 0.5, {}, {}), ('gaussian', 1.0, 1, 1.0, {}, {})) t(mechanism, sensitivity, max_ids, epsilon, scale, threshold)".format(*[round(x, 4) for m in (Laplace(1.0, 1e-5, 1.0, 1), Laplace(0.5, 1e-5, 100.0, 3), Gaussian(1.0, 1e-5, 1.0, 1)) for x in (m.scale, m.threshold)]))
+@register("noisy_scale_table", "SELECT * FROM (VALUES ('laplace', 1.0, 1, 1.0, {}, {}), ('laplace', 100.0, 3, 0.5, {}, {}), ('gaussian', 1.0, 1, 1.0, {}, {})) t(mechanism, sensitivity, max_ids, epsilon, scale, threshold)".replace("1.0", "1.0::DOUBLE").replace("100.0", "100.0::DOUBLE").replace("0.5", "0.5::DOUBLE").replace("{}", "{}::DOUBLE").format(*[round(x, 4) for m in (Laplace(1.0, 1e-5, 1.0, 1), Laplace(0.5, 1e-5, 100.0, 3), Gaussian(1.0, 1e-5, 1.0, 1)) for x in (m.scale, m.threshold)]))
 def noisy_scale_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(n, m.sensitivity, m.max_contrib, m.epsilon, round(m.scale, 4), round(m.threshold, 4)) for n, m in (("laplace", Laplace(1.0, 1e-5, 1.0, 1)), ("laplace", Laplace(0.5, 1e-5, 100.0, 3)), ("gaussian", Gaussian(1.0, 1e-5, 1.0, 1)))]
     return spark.createDataFrame(rows, "mechanism string, sensitivity double, max_ids int, epsilon double, scale double, threshold double")
@@ -176,12 +176,12 @@ metric("distinct_count", lambda t: M.distinct_count(t("lineitem"), LI), f"SELECT
 metric("sparsity", lambda t: M.sparsity(t("lineitem"), LI), f"SELECT round(count(*)::DOUBLE / ({_DIM}), 6) AS value FROM ({_COMBOS})")
 _DAY = ["o_orderdate", "o_orderpriority"]
 _DAYS = "SELECT o_orderdate, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL"
-metric("below_k_combinations", lambda t: M.below_k_combinations(t("orders"), _DAY), f"SELECT count_if(n < 10) AS value, round(100.0::DOUBLE * count_if(n < 10) / count(*), 6) AS percentage FROM ({_DAYS})")
+metric("below_k_combinations", lambda t: M.below_k_combinations(t("orders"), _DAY), f"SELECT CAST(count_if(n < 10) AS BIGINT) AS value, round(100.0::DOUBLE * count_if(n < 10) / count(*), 6) AS percentage FROM ({_DAYS})")
 metric("below_k_count", lambda t: M.below_k_count(t("orders"), _DAY), f"SELECT CAST(coalesce(sum(n) FILTER (n < 10), 0) AS BIGINT) AS value, round(100.0::DOUBLE * coalesce(sum(n) FILTER (n < 10), 0) / sum(n), 6) AS percentage FROM ({_DAYS})")
 metric("row_count", lambda t: M.row_count(t("orders")), "SELECT count(*) AS value FROM orders")
-metric("singled_out_count", lambda t: M.singled_out_count(t("orders"), _DAY), f"SELECT count_if(n = 1) AS value, round(100.0::DOUBLE * count_if(n = 1) / count(*), 6) AS percentage FROM ({_DAYS})")
+metric("singled_out_count", lambda t: M.singled_out_count(t("orders"), _DAY), f"SELECT CAST(count_if(n = 1) AS BIGINT) AS value, round(100.0::DOUBLE * count_if(n = 1) / count(*), 6) AS percentage FROM ({_DAYS})")
 metric("most_linkable", lambda t: M.most_linkable(t("orders"), ["o_orderstatus", "o_orderdate"]), "SELECT 'o_orderdate' AS \"column\", CAST(coalesce(sum(n) FILTER (n < 10), 0) AS BIGINT) AS value FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderdate)")
-metric("redacted_row_count", lambda t: M.redacted_row_count(t("lineitem"), ["l_returnflag", "l_linestatus"], "O"), "SELECT count_if((l_returnflag = 'O') <> (l_linestatus = 'O')) AS partly, count_if(l_returnflag = 'O' AND l_linestatus = 'O') AS fully FROM lineitem")
+metric("redacted_row_count", lambda t: M.redacted_row_count(t("lineitem"), ["l_returnflag", "l_linestatus"], "O"), "SELECT CAST(count_if((l_returnflag = 'O') <> (l_linestatus = 'O')) AS BIGINT) AS partly, CAST(count_if(l_returnflag = 'O' AND l_linestatus = 'O') AS BIGINT) AS fully FROM lineitem")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
