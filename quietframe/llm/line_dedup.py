@@ -10,7 +10,7 @@ no shingle and stay.
    tokens with Jaccard t or more share a token among the first n - ceil(t n) + 1 of each. A pass emits those as (token, place, size, key,
    64-bit bitmap of the set), and under each token the length filter, the positional filter (the token as the pair's first common one) and
    the bitmaps (bits in which they differ bound the overlap) rule lines out. What is left: candidate tokens and candidate keys.
-3. Two bitmaps of those (a fixed number of bits; false hits only cost work) go out to a third pass, which emits the candidates' postings again, now
+3. Bitmaps of those and of the candidate postings (a fixed number of bits; false hits only cost work) go out to a third pass, which emits the candidates' postings again, now
    with the whole set and the line's place. Lines under one token are compared in order of place under the same filters and then
    exactly. Each line keeps its earliest match, so a family of like lines leaves one row for each line, not its pairs.
 4. Equal sets need no comparison: a key's first occurrence stands for it, and later ones go. What goes is collected by document and
@@ -174,9 +174,15 @@ def _may_match(n, m, p, q, x, y):
     return (could >= need) | (n >= 4095) | (m >= 4095)
 
 
+def posting_hash(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number for a token (44 bits, unsigned) of a set."""
+    return mix64(tokens * np.uint64(0x9E3779B97F4A7C15) + keys.view(np.uint64)).view(np.int64)
+
+
 def candidates(post: DataFrame, partitions: int) -> DataFrame:
-    """(value, is_token): the tokens and the keys of postings that have a possible match under the token as their first common one."""
-    schema = pa.schema([("value", pa.int64()), ("is_token", pa.bool_())])
+    """(value, kind): the tokens (0), the keys (1) and the hashes (2) of postings that have a possible match under the token as their first
+    common one."""
+    schema = pa.schema([("value", pa.int64()), ("kind", pa.int8())])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for packed, key, mark in whole_groups(batches, 3, 20):
@@ -201,10 +207,10 @@ def candidates(post: DataFrame, partitions: int) -> DataFrame:
                         hit[i] = True
                         hit[i + 1 : e] |= ok
             if hit.any():
-                tokens, keys = np.unique(token[hit]).view(np.int64), np.unique(key[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([tokens, keys])), pa.array(np.arange(len(tokens) + len(keys)) < len(tokens))], schema=schema)
+                parts = [np.unique(token[hit]).view(np.int64), np.unique(key[hit]), np.unique(posting_hash(token[hit], key[hit]))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.arange(3, dtype=np.int8), [len(x) for x in parts]))], schema=schema)
 
-    return post.repartition(partitions, F.shiftright("packed", 20)).sortWithinPartitions("packed").mapInArrow(some, "value long, is_token boolean")
+    return post.repartition(partitions, F.shiftright("packed", 20)).sortWithinPartitions("packed").mapInArrow(some, "value long, kind byte")
 
 
 def bitmap(values: DataFrame, bits: int) -> np.ndarray:
@@ -222,9 +228,10 @@ def in_bitmap(marks: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
     return (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def full_postings(docs: DataFrame, classes: np.ndarray, tokens_in: np.ndarray, keys_in: np.ndarray, bits: int) -> DataFrame:
+def full_postings(docs: DataFrame, classes: np.ndarray, maps: list[np.ndarray], bits: int) -> DataFrame:
     """Pass 3: the prefix postings of candidates, with place in the prefix, place in the corpus, and the whole set."""
     schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("tokens", pa.binary())])
+    tokens_in, keys_in, postings_in = maps
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
@@ -245,7 +252,8 @@ def full_postings(docs: DataFrame, classes: np.ndarray, tokens_in: np.ndarray, k
                         continue
                     owner, within = prefixes(n, first)
                     owner, within = owner[keep[owner]], within[keep[owner]]
-                    hit = in_bitmap(tokens_in, bits, order[first[owner] + within])
+                    token = order[first[owner] + within]
+                    hit = in_bitmap(tokens_in, bits, token) & in_bitmap(postings_in, bits, posting_hash(token, keys[owner]))
                     owner, within = owner[hit], within[hit]
                     sets: dict[int, bytes] = {}
                     for i in np.unique(owner).tolist():
@@ -313,8 +321,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int
     classes = rarity_classes(counts)
     found = scratch.table(candidates(postings(docs, classes), partitions), "candidates")
     scratch.free()
-    tokens_in, keys_in = bitmap(found.filter("is_token"), bits), bitmap(found.filter("NOT is_token"), bits)
-    full = full_postings(docs, classes, tokens_in, keys_in, bits).repartition(partitions, "token").sortWithinPartitions("token", "ord", "uid", "line")
+    maps = [bitmap(found.filter(F.col("kind") == k), bits) for k in range(3)]
+    full = full_postings(docs, classes, maps, bits).repartition(partitions, "token").sortWithinPartitions("token", "ord", "uid", "line")
     matches = scratch.table(full.mapInArrow(_matches, "key long, ord long, uid long, line int, similarity double"), "matches")
     place = F.struct("ord", "uid", "line")
     scratch.free()
