@@ -24,7 +24,7 @@ from quietframe.streaming.budgeted import release_each_batch
 from quietframe.synth.models import DPLinearRegression, Synthesizer, exponential_mechanism, pmse_ratio, private_covariance, sra, wasserstein
 from quietframe.transform.columns import Anonymization, Bin, Chain, Clamp, DateTime, Drop, Label, Log, MinMax, OneHot, Standard, TableTransformer, infer_column_types, infer_pii, is_ids
 
-META = {"": {"PUMS": {"PUMS": {"max_ids": 1, "pid": {"type": "int", "private_id": True}, "age": {"type": "int", "lower": 0, "upper": 100}, "income": {"type": "float", "lower": 0, "upper": 1000}, "sex": {"type": "string"}, "free": {"type": "float"}, "married": {"type": "boolean"}}}}}
+META = {"": {"PEOPLE": {"PEOPLE": {"max_ids": 1, "pid": {"type": "int", "private_id": True}, "age": {"type": "int", "lower": 0, "upper": 100}, "income": {"type": "float", "lower": 0, "upper": 1000}, "sex": {"type": "string"}, "free": {"type": "float"}, "married": {"type": "boolean"}}}}}
 
 
 @pytest.fixture(scope="module")
@@ -51,12 +51,12 @@ def test_precedence_and_batch():
     assert len(parse_batch("SELECT a; SELECT b;")) == 2
 
 
-@pytest.mark.parametrize("text", ["SELECT sex, COUNT(*) FROM PUMS GROUP BY sex", "SELECT sex AS s, AVG(age) AS a, STDDEV(age) AS b FROM PUMS.PUMS GROUP BY s HAVING COUNT(*) > 3 ORDER BY a", "SELECT SUM(age) * 2 + COUNT(*) AS x, 3 AS three FROM PUMS p WHERE p.age > 3", "SELECT COUNT(DISTINCT pid) AS n, SUM(married) AS m FROM PUMS", "SELECT CASE WHEN COUNT(*) > 3 THEN 1 ELSE 0 END AS c FROM PUMS"])
+@pytest.mark.parametrize("text", ["SELECT sex, COUNT(*) FROM PEOPLE GROUP BY sex", "SELECT sex AS s, AVG(age) AS a, STDDEV(age) AS b FROM PEOPLE.PEOPLE GROUP BY s HAVING COUNT(*) > 3 ORDER BY a", "SELECT SUM(age) * 2 + COUNT(*) AS x, 3 AS three FROM PEOPLE p WHERE p.age > 3", "SELECT COUNT(DISTINCT pid) AS n, SUM(married) AS m FROM PEOPLE", "SELECT CASE WHEN COUNT(*) > 3 THEN 1 ELSE 0 END AS c FROM PEOPLE"])
 def test_accepts(text):
     Analyzer(Metadata.from_dict(META), Privacy()).plan(text)
 
 
-@pytest.mark.parametrize("text", ["SELECT * FROM PUMS", "SELECT age FROM PUMS", "SELECT age, COUNT(*) FROM PUMS", "SELECT SUM(age + 1) FROM PUMS", "SELECT SUM(sex) FROM PUMS", "SELECT SUM(free) FROM PUMS", "SELECT COUNT(*) FROM PUMS GROUP BY pid", "SELECT MIN(age) FROM PUMS", "SELECT COUNT(*) FROM PUMS JOIN PUMS USING (pid)", "SELECT COUNT(*) FROM (SELECT * FROM PUMS) q", "SELECT COUNT(*) AS a, COUNT(age) AS a FROM PUMS", "SELECT SUM(COUNT(*)) FROM PUMS", "SELECT COUNT(*) FROM nowhere", "SELECT COUNT(nothing) FROM PUMS", "SELECT SUM(pid) FROM PUMS", "SELECT DISTINCT COUNT(*) FROM PUMS"])
+@pytest.mark.parametrize("text", ["SELECT * FROM PEOPLE", "SELECT age FROM PEOPLE", "SELECT age, COUNT(*) FROM PEOPLE", "SELECT SUM(age + 1) FROM PEOPLE", "SELECT SUM(sex) FROM PEOPLE", "SELECT SUM(free) FROM PEOPLE", "SELECT COUNT(*) FROM PEOPLE GROUP BY pid", "SELECT MIN(age) FROM PEOPLE", "SELECT COUNT(*) FROM PEOPLE JOIN PEOPLE USING (pid)", "SELECT COUNT(*) FROM (SELECT * FROM PEOPLE) q", "SELECT COUNT(*) AS a, COUNT(age) AS a FROM PEOPLE", "SELECT SUM(COUNT(*)) FROM PEOPLE", "SELECT COUNT(*) FROM nowhere", "SELECT COUNT(nothing) FROM PEOPLE", "SELECT SUM(pid) FROM PEOPLE", "SELECT DISTINCT COUNT(*) FROM PEOPLE"])
 def test_rejects(text):
     with pytest.raises(ValueError):
         Analyzer(Metadata.from_dict(META), Privacy()).plan(text)
@@ -73,7 +73,7 @@ def test_metadata_round_trip(tmp_path):
     m = Metadata.from_dict(META)
     m.to_file(str(tmp_path / "m.yaml"))
     assert Metadata.from_file(str(tmp_path / "m.yaml")).to_dict() == m.to_dict()
-    assert m.find(("pums",)).max_ids == 1
+    assert m.find(("people",)).max_ids == 1
     with pytest.raises(ValueError):
         m.find(("x",))
 
@@ -121,8 +121,8 @@ def test_odometers():
 
 
 def test_release_is_drawn_once_and_charged_once(spark, people):
-    s = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PUMS.PUMS": people})
-    text = "SELECT sex, COUNT(*) AS n, AVG(age) AS a FROM PUMS GROUP BY sex ORDER BY n DESC"
+    s = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PEOPLE.PEOPLE": people})
+    text = "SELECT sex, COUNT(*) AS n, AVG(age) AS a FROM PEOPLE GROUP BY sex ORDER BY n DESC"
     cost = s.cost(text)
     out = s.execute(text)
     assert out.collect() == out.collect()
@@ -130,15 +130,15 @@ def test_release_is_drawn_once_and_charged_once(spark, people):
     assert {r["sex"] for r in out.collect()} == {"a", "b"}  # "rare" is censored
     assert s.execute(text).collect() != out.collect()
     assert len(s.accuracy(text, 0.05)) == 3 and s.accuracy(text, 0.05)[0] is None
-    capped = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PUMS": people}, cap=2)
+    capped = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PEOPLE": people}, cap=2)
     with pytest.raises(ValueError):
         capped.execute(text)
     assert capped.odometer.k == 0
 
 
 def test_exact_path_without_noise(spark, people):
-    s = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PUMS": people})
-    got = s.execute("SELECT sex, COUNT(*) AS n, SUM(age) AS s, COUNT(income) AS c FROM PUMS WHERE age > 10 GROUP BY sex", order=F.col("age"), noise=without_noise).toPandas()
+    s = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PEOPLE": people})
+    got = s.execute("SELECT sex, COUNT(*) AS n, SUM(age) AS s, COUNT(income) AS c FROM PEOPLE WHERE age > 10 GROUP BY sex", order=F.col("age"), noise=without_noise).toPandas()
     p = people.toPandas()
     p = p[p.age > 10].drop_duplicates("pid")
     p["age"] = p.age.clip(0, 100)
@@ -146,23 +146,23 @@ def test_exact_path_without_noise(spark, people):
     for r in got.itertuples():
         assert (r.n, r.s, r.c) == tuple(want.loc[r.sex])
     with pytest.raises(QueryError):
-        s.execute("SELECT sex, COUNT(*) AS n FROM PUMS GROUP BY sex HAVING SUM(age) > 3", noise=without_noise)
+        s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex HAVING SUM(age) > 3", noise=without_noise)
     with pytest.raises(QueryError):
-        s.execute("SELECT sex, COUNT(*) AS n FROM PUMS GROUP BY sex ORDER BY age", noise=without_noise)
+        s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex ORDER BY age", noise=without_noise)
 
 
 def test_pre_aggregated(spark):
     s = PrivateSession(spark, META, Privacy(1.0, 1e-5))
     rows = pd.DataFrame({"keycount": [100, 2], "group_0": ["x", "y"], "count_all": [300, 2]})
-    assert [r["sex"] for r in s.execute("SELECT sex, COUNT(*) AS n FROM PUMS GROUP BY sex", pre_aggregated=rows, noise=without_noise).collect()] == ["x"]
+    assert [r["sex"] for r in s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", pre_aggregated=rows, noise=without_noise).collect()] == ["x"]
     with pytest.raises(QueryError):
-        s.execute("SELECT sex, COUNT(*) AS n FROM PUMS GROUP BY sex", pre_aggregated=rows.drop(columns="keycount"))
-    assert "keycount" in s.execute("SELECT sex, COUNT(*) AS n FROM PUMS GROUP BY sex", pre_aggregated=rows, postprocess=False).columns
+        s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", pre_aggregated=rows.drop(columns="keycount"))
+    assert "keycount" in s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", pre_aggregated=rows, postprocess=False).columns
 
 
 def test_heavy_keys_are_limited_before_the_shuffle(spark, people):
-    s = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PUMS": people})
-    plan = s.exact("SELECT sex, COUNT(*) AS n FROM PUMS WHERE age > 3 GROUP BY sex")._jdf.queryExecution().toString()
+    s = PrivateSession(spark, META, Privacy(1.0, 1e-5), {"PEOPLE": people})
+    plan = s.exact("SELECT sex, COUNT(*) AS n FROM PEOPLE WHERE age > 3 GROUP BY sex")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
 
 
@@ -247,7 +247,7 @@ def test_stream_releases_each_batch(spark, people, tmp_path):
     people.filter("pid IS NOT NULL").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(people.schema).parquet(str(tmp_path / "in"))
     s = PrivateSession(spark, META, Privacy(1.0, 1e-5))
-    q = release_each_batch(stream, s, "PUMS", "SELECT sex, COUNT(*) AS n FROM PUMS GROUP BY sex", str(tmp_path / "out"), checkpointLocation=str(tmp_path / "ck"))
+    q = release_each_batch(stream, s, "PEOPLE", "SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", str(tmp_path / "out"), checkpointLocation=str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and s.odometer.k == 2
