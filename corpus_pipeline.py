@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm import decontaminate, line_dedup, packing, quality, simhash
+from quietframe.llm import decontaminate, line_dedup, packing, quality, set_dedup
 from quietframe.llm.common import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id."""
-    found = simhash.near_duplicates(docs, spark)
+    """One document of each near-duplicate group (similarity of five-word shingles 0.8 or more): that with the smallest doc_id."""
+    found = set_dedup.near_duplicates(docs, spark)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi")
 
@@ -53,7 +53,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
-    ("simhash near-dedup", near_stage),
+    ("near-dedup", near_stage),
     ("benchmark decontamination", benchmark_stage),
     ("best-fit packing", packing_stage),
 ]

@@ -166,6 +166,28 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(h)
 
 
+def owned_shingles(words: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """owner and hash of every k words in a row that have one owner (owner ascends). An owner of fewer words has one: that of its whole
+    sequence, with its length in the hash."""
+    if not len(words):
+        return owner, words
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    size = np.diff(np.append(first, len(owner)))
+    whole = owner[k - 1 :] == owner[: max(0, len(owner) - k + 1)]
+    mine, hashes = owner[: len(whole)][whole], shingle_hashes(words, k)[whole]
+    first, size = first[size < k], size[size < k]
+    if not len(first):
+        return mine, hashes
+    h = np.zeros(len(first), np.uint64)
+    for i in range(k - 1):
+        more = size > i
+        h[more] = h[more] * np.uint64(0xD6E8FEB86659FD93) + words[first[more] + i]
+    h = mix64(mix64(h) + size.astype(np.uint64))
+    mine, hashes = np.concatenate([mine, owner[first]]), np.concatenate([hashes, h])
+    order = np.argsort(mine, kind="stable")
+    return mine[order], hashes[order]
+
+
 def unique_rows(spark: SparkSession, names: list[str], taken: list[str]) -> dict[str, str]:
     """Names that clash with none of `taken`, for the columns that an operator adds for its own use."""
     out = {}
