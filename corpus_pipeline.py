@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match an earlier line. A document of which nothing is left goes; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, spark, "lines_removed")
+    out = line_dedup.dedup_lines(docs, spark, "lines_removed", short=True)
     some = (F.col("lines_removed") == 0) | (F.length(F.regexp_replace("text", r"\s", "")) > 0)
     return out.filter(some).withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).drop("lines_removed")
 

@@ -2,8 +2,8 @@
 
 A line's tokens are its five-word shingles (words are runs of letters and digits, in lower case), as a set of 40-bit hashes. Two lines
 match if the Jaccard similarity of their sets is 0.8 or more. A line is removed if any earlier line matches it, earlier by (doc_id,
-place in the document); that is a property of the pair, so the order of the work doesn't matter. Lines of fewer than five words have
-no shingle and stay.
+place in the document); that is a property of the pair, so the order of the work doesn't matter. A line of one to four words is one
+token of its whole sequence, so that it matches equal ones alone; with short=False such lines stay. Lines without words stay.
 
 1. A pass over the texts gives every line's set as one 64-bit key, and counts tokens in 65,536 buckets over the whole corpus.
 2. The counts order tokens by rarity (a class by count, then the hash). Any fixed order makes the prefix filter exact: sets of n and m
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietframe.llm.common import Scratch, column_bytes, mix64, shingle_hashes, shuffle_partitions, slices, unique_rows, whole_groups, word_hashes, word_spans
+from quietframe.llm.common import Scratch, column_bytes, mix64, owned_shingles, shingle_hashes, shuffle_partitions, slices, unique_rows, whole_groups, word_hashes, word_spans
 
 WIDTH, THRESHOLD = 5, 0.8
 TOKEN_BITS = 40
@@ -50,9 +50,9 @@ def needed(n, t: float = THRESHOLD):
     return np.ceil(np.asarray(n) * t - 1e-9).astype(np.int64)
 
 
-def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, ...]]:
+def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int = 1 << 19, short: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, line, n, first, tokens, order) of the lines that have tokens, some at a time. tokens[first[i] : first[i] + n[i]] are line i's, each once, by rarity
-    class and then hash; order: class and hash in one number."""
+    class and then hash; order: class and hash in one number. short: lines of fewer than WIDTH words have one token."""
     buf, offsets = column_bytes(pc.utf8_lower(pc.fill_null(column, "")))
     if not len(buf):
         return
@@ -60,13 +60,17 @@ def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int =
     begins = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     begins = begins[begins < len(buf)]
     starts, ends = word_spans(buf, begins, _NOT_WORD)
-    if len(starts) < WIDTH:
+    if len(starts) < (1 if short else WIDTH):
         return
     words = word_hashes(buf, starts, ends, _SAME)
     line = np.searchsorted(begins, starts, "right") - 1
-    whole = line[WIDTH - 1 :] == line[: -(WIDTH - 1)]
-    tokens = (shingle_hashes(words, WIDTH) >> np.uint64(64 - TOKEN_BITS))[whole]
-    line = line[: -(WIDTH - 1)][whole]
+    if short:
+        line, tokens = owned_shingles(words, line, WIDTH)
+        tokens = tokens >> np.uint64(64 - TOKEN_BITS)
+    else:
+        whole = line[WIDTH - 1 :] == line[: -(WIDTH - 1)]
+        tokens = (shingle_hashes(words, WIDTH) >> np.uint64(64 - TOKEN_BITS))[whole]
+        line = line[: -(WIDTH - 1)][whole]
     if not len(line):
         return
     # Which row a line is in, and its place there: line feeds of its row before it.
@@ -106,8 +110,8 @@ def prefixes(n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, within
 
 
-def scan_lines(docs: DataFrame) -> DataFrame:
-    """Pass 1. count null: a line (ord, uid, line, key). Else a counter: key has its number and count its tokens."""
+def scan_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """Pass 1. Short lines count here alone: they match equal keys only, which need no comparison. count null: a line (ord, uid, line, key). Else a counter: key has its number and count its tokens."""
     schema = pa.schema([("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("count", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,7 @@ def scan_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 ord_, uid = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for row, line, n, first, tokens, _ in line_tokens(part.column(2)):
+                for row, line, n, first, tokens, _ in line_tokens(part.column(2), short=short):
                     counts += np.bincount((tokens >> np.uint64(TOKEN_BITS - 16)).astype(np.int64), minlength=COUNTERS)
                     yield pa.RecordBatch.from_arrays([pa.array(ord_[row]), pa.array(uid[row]), pa.array(line.astype(np.int32)), pa.array(set_keys(n, first, tokens)), pa.nulls(len(row), pa.int64())], schema=schema)
         some = np.flatnonzero(counts)
@@ -311,9 +315,9 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MATCH.types, strict=True)], schema=_MATCH)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int = 25) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int = 25, short: bool = False) -> DataFrame:
     """ord, uid, line, by_ord, by_line, similarity of every line that goes, with its earliest match. docs: ord, uid, text."""
-    scanned = scratch.table(scan_lines(docs), "scan")
+    scanned = scratch.table(scan_lines(docs, short), "scan")
     lines = scanned.filter("count IS NULL").drop("count")
     counts = np.zeros(COUNTERS, np.int64)
     for r in scanned.filter("count IS NOT NULL").groupBy("key").agg(F.sum("count").alias("n")).collect():
@@ -335,14 +339,14 @@ def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int
     return gone.select("ord", "uid", "line", F.col("by.ord").alias("by_ord"), F.col("by.line").alias("by_line"), F.col("by.similarity").alias("similarity"))
 
 
-def dedup_lines(docs: DataFrame, spark: SparkSession, removed: str = "lines_removed") -> DataFrame:
-    """docs with the lines that go taken out of text, and `removed`: how many those were."""
+def dedup_lines(docs: DataFrame, spark: SparkSession, removed: str = "lines_removed", short: bool = False) -> DataFrame:
+    """docs with the lines that go taken out of text, and `removed`: how many those were. short: equal lines of one to four words go too."""
     scratch, partitions = Scratch(spark, "lines"), shuffle_partitions(spark)
     name = unique_rows(spark, ["ord", "uid", "gone"], docs.columns)
     ord_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
     uid = F.xxhash64("doc_id", "text")
     text = docs.select(ord_.alias("ord"), uid.alias("uid"), F.col("text").cast("string").alias("text"))
-    lost = removed_lines(text, scratch, partitions).groupBy("ord", "uid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    lost = removed_lines(text, scratch, partitions, short=short).groupBy("ord", "uid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     lost = scratch.table(lost, "lost").select(F.col("ord").alias(name["ord"]), F.col("uid").alias(name["uid"]), F.col("gone").alias(name["gone"]))
     both = docs.withColumn(name["ord"], ord_).withColumn(name["uid"], uid).join(lost, [name["ord"], name["uid"]], "left")
     columns, wanted = list(both.columns), list(docs.columns)

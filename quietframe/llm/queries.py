@@ -62,7 +62,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), spark)
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), spark, short=True)
     return found.select("doc_id", "lines_removed", F.length("text").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
