@@ -1,6 +1,6 @@
 """Line dedup (operator 10): an exact set-similarity join of lines, and the removal of later matches.
 
-A line's tokens are its five-word shingles (words are runs of letters and digits, in lower case), as a set of 40-bit hashes. Two lines
+A line's tokens are its five-word shingles (words are runs of letters and digits, in lower case), as a set of 64-bit hashes. Two lines
 match if the Jaccard similarity of their sets is 0.8 or more. A line is removed if any earlier line matches it, earlier by (doc_id,
 place in the document); that is a property of the pair, so the order of the work doesn't matter. A line of one to four words is one
 token of its whole sequence, so that it matches equal ones alone; with short=False such lines stay. Lines without words stay.
@@ -51,7 +51,8 @@ def needed(n, t: float = THRESHOLD):
 
 
 def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int = 1 << 19, short: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, line, n, first, tokens, order) of the lines that have tokens, some at a time. tokens[first[i] : first[i] + n[i]] are line i's, each once, by rarity
+    """(row, line, n, first, tokens, order, keys, whole) of the lines that have tokens, some at a time. whole(i): the set of line i, 64-bit hashes that
+    ascend; keys: one hash of each set. tokens[first[i] : first[i] + n[i]] are the first 40 bits of line i's, for the order of postings, each once, by rarity
     class and then hash; order: class and hash in one number. short: lines of fewer than WIDTH words have one token."""
     buf, offsets = column_bytes(pc.utf8_lower(pc.fill_null(column, "")))
     if not len(buf):
@@ -65,11 +66,10 @@ def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int =
     words = word_hashes(buf, starts, ends, _SAME)
     line = np.searchsorted(begins, starts, "right") - 1
     if short:
-        line, tokens = owned_shingles(words, line, WIDTH)
-        tokens = tokens >> np.uint64(64 - TOKEN_BITS)
+        line, hashes = owned_shingles(words, line, WIDTH)
     else:
         whole = line[WIDTH - 1 :] == line[: -(WIDTH - 1)]
-        tokens = (shingle_hashes(words, WIDTH) >> np.uint64(64 - TOKEN_BITS))[whole]
+        hashes = shingle_hashes(words, WIDTH)[whole]
         line = line[: -(WIDTH - 1)][whole]
     if not len(line):
         return
@@ -84,7 +84,8 @@ def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int =
     for a in range(0, len(cut), most):
         lo, hi = cut[a], cut[a + most] if a + most < len(cut) else len(line)
         number = np.cumsum(new[lo:hi]) - 1
-        own = tokens[lo:hi]
+        full = hashes[lo:hi]
+        own = full >> np.uint64(64 - TOKEN_BITS)
         packed = number.astype(np.uint64) << np.uint64(44) | own
         if classes is not None:
             packed |= classes[(own >> np.uint64(TOKEN_BITS - 16)).astype(np.int64)].astype(np.uint64) << np.uint64(40)
@@ -93,13 +94,18 @@ def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int =
         number = (packed >> np.uint64(44)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
         n = np.diff(np.append(first, len(number)))
-        which = line[lo:hi][cut[a : a + most] - lo]
-        yield row_of[which], place_of[which], n, first, packed & _TOKEN, packed & np.uint64((1 << 44) - 1)
+        begin = cut[a : a + most] - lo
+        which, bounds = line[lo:hi][begin], np.append(begin, hi - lo)
+        whole_set = lambda i, full=full, bounds=bounds: np.unique(full[bounds[i] : bounds[i + 1]])
+        yield row_of[which], place_of[which], n, first, packed & _TOKEN, packed & np.uint64((1 << 44) - 1), set_keys(n, full, bounds, whole_set), whole_set
 
 
-def set_keys(n: np.ndarray, first: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """One hash for each set of tokens, the same in any order."""
-    return mix64(np.add.reduceat(mix64(tokens), first) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)).view(np.int64)
+def set_keys(n: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, whole_set) -> np.ndarray:
+    """One hash for each line's set of 64-bit hashes, the same in any order; hashes: as they stand in the lines, with repeats."""
+    total = np.add.reduceat(mix64(hashes), bounds[:-1])
+    for i in np.flatnonzero(np.diff(bounds) != n).tolist():
+        total[i] = mix64(whole_set(i)).sum(dtype=np.uint64)
+    return mix64(total * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)).view(np.int64)
 
 
 def prefixes(n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +125,9 @@ def scan_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 ord_, uid = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for row, line, n, first, tokens, _ in line_tokens(part.column(2), short=short):
+                for row, line, n, first, tokens, _, keys, _ in line_tokens(part.column(2), short=short):
                     counts += np.bincount((tokens >> np.uint64(TOKEN_BITS - 16)).astype(np.int64), minlength=COUNTERS)
-                    yield pa.RecordBatch.from_arrays([pa.array(ord_[row]), pa.array(uid[row]), pa.array(line.astype(np.int32)), pa.array(set_keys(n, first, tokens)), pa.nulls(len(row), pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ord_[row]), pa.array(uid[row]), pa.array(line.astype(np.int32)), pa.array(keys), pa.nulls(len(row), pa.int64())], schema=schema)
         some = np.flatnonzero(counts)
         none = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(some), pa.array(counts[some])], schema=schema)
@@ -152,8 +158,7 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                for _, _, n, first, tokens, order in line_tokens(part.column(2), classes):
-                    keys = set_keys(n, first, tokens)
+                for _, _, n, first, tokens, order, keys, _ in line_tokens(part.column(2), classes):
                     once = np.zeros(len(keys), bool)
                     _, at = np.unique(keys, return_index=True)
                     once[at] = [k not in seen for k in keys[at].tolist()]
@@ -242,8 +247,7 @@ def full_postings(docs: DataFrame, classes: np.ndarray, maps: list[np.ndarray],
         for batch in batches:
             for part in slices(batch, "text"):
                 ord_, uid = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for row, line, n, first, tokens, order in line_tokens(part.column(2), classes):
-                    keys = set_keys(n, first, tokens)
+                for row, line, n, first, _, order, keys, whole_set in line_tokens(part.column(2), classes):
                     keep = np.zeros(len(keys), bool)
                     for i in np.flatnonzero(in_bitmap(keys_in, bits, keys)).tolist():  # the earliest occurrence that the task has met, again if an earlier one comes
                         place, k = (ord_[row[i]], uid[row[i]], line[i]), int(keys[i])
@@ -261,8 +265,7 @@ def full_postings(docs: DataFrame, classes: np.ndarray, maps: list[np.ndarray],
                     owner, within = owner[hit], within[hit]
                     sets: dict[int, bytes] = {}
                     for i in np.unique(owner).tolist():
-                        x = order[first[i] : first[i] + n[i]]
-                        sets[i] = (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
+                        sets[i] = whole_set(i).astype("<u8").tobytes()
                     for a in range(0, len(owner), 1024):
                         o, w = owner[a : a + 1024], within[a : a + 1024]
                         yield pa.RecordBatch.from_arrays([pa.array(order[first[o] + w].view(np.int64)), pa.array(keys[o]), pa.array(ord_[row[o]]), pa.array(uid[row[o]]), pa.array(line[o].astype(np.int32)), pa.array(w.astype(np.int32)), pa.array([sets[i] for i in o.tolist()], pa.binary())], schema=schema)
@@ -272,9 +275,8 @@ def full_postings(docs: DataFrame, classes: np.ndarray, maps: list[np.ndarray],
 
 def _sets(blobs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """n, first and the tokens of packed sets."""
-    n = np.array([len(b) // 6 for b in blobs], np.int64)
-    tokens = [np.frombuffer(b, "<u4", k).astype(np.uint64) | np.frombuffer(b, "<u2", k, 4 * k).astype(np.uint64) << np.uint64(32) for b, k in zip(blobs, n.tolist(), strict=True)]
-    return n, np.cumsum(n) - n, np.concatenate(tokens)
+    n = np.array([len(b) // 8 for b in blobs], np.int64)
+    return n, np.cumsum(n) - n, np.concatenate([np.frombuffer(b, "<u8") for b in blobs])
 
 
 _MATCH = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("similarity", pa.float64())])
