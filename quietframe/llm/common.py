@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,21 +105,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_RINV = np.uint64(pow(int(_R), -1, 2**64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, 1 << 20)
-        for name, r in (("up", _R), ("down", _RINV)):
-            x = np.full(m, r, np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -145,14 +134,40 @@ def word_spans(buf: np.ndarray, breaks: np.ndarray, space: np.ndarray = SPACE) -
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """64-bit hashes of buf[start:end] after folding each byte; equal words have equal hashes wherever they stand."""
+    """64-bit hashes of buf[start:end] after folding each byte; equal words have equal hashes wherever they stand.
+
+    Eight bytes at a time are mixed in, so words of one length up to eight bytes never collide; long words are hashed by XXH3."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(buf) + 1)
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[fold][buf] * up[: len(buf)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    folded = np.zeros(len(buf) + 8, np.uint8)
+    folded[: len(buf)] = fold[buf]
+    lanes = np.ndarray((len(buf) + 1,), "<u8", folded, strides=(1,))
+    size = ends - starts
+    h = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (lanes[starts] & _KEEP[np.minimum(size, 8)])
+    h = mix64(h)
+    left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    at = 8
+    while len(left):
+        h[left] = mix64(h[left] ^ (lanes[starts[left] + at] & _KEEP[np.minimum(size[left] - at, 8)]))
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether buf[start:end] and buf[starts[o]:ends[o]], o = other, are equal, for all at once."""
+    size = ends - starts
+    same = size == size[other]
+    some = np.flatnonzero(same & (other != np.arange(len(other))) & (size > 0))
+    if len(some):
+        n = size[some]
+        shift = np.cumsum(n) - n
+        within = np.arange(int(n.sum()))
+        differ = buf[within + np.repeat(starts[some] - shift, n)] != buf[within + np.repeat(starts[other[some]] - shift, n)]
+        same[some] = ~np.logical_or.reduceat(differ, shift)
+    return same
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -14,8 +14,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, token_store, url_filter, warc
-from quietframe.llm.common import Scratch
+from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, token_store, tokens, url_filter, warc
+from quietframe.llm.common import LOWER, Scratch, word_hashes
 from quietframe.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, ord int, uid string, gone int, digest string"
@@ -57,15 +57,45 @@ def none(spark):
 def test_encoder_is_the_library(name):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab Z'sé\n\t   \x1c\0\xa0,.1²İΣß ͏́|<>endoftext") for _ in range(rng.randrange(60))) for _ in range(4000)]
-    texts += ["<|endoftext|> a", "it's  we'll\n\n  x ", "  lead", "trail  ", "\n", "", *[t or "" for _, t, *_ in corpus()]]
+    texts += ["<|endoftext|> a", "a  b<|endoftext|>", "x <|startoftext|>Y <|EndOfText|> z", "<|endoftext|>", "<|endo", "ftext|>", "it's  we'll\n\n  x ", "  lead", "trail  ", "\n", "", *[t or "" for _, t, *_ in corpus()]]
     e = Encoder(public_tokenizers.path(name), most=500)
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     for some in (texts, texts[::-1], [], [""], ["", " ", ""]):
         ids, first = e.encode(pa.array(some, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [x.ids for x in tok.encode_batch(some, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_encoder_tells_colliding_words_apart(name, size, monkeypatch):
+    """The Thue-Morse word and its complement, which agree under every polynomial hash modulo 2^64; then all words under one hash."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "one two three", "two", ""]
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    for constant in (False, True):
+        if constant:
+            monkeypatch.setattr(tokens, "word_hashes", lambda buf, starts, *_: np.zeros(len(starts), np.uint64))
+        e = Encoder(public_tokenizers.path(name))
+        for some, ids_of in ((texts, want), (texts[::-1], want[::-1])):
+            ids, first = e.encode(pa.array(some, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == ids_of
+
+
+def test_word_hashes_follow_the_bytes_alone():
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"abAB\xc3") for _ in range(rng.choice([1, 7, 8, 9, 16, 17, 255, 256, 257, 600]))) for _ in range(300)]
+    parts += parts[:100]
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(x) for x in parts])
+    starts = ends - [len(x) for x in parts]
+    for fold, name in ((np.arange(256, dtype=np.uint8), bytes), (LOWER, bytes.lower)):
+        groups = {}
+        for h, x in zip(word_hashes(buf, starts, ends, fold).tolist(), parts, strict=True):
+            groups.setdefault(name(x), set()).add(h)
+        assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
 def test_plan_is_best_fit():
     rng = random.Random(2)
     for capacity in (10, 64):
