@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, token_store, url_filter, warc
-from quietframe.llm.common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +54,8 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = index.dedup(table(spark, sf_dir, "documents"), scratch := Scratch(spark, "op9"))
-    del scratch
-    index.drop()  # the query starts from an empty index each time; its result doesn't read it
+    out = exact_dedup.keep_one(table(spark, sf_dir, "documents"), spark, index)
+    index.drop()  # the query starts from an empty index each time; the verdicts that it read from the index are written
     return out
 
 

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quietframe.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, simhash, token_store, tokens, url_filter, warc
@@ -466,9 +467,12 @@ def test_simhash_links_of_a_dense_family(spark, block):
 # ---- op9
 
 
-def test_exact(spark, docs, none):
-    index = exact_dedup.DigestIndex(spark, "t_digest_index", 4)
-    index.drop()
+@pytest.mark.parametrize("kept", [False, True])
+def test_exact(spark, docs, none, kept, tmp_path):
+    path = f"file://{tmp_path}/index" if kept else None
+    make = lambda: exact_dedup.DigestIndex(spark, "t_digest_index", 4, path)
+    exact_dedup.DigestIndex(spark, "t_digest_index").drop()
+    index = make()
     out = index.dedup(docs, Scratch(spark, "t")).collect()
     groups = collections.defaultdict(list)
     for i, t, *_ in corpus():
@@ -478,10 +482,32 @@ def test_exact(spark, docs, none):
         assert r["group_size"] == len(g) and r["keep_id"] == max((x for x in g if x is not None), default=None)
     assert collections.Counter((r["text_sha256"], r["doc_id"]) for r in out) == collections.Counter((d, i) for d, g in groups.items() for i in g)
     assert sum(r["kept"] for r in out) == len(groups)
-    again = index.dedup(spark.createDataFrame([(900, corpus()[0][1]), (901, "new"), (902, "new")], "doc_id long, text string"), Scratch(spark, "t"))
-    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again.collect()) == [(900, 76, False), (901, 902, False), (902, 902, True)]
+    if kept:  # another session: the table is gone from the catalog, its files and number of buckets stay
+        index.drop()
+        index = exact_dedup.DigestIndex(spark, "t_digest_index", 9, path)
+        assert index.buckets == 4
+    # A text of an earlier call stays; of new equal rows with the largest doc_id one stays.
+    again = index.dedup(spark.createDataFrame([(900, corpus()[0][1]), (901, "new"), (902, "new"), (902, "new")], "doc_id long, text string"), Scratch(spark, "t"))
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in again.collect()) == [(900, 76, False), (901, 902, False), (902, 902, False), (902, 902, True)]
     assert index.read().count() == len(groups) + 1
+    before = sorted(index.read().collect())
+    index.compact()
+    assert sorted(index.read().collect()) == before
+    assert len(index.read().inputFiles()) <= 4
     assert index.dedup(none, Scratch(spark, "t")).count() == 0
+    assert not any(r["kept"] for r in index.dedup(docs, Scratch(spark, "t")).collect())
+    index.drop()
+
+
+def test_exact_goes_through_the_index(spark, docs):
+    """The anti-join and the verdicts are sort-merge joins that read the buckets as they lie: nothing of the index is shuffled."""
+    exact_dedup.DigestIndex(spark, "t_plan_index").drop()
+    index = exact_dedup.DigestIndex(spark, "t_plan_index", 8)
+    groups = spark.createDataFrame([("a", 1, 1, "b")], exact_dedup.SCHEMA)
+    index.append(groups)
+    for df, kind in ((index.unseen(groups.withColumn("digest", F.concat("digest", F.lit("")))), "LeftAnti"), (index.verdicts(groups.select("digest")), "Inner")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and kind in plan and "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
     index.drop()
 
 
