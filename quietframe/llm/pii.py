@@ -1,27 +1,31 @@
 """Personal data (operator 3): fixed patterns, and a character BiLSTM with CRF transitions that adds what they don't catch.
 
 The tagger. Characters fall into about 60 classes; a bidirectional LSTM reads windows of WINDOW characters and gives each character a score
-for each of nine tags (outside; begin and inside of each kind), and a CRF adds transition scores, with inside tags only after their own
-kind. It is trained in numpy, by backpropagation through time and the CRF's forward-backward sums, from labelled spans; `examples` makes them.
+for each tag (outside; begin and inside of each kind), and a CRF adds transition scores, with inside tags only after their own kind. It is
+trained in numpy, by backpropagation through time and the CRF's forward-backward sums, from labelled spans that `examples` makes; nothing of
+a corpus is in them. Its trained parameters lie beside this module (``python -m quietframe.llm.pii`` trains and writes them anew). It adds
+what no pattern of the base can have: addresses with gaps or brackets, local phone numbers, card numbers with a wrong digit (Luhn fails) or
+with dots, and secrets: keys, tokens and passwords that text assigns (kind `secret`, listed after the base's kinds).
 
-Windows overlap by half, so any span of up to half a window lies whole in one. Each window is decoded by Viterbi. Its spans, with
-their score over "outside", are candidates; a span that runs to a window's edge inside the text joins the neighbour's span of its kind that it touches.
-Of all candidates of a document the set without overlaps that has the largest total score is taken (weighted interval scheduling).
-Base spans stay; model spans that overlap one are dropped. A model span must have the shape of its kind (number of digits, an "@", dots; a card
-number must pass Luhn, so long numbers that fail it stay out).
+Windows overlap by half, so any span of up to half a window lies whole in one. Each window is decoded by Viterbi. Its spans, with their score
+over "outside", are candidates; a span that runs to a window's edge inside the text joins the neighbour's span of its kind that it touches.
+A candidate must have the shape of its kind (number of digits, an "@", dots) and must not overlap a span of the base, and what fails is
+put aside at once. Of the rest of a document the set without overlaps that has the largest total score is taken (weighted interval
+scheduling), so no span that fails can displace one that fits. Base spans all stay.
 
-Every shape has a digit or an "@". So a window without either can't add a span, and only windows with one are run. That is no
-approximation: the result is that of running all of them.
+Every shape has a digit or an "@", and so must every candidate or part of one. So a window without either can't change the result, and only
+windows with one are run; a test holds that against running all windows.
 
-Scale: a narrow pass; the model is 40 kB of parameters in the tasks' closure, and windows are run 4,096 at a time.
+Scale: a narrow pass; the model is 70 kB of parameters in the tasks' closure, and windows are run 2,048 at a time.
 
 Defined results. Null and empty texts have no spans. Repeated rows have the same spans. Places are code points, ends exclusive. An empty
-table gives no rows. Other columns aren't read.
+table gives no rows. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +38,9 @@ from pyspark.sql import functions as F
 from quietframe.llm.common import slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds that the tagger knows.
+EVERY = (*KINDS, "secret")
+PARAMETERS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_tagger.npz")
 Span = tuple[str, int, int]
 
 # The contract's patterns. Guards that change no match keep the search linear: a run of digits that fails from its start fails from any
@@ -84,8 +91,8 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the tagger
 
-WINDOW, STRIDE, HIDDEN = 64, 32, 16
-TAGS = 1 + 2 * len(KINDS)
+WINDOW, STRIDE, HIDDEN = 128, 64, 24
+TAGS = 1 + 2 * len(EVERY)
 _MARKS = "@.-+ ()_%,:;/\n\t[]{}<>\"'=#*!?&|$"
 CLASSES = 26 + 1 + len(_MARKS) + 3
 _TABLE = np.full(128, CLASSES - 1, np.int64)
@@ -96,7 +103,7 @@ for _i, _c in enumerate(_MARKS):
     _TABLE[ord(_c)] = 27 + _i
 OTHER, PAD = CLASSES - 2, CLASSES - 3
 BAD = np.zeros((TAGS, TAGS), bool)
-for _k in range(len(KINDS)):
+for _k in range(len(EVERY)):
     BAD[:, 2 + 2 * _k] = True
     BAD[[1 + 2 * _k, 2 + 2 * _k], 2 + 2 * _k] = False
 _NEVER = -1e4
@@ -205,7 +212,7 @@ class Tagger:
             c = classes_of(text)[:WINDOW]
             x[r, : len(c)] = c
             for kind, a, b in spans:
-                k = 1 + 2 * KINDS.index(kind)
+                k = 1 + 2 * EVERY.index(kind)
                 y[r, a] = k
                 y[r, a + 1 : b] = k + 1
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -244,7 +251,7 @@ class Tagger:
         return tags, gain.T
 
 
-_SHAPE = {"ip": re.compile(r"[0-9. ]+"), "card": re.compile(r"[0-9 .-]+"), "phone": re.compile(r"[0-9 .()+-]+")}
+_SHAPE = {"ip": re.compile(r"[0-9. ]+"), "card": re.compile(r"[0-9 .-]+"), "phone": re.compile(r"[0-9 .()+-]+"), "secret": re.compile(r"[A-Za-z0-9_+/=.-]{12,}")}
 
 
 def fits(kind: str, text: str, a: int, b: int) -> bool:
@@ -258,7 +265,9 @@ def fits(kind: str, text: str, a: int, b: int) -> bool:
     if kind == "ip":
         return found.count(".") == 3 and 4 <= digits <= 12
     if kind == "card":
-        return 13 <= digits <= 19 and luhn("".join(c for c in found if c in "0123456789"))
+        return 13 <= digits <= 19
+    if kind == "secret":
+        return 0 < digits < len(found)
     return 7 <= digits <= 15
 
 
@@ -274,9 +283,10 @@ def window_starts(text: str) -> np.ndarray:
     return np.unique(np.concatenate([at, at - 1])[np.concatenate([at, at - 1]) >= 0]) * STRIDE
 
 
-def reconcile(spans: list[tuple[str, int, int, float]], edges: set[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
-    """Joins spans that windows cut, then takes the set without overlaps that has the largest score."""
-    spans = sorted(set(spans), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+def reconcile(spans: list[tuple[str, int, int, float]], edges: set[tuple[int, int]], final=lambda kind, a, b: (a, b)) -> list[tuple[str, int, int, float]]:
+    """Joins spans that windows cut, then takes the set without overlaps that has the largest score. final: the place of a joined span, or
+    None if it is to be put aside."""
+    spans = sorted(set(spans), key=lambda s: (EVERY.index(s[0]), s[1], s[2]))
     joined: list[tuple[str, int, int, float]] = []
     for s in spans:
         last = joined[-1] if joined else None
@@ -285,7 +295,8 @@ def reconcile(spans: list[tuple[str, int, int, float]], edges: set[tuple[int, in
             joined[-1] = (s[0], last[1], s[2], max(last[3], s[3]) + 1)
         else:
             joined.append(s)
-    joined.sort(key=lambda s: (s[2], s[1]))
+    placed = [(s, final(*s[:3])) for s in joined]
+    joined = sorted({(s[0], *at, s[3]) for s, at in placed if at}, key=lambda s: (s[2], s[1], s[0], s[3]))
     ends = [s[2] for s in joined]
     best = [(0.0, -1, -1)]  # total, span taken, state before
     for i, (_, a, _, score) in enumerate(joined):
@@ -301,8 +312,9 @@ def reconcile(spans: list[tuple[str, int, int, float]], edges: set[tuple[int, in
     return out[::-1]
 
 
-def model_spans(texts: list[str], tagger: Tagger, starts: list[np.ndarray] | None = None, batch: int = 4096) -> list[list[Span]]:
-    """The reconciled spans of the tagger in every text. starts: the windows to run, those with a digit or "@" if not given."""
+def model_spans(texts: list[str], tagger: Tagger, starts: list[np.ndarray] | None = None, batch: int = 2048, taken: list[list[Span]] | None = None) -> list[list[Span]]:
+    """The reconciled spans of the tagger in every text. starts: the windows to run, those with a digit or "@" if not given. taken: spans
+    of each text that none may overlap."""
     starts = [window_starts(t) if _TRIGGER.search(t) else np.zeros(0, np.int64) for t in texts] if starts is None else starts
     coded = [classes_of(t) if len(s) else None for t, s in zip(texts, starts, strict=True)]
     owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
@@ -322,15 +334,20 @@ def model_spans(texts: list[str], tagger: Tagger, starts: list[np.ndarray] | Non
                 b += 1
             doc, at = owner[i + r], int(begin[i + r])
             size = len(texts[doc])
-            if at + b > size:
+            if at + b > size or not _TRIGGER.search(texts[doc], at + int(a), at + int(b)):
                 continue
-            found[doc].append((KINDS[(k - 1) // 2], at + int(a), at + int(b), float(gain[r, a:b].sum())))
+            found[doc].append((EVERY[(k - 1) // 2], at + int(a), at + int(b), float(gain[r, a:b].sum())))
             if a == 0 and at or b == WINDOW and at + b < size:
                 edges[doc].add((at + int(a), at + int(b)))
     out: list[list[Span]] = []
-    for text, f, e in zip(texts, found, edges, strict=True):
-        spans = [(k, *trimmed(text, a, b)) for k, a, b, _ in reconcile(f, e)] if f else []
-        out.append([s for s in spans if s[1] < s[2] and fits(s[0], text, s[1], s[2])])
+    for i, (text, f, e) in enumerate(zip(texts, found, edges, strict=True)):
+        held = taken[i] if taken else []
+
+        def final(kind: str, a: int, b: int, text=text, held=held):
+            a, b = trimmed(text, a, b)
+            return (a, b) if a < b and fits(kind, text, a, b) and not any(a < y and x < b for _, x, y in held) else None
+
+        out.append([s[:3] for s in reconcile(f, e, final)] if f else [])
     return out
 
 
@@ -348,65 +365,95 @@ def _digits(rng: np.random.Generator, n: int) -> str:
     return "".join(map(str, rng.integers(0, 10, n)))
 
 
-def _entity(rng: np.random.Generator, kind: str) -> str:
-    name = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 8)))
+def _letters(rng: np.random.Generator, n: int) -> str:
+    return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+
+
+def _key(rng: np.random.Generator) -> str:
+    """A random key of one of the common makes."""
+    kind = rng.integers(0, 5)
+    if kind < 2:
+        return rng.bytes(int(rng.choice([16, 20, 20, 32]))).hex()
+    chars = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" if kind == 2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    return str(rng.choice(["", "sk-", "key_", "pk-"])) + "".join(rng.choice(chars, int(rng.integers(16, 44)))) + str(rng.integers(0, 10))
+
+
+def _entity(rng: np.random.Generator, kind: str) -> tuple[str, str, str]:
+    """What stands before the entity, the entity, and what stands after it."""
+    name = lambda: _letters(rng, rng.integers(2, 8))
     if kind == "email":
         host = rng.choice(["example", "mail", name()]) + (_digits(rng, 1) if rng.random() < 0.5 else "")
-        return f"{name()}{rng.choice(['.', '_', '-', '', '+'])}{_digits(rng, rng.integers(0, 3))}{rng.choice(['@', '@', '@', ' @ ', '@ ', '[@]'])}{host}.{rng.choice(['com', 'net', 'example.com', 'org', 'co.uk'])}"
+        return "", f"{name()}{rng.choice(['.', '_', '-', '', '+'])}{_digits(rng, rng.integers(0, 3))}{rng.choice(['@', '@', '@', ' @ ', '@ ', '[@]'])}{host}.{rng.choice(['com', 'net', 'example.com', 'org', 'co.uk'])}", ""
     if kind == "ip":
-        return rng.choice([".", ".", ".", " . "]).join(str(rng.integers(0, 256)) for _ in range(4))
+        return "", rng.choice([".", ".", ".", " . "]).join(str(rng.integers(0, 256)) for _ in range(4)), ""
     if kind == "card":
+        if rng.random() < 0.1:
+            return "", " ".join([_digits(rng, 4), _digits(rng, 6), _digits(rng, 5)]), ""
         four = [_digits(rng, 4) for _ in range(4)]
-        return rng.choice(["", "", " ", "-", "."]).join(four)
+        return "", rng.choice(["", "", "", " ", "-", "."]).join(four), ""
+    if kind == "secret":
+        what, sign = rng.choice(["token", "api_key", "secret", "password", "key", "access_token", "auth", "client_secret"]), rng.choice([" = ", "=", ": ", " := "])
+        quote = rng.choice(['"', '"', "'", ""])
+        what = str(what).upper() if rng.random() < 0.3 else str(what)
+        return f"{what}{sign}{quote}", _key(rng).upper() if rng.random() < 0.1 else _key(rng), str(quote)
     a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
-    return rng.choice([f"+{_digits(rng, 1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{_digits(rng, 2)} {a} {b} {c}", f"{a}.{b}.{c}", f"00{_digits(rng, 2)} {a} {b}{c}"])
+    return "", str(rng.choice([f"+{_digits(rng, 1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{_digits(rng, 2)} {a} {b} {c}", f"{a}.{b}.{c}", f"00{_digits(rng, 2)} {a} {b}{c}"])), ""
 
 
 def _decoy(rng: np.random.Generator) -> str:
     """Digits and marks that are no personal data."""
     n = rng.integers
-    return rng.choice([str(n(1900, 2100)), f"{n(1, 99)}.{n(0, 9)}", f"{n(1, 28):02d}.{n(1, 12):02d}.{n(1990, 2030)}", f"{n(1990, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}", f"{n(1, 24)}:{n(0, 59):02d}", f"$ {n(1, 9999)}", f"{n(1, 999)},{n(0, 999):03d}", f"version {n(1, 9)}.{n(0, 9)}", f"v{n(1, 9)}.{n(0, 9)}.{n(0, 9)}", f"no. {n(1, 99999)}", f"@{_word(rng)}", f"{n(1, 100)} %", f"({n(1, 30)})", f"CC BY-NC {n(1, 5)}.0", f'token = "{rng.bytes(20).hex()}"', f"{_digits(rng, int(n(5, 8)))}"])
+    return str(rng.choice([str(n(1900, 2100)), f"{n(1, 99)}.{n(0, 9)}", f"{n(1, 28):02d}.{n(1, 12):02d}.{n(1990, 2030)}", f"{n(1990, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}", f"{n(1, 24)}:{n(0, 59):02d}", f"$ {n(1, 9999)}", f"{n(1, 999)},{n(0, 999):03d}", f"version {n(1, 9)}.{n(0, 9)}", f"v{n(1, 9)}.{n(0, 9)}.{n(0, 9)}", f"no. {n(1, 99999)}", f"@{_word(rng)}", f"{n(1, 100)} %", f"({n(1, 30)})", f"CC BY-NC {n(1, 5)}.0", f"version {n(1, 9)}.", f"ISBN 978{_digits(rng, 10)}", f"at 17{_digits(rng, 11)} ms", f"commit {rng.bytes(20).hex()}", f"{n(1, 99999)} x {n(1, 999)}", f"key {n(1, 99)}", f"token {n(1, 99)} of {n(1, 999)}", f"{_digits(rng, int(n(5, 8)))}"]))
 
 
-def examples(n: int = 3_000, seed: int = 3) -> list[tuple[str, list[Span]]]:
-    """Labelled texts of about a window: words, at times an entity and at times a decoy, cut anywhere."""
+def examples(n: int = 5_000, seed: int = 3) -> list[tuple[str, list[Span]]]:
+    """Labelled texts of about a window: words, at times entities and at times a decoy, cut anywhere. Of a span that the cut parts, what is
+    left is a span if it has eight characters."""
     rng = np.random.default_rng(seed)
     out = []
     while len(out) < n:
         parts, spans, at = [], [], 0
-        what = [(str(k), _entity(rng, k)) for k in rng.choice(KINDS, rng.choice([0, 1, 1, 2]), replace=False)] + [("", _decoy(rng)) for _ in range(rng.integers(0, 2))]
+        what = [(str(k), *_entity(rng, k)) for k in rng.choice(EVERY, rng.choice([0, 1, 1, 2]), replace=False)] + [("", "", _decoy(rng), "") for _ in range(rng.integers(0, 2))]
         rng.shuffle(what)
-        seps = " | " if rng.random() < 0.05 else " "
-        for kind, token in [*[("", _word(rng)) for _ in range(rng.integers(0, 6))], *[y for x in what for y in (tuple(x), *[("", _word(rng)) for _ in range(rng.integers(1, 4))])]]:
+        sep = " | " if rng.random() < 0.05 else " "
+        plain = lambda k: [("", "", _word(rng), "") for _ in range(k)]
+        upper = rng.random() < 0.05
+        for kind, before, token, after in [*plain(rng.integers(0, 12)), *[y for x in what for y in (tuple(x), *plain(rng.integers(1, 6)))]]:
+            token, before = (token.upper(), before.upper()) if upper else (token, before)
             if kind:
-                spans.append((kind, at, at + len(token)))
-            token = token + rng.choice(["", "", "", ",", ".", "!!", "%%%"]) if rng.random() < 0.5 else token
+                spans.append((str(kind), at + len(before), at + len(before) + len(token)))
+            token = before + token + after + (str(rng.choice(["", "", "", ",", ".", "!!", "%%%", "###", "$$$", "***"])) if rng.random() < 0.5 else "")
             parts.append(token)
-            at += len(token) + len(seps)
-        text = seps.join(parts)
+            at += len(token) + len(sep)
+        text = sep.join(parts)
         cut = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-        inside = [(k, a - cut, b - cut) for k, a, b in spans if a >= cut and b <= cut + WINDOW]
-        if all(a >= cut and b <= cut + WINDOW or b <= cut or a >= cut + WINDOW for _, a, b in spans):
+        inside = [(k, max(a - cut, 0), min(b - cut, WINDOW)) for k, a, b in spans if b > cut and a < cut + WINDOW]
+        if all(b - a >= 8 or (k, a + cut, b + cut) in spans for k, a, b in inside):
             out.append((text[cut : cut + WINDOW], inside))
     return out
 
 
-@lru_cache(maxsize=4)
-def trained(n: int = 3_000, epochs: int = 6, seed: int = 3) -> Tagger:
-    """The tagger fitted on generated examples; the same each time."""
+@lru_cache(maxsize=1)
+def trained() -> Tagger:
+    """The tagger with the parameters that lie beside this module."""
     tagger = Tagger()
-    tagger.fit(examples(n, seed), epochs)
+    with np.load(PARAMETERS) as kept:
+        tagger.p = {k: kept[k] for k in tagger.p}
     return tagger
 
 
+def train_and_write(n: int = 5_000, epochs: int = 8, seed: int = 3) -> list[float]:
+    """Fits a tagger on generated examples and writes its parameters; the same each time."""
+    tagger = Tagger()
+    losses = tagger.fit(examples(n, seed), epochs)
+    np.savez(PARAMETERS, **tagger.p)
+    return losses
+
+
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
     """Base spans, and all spans, of every text, by kind and start."""
-    out = []
-    for text, added in zip(texts, model_spans(texts, tagger), strict=True):
-        base = base_spans(text)
-        new = [s for s in added if not any(s[1] < b and a < s[2] for _, a, b in base)] if base else added
-        out.append((base, sorted([*base, *new], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
-    return out
+    base = [base_spans(t) for t in texts]
+    return [(b, sorted([*b, *new], key=lambda s: (EVERY.index(s[0]), s[1], s[2]))) for b, new in zip(base, model_spans(texts, tagger, taken=base), strict=True)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -414,16 +461,20 @@ def joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans, n_added of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans, n_added (the tagger's), n_spans of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_spans", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
                 for doc_id, (base, every) in zip(part.column(0).to_pylist(), all_spans(part.column(1).to_pylist(), tagger), strict=True):
-                    rows.append((doc_id, *[sum(s[0] == k for s in base) for k in KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
+                    rows.append((doc_id, *[sum(s[0] == k for s in base) for k in KINDS], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    kinds = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    kinds = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
     return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, kinds)
+
+
+if __name__ == "__main__":
+    print(train_and_write())

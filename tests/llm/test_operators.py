@@ -229,26 +229,56 @@ def test_base_spans_match_the_plain_patterns():
         assert pii.base_spans(t) == want, t
 
 
-def test_tagger_learns_and_windows_are_exact(spark, none):
-    losses = pii.Tagger().fit(pii.examples(300), epochs=3)
+def test_tagger_learns():
+    losses = pii.Tagger().fit(pii.examples(200), epochs=3)
     assert losses[-1] < losses[0] / 2
+
+
+def test_tagger_on_held_out_spans():
+    """Recall and precision of 0.9 for every kind, and 0.9 too for those spans that the base patterns miss."""
+    held = pii.examples(600, seed=77)
+    got = pii.model_spans([t for t, _ in held], pii.trained())
+    for kind in pii.EVERY:
+        want = {(i, *s) for i, (_, spans) in enumerate(held) for s in spans if s[0] == kind}
+        have = {(i, *s) for i, spans in enumerate(got) for s in spans if s[0] == kind}
+        assert len(want & have) > 0.9 * len(want) and len(want & have) > 0.9 * len(have), kind
+    both = pii.all_spans([t for t, _ in held], pii.trained())
+    want = {(i, *s) for i, (_, spans) in enumerate(held) for s in spans if not any(s[1] < y and x < s[2] for _, x, y in both[i][0])}
+    added = {(i, *s) for i, (base, every) in enumerate(both) for s in every if s not in base}
+    assert len(want) > 100 and len(want & added) > 0.9 * len(want) and len(want & added) > 0.9 * len(added)
+
+
+def test_windows_without_a_digit_or_at_change_nothing():
+    rng = random.Random(8)
     tagger = pii.trained()
-    held = pii.examples(200, seed=77)
-    got = pii.model_spans([t for t, _ in held], tagger)
-    hit = sum(len(set(g) & set(s)) for g, (_, s) in zip(got, held, strict=True))
-    # Cards of random digits mostly fail Luhn, and those stay out.
-    want = sum(k != "card" for _, s in held for k, _, _ in s)
-    assert sum(len(set(g) & {x for x in s if x[0] != "card"}) for g, (_, s) in zip(got, held, strict=True)) > 0.8 * want and hit
-    long = " ".join(t for t, _ in held)
-    every = np.arange(0, len(long), pii.STRIDE)
-    assert pii.model_spans([long], tagger) == pii.model_spans([long], tagger, [every])
-    docs = spark.createDataFrame([(1, "mail a.b@c.org now"), (2, None), (3, ""), (1, "mail a.b@c.org now")], "doc_id long, text string")
-    rows = sorted(map(tuple, pii.find(docs, tagger).collect()))
-    assert rows[0] == rows[1] and rows[0][:5] == (1, 1, 0, 0, 0) and rows[0][5] == hashlib.sha256(b"email:5:14").hexdigest()
-    assert rows[2][1:7] == (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+    texts = [" ".join(t for t, _ in pii.examples(120, seed=78))]
+    texts += ["".join(rng.choice("aB.@ -_=:+()\"'17%\né") for _ in range(3000)), "".join(rng.choice(["abc", " ", "@x.y", "token = ", "deadbeef", "0", "x" * 90, ". "]) for _ in range(2000))]
+    for text in texts:
+        every = np.arange(0, len(text), pii.STRIDE)
+        assert pii.model_spans([text], tagger) == pii.model_spans([text], tagger, [every])
+
+
+def test_personal_data(spark, none):
+    tagger = pii.trained()
+    texts = [(1, "mail a.b@c.org now"), (2, None), (3, ""), (1, "mail a.b@c.org now"), (None, 'the token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" of it'), (5, "é" * 200_000 + " call +1 (017) 555-7713 " + "x" * 200_000)]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in texts], "doc_id long, text string, n_email int, spans string")
+    rows = {(r["doc_id"], r["spans"]): r for r in pii.find(docs, tagger).collect()}
+    assert len(rows) == 5
+    r = rows[1, "email:5:14"]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["n_added"], r["n_spans"]) == (1, 0, 0, 0, 0, 1) and r["base_sha256"] == hashlib.sha256(b"email:5:14").hexdigest()
+    r = rows[None, "secret:13:53"]
+    assert (r["n_email"], r["n_added"], r["n_spans"]) == (0, 1, 1) and r["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert rows[2, ""]["n_spans"] == rows[3, ""]["n_spans"] == 0
+    assert rows[5, "phone:200006:200023"]["n_phone"] == 1
     assert pii.find(none, tagger).count() == 0
 
 
+def test_misfits_displace_nothing():
+    """A span that hasn't the shape of its kind is put aside before the best set is chosen."""
+    spans = [("email", 0, 20, 50.0), ("phone", 5, 17, 9.0)]
+    assert pii.reconcile(list(spans), set(), lambda kind, a, b: None if kind == "email" else (a, b)) == [("phone", 5, 17, 9.0)]
+
+
 def test_gradients():
     tagger = pii.Tagger(3)
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
