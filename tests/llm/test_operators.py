@@ -356,7 +356,7 @@ def test_multi_index_finds_all_within_radius():
 
 
 def test_url_rules_and_model(spark):
-    urls = ["https://a.com/x", "http://EXAMPLE.com/en/1?q", "http://www.example.com/en/1#f", "http://x.net/es/a", "http://x.net/fr/", "http://a.com?x=/", "no scheme", None, "", "://h/p", "ftp://u@b.org:80/p/q?x#y", "http://notexample.com/en/", "http://www.ads-track.example.org/en/1", "http://garden.example.org/about.html"]
+    urls = ["https://a.com/x", "http://EXAMPLE.com/en/1?q", "http://www.example.com/en/1#f", "http://x.net/es/a", "http://x.net/fr/", "http://a.com?x=/", "no scheme", None, "", "://h/p", "ftp://u@b.org:80/p/q?x#y", "http://notexample.com/en/", "http://www.poker-prizes.example.org/en/1", "http://garden.example.org/about.html"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, label double")
     w = url_filter.train(spark, labelled)
@@ -371,7 +371,7 @@ def test_url_rules_and_model(spark):
     def feats(u):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
         host, path = (m[1].lower(), m[2]) if m else ("", "")
-        g = dict.fromkeys(mark + s[i : i + n] for mark, s in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4) for i in range(len(s) - n + 1))
+        g = dict.fromkeys(mark + s[i : i + n] for mark, s in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (2, 4, 6) for i in range(len(s) - n + 1))
         return [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % buckets for x in g]
 
     rows = [(feats(u), y) for u, y in url_filter.labelled_urls()]
@@ -381,12 +381,37 @@ def test_url_rules_and_model(spark):
         step = np.zeros(buckets)
         for (g, _), e in zip(rows, err, strict=True):
             np.add.at(step, g, e / np.sqrt(max(1, len(g))))
-        mine = mine * (1 - 2.0 * 1e-3) + 2.0 / len(rows) * step
+        mine = mine * (1 - 50.0 * 1e-4) + 50.0 / len(rows) * step
         bias += 2.0 / len(rows) * err.sum()
-    assert np.allclose([*mine, bias], w, atol=1e-8)
+    assert np.allclose([*mine, bias], w, atol=1e-6)
     for i in (6, 7, 12, 13):
         g = feats(urls[i])
-        assert out[i]["score"] == pytest.approx(bias + sum(mine[g]) / np.sqrt(max(1, len(g))))
+        assert out[i]["score"] == pytest.approx(bias + sum(mine[g]) / np.sqrt(max(1, len(g))), abs=1e-5)
+
+
+def test_url_model_on_held_out_families(spark):
+    """Hosts of spam families whose names the model has never seen, and ordinary hosts: recall 0.9 at least, under 0.01 blocked of what is clean."""
+    families = "casino.?win|cheap.?pills|free.?bets|adult.?x|spam.?farm|ads.?track"
+    names = ["casino-win", "cheap-pills", "free-bets", "adult-x", "spam-farm", "ads-track"]
+    assert not set(names) & set(sum(url_filter.labelled_names(), []))
+    w = url_filter.train(spark, spark.createDataFrame(url_filter.labelled_urls(families), "url string, label double"))
+    bad = [f"http://{lead}{name}.example.{tail}/{path}" for name in names for lead in ("", "m.", "blog.") for tail in ("org", "net") for path in ("en/77", "de/1234.html", "de/9/")]
+    good = [f"https://{lead}{name}.example.{tail}/{path}" for k, name in enumerate(url_filter._made_up(150, 77)) for lead in ("", "www.") for tail, path in (("org", f"en/{k}"), ("net", f"de/{k}.html"))]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
+    blocked = [r["page_id"] for r in url_filter.judge(pages, w, []).collect() if r["verdict"] == "block"]
+    assert sum(i < len(bad) for i in blocked) >= 0.9 * len(bad)
+    assert sum(i >= len(bad) for i in blocked) < 0.01 * len(good)
+
+
+def test_url_empty_and_repeated(spark):
+    w = [0.0] * 17
+    schema = "page_id long, url string, rule int, score string"
+    assert url_filter.judge(spark.createDataFrame([], schema), w).count() == 0
+    long = "http://a.org/" + "x" * 100_000
+    rows = url_filter.judge(spark.createDataFrame([(1, long, 1, ""), (1, long, 1, ""), (None, None, 1, "")], schema), w).collect()
+    assert len(rows) == 3 and {r["verdict"] for r in rows} == {"allow"} and {r["rule"] for r in rows} == {None}
+    with pytest.raises(ValueError, match="over 2 rows"):
+        url_filter.train(spark, spark.createDataFrame([("a", 1.0)] * 3, "url string, label double"), most=2)
 
 
 # ---- op6
