@@ -113,8 +113,8 @@ def train(spark: SparkSession, examples: DataFrame, buckets: int = 8192, steps:
     one = one.select(F.expr("e.g").alias("g"), F.expr("e.y").alias("y"), F.expr("e.scale").alias("scale"))
     # For each bucket the examples that hold it, as often as they do.
     pairs = one.select(F.explode(F.expr("flatten(transform(g, (x, i) -> transform(x, b -> struct(b AS b, i AS i))))")).alias("p"))
-    held = pairs.groupBy("p.b").agg(F.sort_array(F.collect_list("p.i")).alias("l")).agg(F.map_from_entries(F.collect_list(F.struct("b", "l"))).alias("m"))
-    held = held.select(F.expr(f"transform(sequence(0, {buckets - 1}), b -> coalesce(m[b], CAST(array() AS array<int>)))").alias("held"))
+    pairs = pairs.select("p.b", "p.i").unionByName(spark.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(None).cast("int").alias("i")))
+    held = pairs.groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("l")).agg(F.expr("sort_array(collect_list(struct(b, l))).l").alias("held"))
     both = one.unionByName(held, allowMissingColumns=True).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("g", "y", "scale", "held")])
     step = f"""
         aggregate(sequence(1, {steps}),
