@@ -9,10 +9,11 @@ k. Unless a number is given, k is the number of documents whose log weight reach
 that loses least, where losing a good document counts `care` times as much as keeping a bad one).
 
 Words are runs of letters, digits and bytes over 0x7F, or runs of punctuation, so that junk marks are words of their own; A-Z are lowered.
-A word that repeats the one before makes a bigram that all such repetitions share.
+The log weight is the plain sum of log ratios over all n-grams of a text, whatever its length.
 
 Scale. Documents are read twice, in narrow passes; a pass of counts sends at most BUCKETS rows from each task. The label sample has at most
-`labelled` rows, chosen by a hash of doc_id. The k-th largest key is found exactly by refining a histogram over a thin table.
+`labelled` rows, chosen by a hash of doc_id. The k-th largest key is found exactly by refining a histogram over a thin table, and so is the
+place among ties; no sort of all rows, and at most 10,000 numbers reach the driver at once.
 
 Defined results. Null and empty texts have no n-grams: log weight 0. Ties of keys at the cut go to the smaller doc_id, then to any
 one of equal rows. Rows with equal doc_ids share their noise. An empty table gives no rows; without labelled good documents the target
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import LOWER, SPACE, Scratch, column_bytes, slices, text_or_empty, word_hashes
+from quietframe.llm.common import LOWER, SPACE, Scratch, column_bytes, mix64, slices, text_or_empty, word_hashes
 
 BUCKETS = 1 << 16
 _KIND = np.full(256, 2, np.uint8)
@@ -53,9 +54,8 @@ def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     h = word_hashes(buf, at, ends, LOWER)
     row = np.searchsorted(offsets, at, "right") - 1
     same = row[1:] == row[:-1]
-    two = np.where(h[1:] == h[:-1], np.uint64(0x5EED), h[1:] * np.uint64(0x9E3779B97F4A7C15) + h[:-1])[same]
-    two = two ^ (two >> np.uint64(29))
-    all_ = np.concatenate([h, two * np.uint64(0xBF58476D1CE4E5B9)])
+    two = mix64((h[1:] * np.uint64(0x9E3779B97F4A7C15) + h[:-1])[same])
+    all_ = np.concatenate([h, two])
     return (all_ >> np.uint64(48)).astype(np.int64), np.concatenate([row, row[1:][same]])
 
 
@@ -101,10 +101,8 @@ def log_ratios(counts: list[tuple[int, int, int]], smooth: float = 20.0) -> np.n
     return np.log(p) - np.log(q)
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, length: int = 100) -> DataFrame:
-    """doc_id, quality, n_grams, log_weight of every row of docs (doc_id, text, quality).
-
-    n-grams of one text depend on each other, so beyond `length` of them more say nothing new: the sum is then scaled to that many."""
+def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """doc_id, quality, n_grams, log_weight of every row of docs (doc_id, text, quality)."""
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +110,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, length: int = 100) -> DataFrame:
             for part in slices(batch, "text"):
                 bucket, row = grams(*column_bytes(part.column(1)))
                 n = np.bincount(row, minlength=part.num_rows)
-                w = np.bincount(row, weights=ratios[bucket], minlength=part.num_rows) * np.minimum(1, length / np.maximum(n, 1))
+                w = np.bincount(row, weights=ratios[bucket], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(w)], schema=schema)
 
     return docs.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(weighed, "doc_id long, quality int, n_grams long, log_weight double")
@@ -133,36 +131,48 @@ def fit_cut(weights: DataFrame, care: float = 20.0) -> float:
     return float((best[len(best) // 2] - 2000) * step)
 
 
-def top_k(keys: DataFrame, k: int) -> DataFrame:
-    """Marks the k rows of the largest key (doc_id, key, row: unique) as selected. The cut is refined by histograms until what it cuts
-    fits in the driver (10,000 rows, or all equal)."""
-    total = keys.count()
-    if k >= total:
+def kth_largest(rows: DataFrame, column: str, k: int, gather: int = 10_000):
+    """The k-th largest value of a column (numbers, no nulls; 1 <= k <= rows), and how many are larger. Histograms of 4096 steps narrow it down
+    until at most `gather` values or equal ones are left."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    larger = 0
+    while low != high:
+        inside = rows.filter(F.col(column).between(low, high))
+        part = (F.col(column).cast("double") / 2 - float(low) / 2) / max(float(high) / 2 - float(low) / 2, 5e-324) * 4096
+        at = F.greatest(F.lit(0), F.least(F.lit(4095), F.floor(part))).cast("int")
+        found = sorted(inside.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect(), reverse=True)
+        if len(found) == 1 and found[0]["n"] > gather:  # too near each other for a histogram of doubles: halve by value
+            middle = (low + high) / 2 if isinstance(low, float) else (low + high) // 2
+            if isinstance(low, float) and not low < middle < high:
+                middle = low
+            n = inside.filter(F.col(column) > middle).count()
+            low, high, larger = (inside.filter(F.col(column) > middle).agg(F.min(column)).first()[0], high, larger) if larger + n >= k else (low, inside.filter(F.col(column) <= middle).agg(F.max(column)).first()[0], larger + n)
+            continue
+        for _, n, low, high in found:
+            if larger + n >= k:
+                break
+            larger += n
+        if n <= gather:
+            values = sorted((r[0] for r in inside.filter(F.col(column).between(low, high)).select(column).collect()), reverse=True)
+            value = values[k - larger - 1]
+            return value, larger + sum(v > value for v in values)
+    return low, larger
+
+
+def top_k(keys: DataFrame, k: int, gather: int = 10_000) -> DataFrame:
+    """Marks the k rows of the largest key (doc_id, key, row: unique) as selected; ties of the key by doc_id (null first) and row."""
+    if k >= keys.count():
         return keys.withColumn("selected", F.lit(True))
     if k <= 0:
         return keys.withColumn("selected", F.lit(False))
-    lo, hi = keys.agg(F.min("key"), F.max("key")).first()
-    above = 0  # rows with a key over hi
-    while True:
-        inside = keys.filter(F.col("key").between(lo, hi))
-        width = (hi - lo) / 4096
-        if not width > 0 or lo + width == lo:
-            break
-        at = F.least(F.lit(4095), F.floor((F.col("key") - lo) / width)).cast("int")
-        counts = {r["at"]: (r["count"], r["lo"], r["hi"]) for r in inside.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("count"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
-        for b in sorted(counts, reverse=True):
-            n, lo, hi = counts[b]
-            if above + n >= k:
-                break
-            above += n
-        if n <= 10_000 or lo == hi:
-            break
-    edge = keys.filter(F.col("key").between(lo, hi)).orderBy(F.desc("key"), F.asc("doc_id"), F.asc("row")).limit(k - above).agg(F.min("key")).first()[0] if lo != hi else lo
-    taken = keys.filter(F.col("key") > edge).count()
-    ties = keys.filter(F.col("key") == edge)
-    last = ties.orderBy(F.asc("doc_id"), F.asc("row")).limit(k - taken).agg(F.max(F.struct("doc_id", "row"))).first()[0]
-    upto = F.struct("doc_id", "row") <= F.struct(F.lit(last["doc_id"]).cast("bigint").alias("doc_id"), F.lit(last["row"]).cast("bigint").alias("row"))
-    return keys.withColumn("selected", (F.col("key") > edge) | ((F.col("key") == edge) & F.coalesce(upto, F.lit(False))))
+    edge, larger = kth_largest(keys, "key", k, gather)
+    # Of the ties, the first by doc_id and row: their k-th largest when negated.
+    own = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    ties = keys.filter(F.col("key") == edge).select((-1 - own).alias("doc"), (-F.col("row")).alias("at"))
+    doc, before = kth_largest(ties, "doc", k - larger, gather)
+    at, _ = kth_largest(ties.filter(F.col("doc") == doc), "at", k - larger - before, gather)
+    upto = ((-1 - own) > doc) | (((-1 - own) == doc) & (-F.col("row") >= at))
+    return keys.withColumn("selected", (F.col("key") > edge) | ((F.col("key") == edge) & upto))
 
 
 def gumbel(seed: int):

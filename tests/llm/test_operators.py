@@ -205,10 +205,58 @@ def test_quality(spark, none):
     assert sum(r["selected"] for r in quality.resample(docs, labels.limit(0), spark).collect()) == 362
 
 
-def test_top_k_breaks_ties(spark):
+def test_quality_weights_noise_and_choice_by_brute_force(spark):
+    """Counts, ratios, sums, Gumbel noise and the top k, made again in plain Python."""
+    rng = random.Random(9)
+    texts = [" ".join([*words(rng, rng.randrange(1, 60)), *(["%%%", "x"] if i % 5 == 0 else [])]) for i in range(60)] + ["", None, "one", "One one, ONE", " ".join(words(rng, 40_000))]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3.0) for i, t in enumerate(texts)], "doc_id long, text string, quality int, row int, key double")
+    labels = [(i, int(i % 5 > 0), 0) for i in range(0, 60, 2)]
+    out = {r["doc_id"]: r for r in quality.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), spark, k=20).collect()}
+
+    def grams(t):
+        w = re.findall("[0-9a-z\u0080-\U0010ffff]+|[^\\s0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        return [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+
+    bucket = {}
+    for t in texts:
+        for g in grams(t):
+            if g not in bucket:
+                b = np.frombuffer(" ".join(g).encode(), np.uint8)
+                bucket[g] = int(quality.grams(b, np.array([0, len(b)]))[0][-1])
+    half = lambda i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)) % 2 == 0
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        raw.update(bucket[g] for g in grams(t))
+        if (i, 1, 0) in labels and half(i):
+            target.update(bucket[g] for g in grams(t))
+    n, m = quality.BUCKETS, sum(target.values())
+    s = 20 * sum(raw.values()) / m
+    total = (m + 20 * n, sum(raw.values()) + s * n)
+    keys = {}
+    for i, t in enumerate(texts):
+        weight = sum(math.log((target[bucket[g]] + 20) / total[0]) - math.log((raw[bucket[g]] + s) / total[1]) for g in grams(t))
+        assert out[i]["log_weight"] == pytest.approx(weight, abs=1e-6) and out[i]["n_grams"] == len(grams(t))
+        u = ((xxhash.xxh64_intdigest(i.to_bytes(8, "little"), xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42)) >> 12) + 0.5) / (1 << 52)
+        keys[i] = weight - math.log(-math.log(u))
+        assert out[i]["key"] == pytest.approx(keys[i], abs=1e-6)
+    assert {i for i, r in out.items() if r["selected"]} == set(sorted(keys, key=keys.get)[-20:])
+    assert out[60]["log_weight"] == out[61]["log_weight"] == 0
+
+
+@pytest.mark.parametrize("gather", [3, 10_000])
+def test_top_k_breaks_ties(spark, gather):
     keys = spark.createDataFrame([(i, 1.0 if i % 3 else 2.0, i) for i in range(30)], "doc_id long, key double, row long")
-    out = quality.top_k(keys, 13).filter("selected").collect()
+    out = quality.top_k(keys, 13, gather).filter("selected").collect()
     assert sorted(r["doc_id"] for r in out) == sorted([*range(0, 30, 3), 1, 2, 4])
+    same = spark.createDataFrame([(None if i < 2 else 7 if i < 9 else i, 1.5, i) for i in range(12)], "doc_id long, key double, row long")
+    for k in range(1, 12):
+        assert sorted(r["row"] for r in quality.top_k(same, k, gather).filter("selected").collect()) == list(range(k))
+    rng = random.Random(3)
+    some = [rng.choice([rng.gauss(0, 5), 1.0, 1.0 + 1e-15, -1e300]) for _ in range(60)]
+    keys = spark.createDataFrame([(i, x, i) for i, x in enumerate(some)], "doc_id long, key double, row long")
+    for k in (1, 17, 40, 59):
+        want = sorted(range(60), key=lambda i: (-some[i], i))[:k]
+        assert sorted(r["row"] for r in quality.top_k(keys, k, gather).filter("selected").collect()) == sorted(want)
 
 
 # ---- op3
