@@ -67,6 +67,11 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def row_uid():
+    """A number for a row's doc_id and text (null: empty); rows that agree in both have the same."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty())
+
+
 def filesystem(uri: str):
     """pyarrow's filesystem and path of a shared URI, for use on executors."""
     from pyarrow import fs
@@ -231,3 +236,32 @@ def whole_groups(batches, columns: int, low_bits: int = 0):
             kept = [c[last:] for c in kept]
     if kept and len(kept[0]):
         yield kept
+
+
+def capped_groups(batches, columns: int, low_bits: int, most: int):
+    """As whole_groups, but never holds more than `most` rows of one group (and a batch): of a larger group only (group, rows) comes, as a pair
+    of numbers, and its rows are let go."""
+    kept: list[np.ndarray] = []
+    large, passed = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if large is not None:
+            end = int(np.searchsorted(cols[0] >> low_bits, large, "right"))
+            passed += end
+            if end == len(cols[0]):
+                continue
+            yield large, passed
+            large, cols = None, [c[end:] for c in cols]
+        kept = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
+        last = int(np.searchsorted(kept[0], kept[0][-1] >> low_bits << low_bits))
+        if last:
+            yield [c[:last] for c in kept]
+            kept = [c[last:] for c in kept]
+        if len(kept[0]) > most:
+            large, passed, kept = int(kept[0][0] >> low_bits), len(kept[0]), []
+    if large is not None:
+        yield large, passed
+    elif kept and len(kept[0]):
+        yield kept

@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import column_bytes, shingle_hashes, slices, text_or_empty, word_hashes, word_spans
+from quietframe.llm.common import column_bytes, row_uid, shingle_hashes, slices, text_or_empty, word_hashes, word_spans
 from quietframe.llm.line_dedup import _NOT_WORD, _SAME
 
 WIDTH, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 20, 8
-SCHEMA = "doc_id long, item_id long, similarity double, distance int, start_word long, words long"
+SCHEMA = "doc_id long, uid long, item_id long, similarity double, distance int, start_word long, words long"
 
 
 def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +102,13 @@ class Items:
         close = np.bitwise_count(prints[window] ^ self.prints[items]) <= RADIUS
         return window[close], items[close]
 
+    def near_in_runs(self, n: int, prints: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+        """near() for some windows at a time, so that windows times items stay under `most`."""
+        step = max(1, most // len(self.sizes[n]))
+        for i in range(0, len(prints), step):
+            window, item = self.near(n, prints[i : i + step])
+            yield from zip((window + i).tolist(), item.tolist(), strict=True)
+
     def similarity(self, shingles: np.ndarray, item: int) -> float:
         own, counts = self.bags[item]
         got, n = np.unique(shingles, return_counts=True)
@@ -147,7 +154,7 @@ class Items:
                 shift = np.cumsum(run_hi - run_lo) - (run_hi - run_lo)
                 taken = np.repeat(run_lo - shift, run_hi - run_lo) + np.arange((run_hi - run_lo).sum())
                 prints = fingerprints(shingles[taken], begin - run_lo[run] + shift[run], m)
-                for w, k in zip(*self.near(n, prints), strict=True):
+                for w, k in self.near_in_runs(n, prints):
                     sim = self.similarity(shingles[begin[w] : begin[w] + m[w]], int(k))
                     if sim >= THRESHOLD:
                         key, d = (int(mine[w]), int(k)), int(np.bitwise_count(prints[w] ^ self.prints[k]))
@@ -157,22 +164,22 @@ class Items:
 
 
 def search_block(docs: DataFrame, items: Items) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("distance", pa.int32()), ("start_word", pa.int64()), ("words", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("distance", pa.int32()), ("start_word", pa.int64()), ("words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 found = items.search(part.column(1))
                 if found:
-                    ids = part.column(0).to_pylist()
-                    rows = [(ids[r], items.ids[k], *rest) for r, k, *rest in found]
+                    ids, uids = part.column(0).to_pylist(), part.column(2).to_pylist()
+                    rows = [(ids[r], uids[r], items.ids[k], *rest) for r, k, *rest in found]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"), row_uid().alias("uid")).mapInArrow(run, SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, block: int = 5_000) -> DataFrame:
-    """doc_id, item_id, similarity, distance, start_word, words: each row's best window for each item that it holds."""
+    """doc_id, uid (a number for its doc_id and text), item_id, similarity, distance, start_word, words: each row's best window for each item that it holds."""
     out, items = None, []
 
     def search() -> None:

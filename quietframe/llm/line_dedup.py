@@ -32,7 +32,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quietframe.llm.common import Scratch, column_bytes, mix64, owned_shingles, shingle_hashes, shuffle_partitions, slices, unique_rows, whole_groups, word_hashes, word_spans
 
@@ -342,28 +341,18 @@ def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int
 
 
 def dedup_lines(docs: DataFrame, spark: SparkSession, removed: str = "lines_removed", short: bool = False) -> DataFrame:
-    """docs with the lines that go taken out of text, and `removed`: how many those were. short: equal lines of one to four words go too."""
+    """docs with the lines that go taken out of text, and `removed`: how many those were; a column of docs with that name gives way to it. short:
+    equal lines of one to four words go too."""
     scratch, partitions = Scratch(spark, "lines"), shuffle_partitions(spark)
-    name = unique_rows(spark, ["ord", "uid", "gone"], docs.columns)
+    docs = docs.drop(removed)
+    name = unique_rows(spark, ["ord", "uid", "gone"], [*docs.columns, removed])
     ord_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
     uid = F.xxhash64("doc_id", "text")
     text = docs.select(ord_.alias("ord"), uid.alias("uid"), F.col("text").cast("string").alias("text"))
-    lost = removed_lines(text, scratch, partitions, short=short).groupBy("ord", "uid").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    lost = removed_lines(text, scratch, partitions, short=short).groupBy("ord", "uid").agg(F.collect_set("line").alias("gone"))
     lost = scratch.table(lost, "lost").select(F.col("ord").alias(name["ord"]), F.col("uid").alias(name["uid"]), F.col("gone").alias(name["gone"]))
     both = docs.withColumn(name["ord"], ord_).withColumn(name["uid"], uid).join(lost, [name["ord"], name["uid"]], "left")
-    columns, wanted = list(both.columns), list(docs.columns)
-    text_at, gone_at = columns.index("text"), columns.index(name["gone"])
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, gone = batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist()
-            for i, lines in enumerate(gone):
-                if lines is not None and texts[i] is not None:
-                    drop = set(lines)
-                    texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in drop])
-            arrays = [batch.column(columns.index(c)) for c in wanted]
-            arrays[wanted.index("text")] = pa.array(texts, batch.column(text_at).type)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(x) if x else 0 for x in gone], pa.int64())], names=[*wanted, removed])
-
-    kinds = T.StructType([*docs.schema.fields, T.StructField(removed, T.LongType())])
-    return both.mapInArrow(rewrite, kinds)
+    gone = F.col(name["gone"])
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i))
+    columns = [F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return both.select(*columns, F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(removed))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import LOWER, SPACE, Scratch, column_bytes, mix64, slices, text_or_empty, word_hashes
+from quietframe.llm.common import LOWER, SPACE, Scratch, column_bytes, mix64, row_uid, slices, text_or_empty, word_hashes
 
 BUCKETS = 1 << 16
 _KIND = np.full(256, 2, np.uint8)
@@ -102,8 +102,8 @@ def log_ratios(counts: list[tuple[int, int, int]], smooth: float = 20.0) -> np.n
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, quality, n_grams, log_weight of every row of docs (doc_id, text, quality)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
+    """doc_id, uid, quality, n_grams, log_weight of every row of docs (doc_id, text, quality, uid)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("quality", pa.int32()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +111,9 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 bucket, row = grams(*column_bytes(part.column(1)))
                 n = np.bincount(row, minlength=part.num_rows)
                 w = np.bincount(row, weights=ratios[bucket], minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(w)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(2), pa.array(n), pa.array(w)], schema=schema)
 
-    return docs.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(weighed, "doc_id long, quality int, n_grams long, log_weight double")
+    return docs.select("doc_id", "text", F.col("quality").cast("int"), "uid").mapInArrow(weighed, "doc_id long, uid long, quality int, n_grams long, log_weight double")
 
 
 def fit_cut(weights: DataFrame, care: float = 20.0) -> float:
@@ -182,10 +182,10 @@ def gumbel(seed: int):
 
 
 def resample(docs: DataFrame, labels: DataFrame, spark: SparkSession, k: int | None = None, labelled: int = 20_000, care: float = 20.0, seed: int = 7) -> DataFrame:
-    """doc_id, row, n_grams, log_weight, key, selected of every row of docs; row tells rows with one doc_id apart."""
+    """doc_id, uid, row, n_grams, log_weight, key, selected of every row of docs; uid: a number for its doc_id and text; row tells all rows apart."""
     scratch = Scratch(spark, "quality")
     sample = scratch.table(label_sample(labels, labelled), "sample")
-    own = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id", "left")
+    own = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"), row_uid().alias("uid")).join(F.broadcast(sample), "doc_id", "left")
     ratios = log_ratios([tuple(r) for r in count(own.withColumn("quality", F.col("to_count"))).collect()])
     weights = scratch.table(weigh(own.withColumn("quality", F.col("to_cut")), ratios).withColumn("row", F.monotonically_increasing_id()), "weights")
     if k is None:

@@ -30,7 +30,7 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spark)
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return found.drop("uid").withColumn("similarity", F.round("similarity", 6))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,27 @@
-"""Near-dedup of whole documents by exact set similarity: the pipeline's near-dedup stage.
+"""Near-dedup of whole documents at a similarity of five-word shingles: how operator 8 serves the pipeline (simhash.near_documents).
 
 A document's tokens are its five-word shingles (A-Z lower-cased, words between ASCII white space) as a set of 64-bit hashes; a document of
 fewer words is one token of its whole sequence. Two documents link if the Jaccard similarity of their sets is 0.8 or more, and components
-are what links reach. No link is missed: fingerprints of 64 bits that are compared at a radius would miss some at any radius that selects.
-
-1. A pass gives every document's set as one 64-bit key, and counts tokens in 65,536 buckets over the corpus. Equal keys are one set.
-2. Prefix filter, as in line_dedup: sets with similarity t or more share a token among the first n - ceil(t n) + 1 of each in one order of
-   all tokens, rare ones first. A pass emits those, and under each token the length and positional filters and a 256-bit parity bitmap rule
-   pairs out. What is left are candidate edges: a spanning forest under each token, never all pairs. Their components hold every link.
-3. The sets of documents in candidate components go out once for each task that meets them, dealt by component, and there an inverted
-   index counts what two sets share. A component of more than `block` sets is dealt in blocks: every pair of blocks is a task's work of
-   its own, of bounded size. The exact links' spanning forest gives the components that count.
+are what links reach.
+
+1. A pass gives every document's set as one 64-bit key with its 64-bit SimHash, and counts tokens in 65,536 buckets over the corpus. Equal
+   keys are one set.
+2. Candidates come from two sides. Golay keys of the fingerprints (operator 8) give those within three bits. At similarity 0.8 fingerprints
+   differ in 10 of 64 bits on average with a deviation of 3, which no choice of Golay keys reaches, so the rest come by prefixes: sets
+   with similarity t or more share a token among the first n - ceil(t n) + 1 of each in one order of all tokens, rare ones first. Under each
+   token the length and positional filters and a 64-bit parity bitmap rule pairs out, which loses nothing, and so does, for sets of over
+   SMALL tokens together, a distance of over RADIUS = 20 bits of their fingerprints (a pair at the very threshold is over that with a
+   probability of about 0.0001). What is left under a token is kept as a spanning forest, never as all pairs.
+3. The candidates' components hold every link. The sets of their documents go out once for each task that meets them, dealt by component,
+   and there an inverted index counts what two sets share: the exact check. A component of more than `tokens` tokens is dealt in blocks, and
+   every pair of blocks is a task's work of its own, of bounded size. The exact links' spanning forest gives the components that count.
+
+Skew. Copies are reduced to one set in each task before any shuffle. A token with more than `block` postings isn't compared where it was
+met: it is named, and in a second round its postings are dealt in blocks, every pair of blocks to a group of its own.
 
 Defined results. Null text is empty, and documents without words are equal. An empty table has no components. component_id is the
-smallest doc_id that is reachable; null doc_ids are in the component but never its id unless alone. Columns other than doc_id and text
-aren't read.
+smallest doc_id that is reachable; null doc_ids are in the component but never its id unless alone. Rows that agree in doc_id and text
+have one uid. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import Scratch, column_bytes, mix64, owned_shingles, shuffle_partitions, slices, text_or_empty, whole_groups, word_hashes, word_spans
-from quietframe.llm.line_dedup import COUNTERS, THRESHOLD, TOKEN_BITS, WIDTH, bitmap, in_bitmap, needed, prefixes, rarity_classes
-from quietframe.llm.simhash import components
+from quietframe.llm import simhash
+from quietframe.llm.common import Scratch, capped_groups, column_bytes, mix64, owned_shingles, row_uid, shuffle_partitions, slices, text_or_empty, whole_groups, word_hashes, word_spans
+from quietframe.llm.line_dedup import COUNTERS, THRESHOLD, TOKEN_BITS, WIDTH, needed, prefixes, rarity_classes
 
-MARKS = 4
+RADIUS, SMALL = 20, 100
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -58,47 +65,47 @@ def set_keys(n: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
-    """Pass 1. count null: a document (doc_id, key). Else a counter: key has its number and count its tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("count", pa.int64())])
+    """Pass 1. count null: a document (doc_id, uid, key, n tokens, fp). Else a counter: key has its number and count its tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("count", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                row, n, first, hashes, _ = text_sets(part.column(1))
+                row, n, first, hashes, _ = text_sets(part.column(2))
                 counts += np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=COUNTERS)
-                keys = np.zeros(part.num_rows, np.int64)
-                keys[row] = set_keys(n, first, hashes)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.nulls(len(keys), pa.int64())], schema=schema)
+                keys, sizes, prints = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
+                keys[row], sizes[row], prints[row] = set_keys(n, first, hashes), n, simhash.majority(hashes, n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys), pa.array(sizes), pa.array(prints), pa.nulls(len(keys), pa.int64())], schema=schema)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some), pa.array(counts[some])], schema=schema)
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(some), none, none, pa.array(counts[some])], schema=schema)
 
-    return docs.mapInArrow(scan, "doc_id long, key long, count long")
+    return docs.mapInArrow(scan, "doc_id long, uid long, key long, n long, fp long, count long")
 
 
 def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     """Pass 2: the prefix of every set, each set of a task about once. packed: token (44 bits), place in the prefix (8 bits, 255 for more) and size
-    (12 bits, 4095 for more); m0 to m3: of each of 256 slots whether an odd number of tokens fall in it."""
-    schema = pa.schema([("packed", pa.int64()), ("key", pa.int64()), *[(f"m{w}", pa.int64()) for w in range(MARKS)]])
+    (12 bits, 4095 for more); mark: of each of 64 slots whether an odd number of tokens fall in it; fp: the SimHash."""
+    schema = pa.schema([("packed", pa.int64()), ("key", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                _, n, first, hashes, order = text_sets(part.column(1), classes)
+                _, n, first, hashes, order = text_sets(part.column(2), classes)
                 if not len(n):
                     continue
                 keys = set_keys(n, first, hashes)
                 once = _unseen(keys, seen)
-                slot = mix64(hashes) >> np.uint64(56)
-                bit = np.uint64(1) << (slot & np.uint64(63))
-                marks = [np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == w, bit, np.uint64(0)), first) for w in range(MARKS)]
+                mark = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(hashes) >> np.uint64(58)), first).view(np.int64)
+                prints = simhash.majority(hashes, n).view(np.int64)
                 owner, within = prefixes(n, first)
                 owner, within = owner[once[owner]], within[once[owner]]
                 packed = order[first[owner] + within] << np.uint64(20) | (np.minimum(within, 255) << 12 | np.minimum(n[owner], 4095)).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(keys[owner]), *[pa.array(m[owner].view(np.int64)) for m in marks]], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(keys[owner]), pa.array(mark[owner]), pa.array(prints[owner])], schema=schema)
 
-    return docs.mapInArrow(emit, "packed long, key long, m0 long, m1 long, m2 long, m3 long")
+    return docs.mapInArrow(emit, "packed long, key long, mark long, fp long")
 
 
 def _unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -112,13 +119,23 @@ def _unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
     return out
 
 
-def _may_match(n, m, p, q, x, y):
-    """Whether sets of n and m tokens, whose first common token is at place p of one and q of the other, can match; x, y: their marks, lists of words. Sizes
-    of 4095 and places of 255 stand for more, and then nothing is ruled out by them."""
-    need = needed(n + m, THRESHOLD / (1 + THRESHOLD))
-    differ = sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(x, y, strict=True))
-    could = np.minimum(np.minimum(n - p, m - q), (n + m - differ) // 2)
-    return (could >= need) | (n >= 4095) | (m >= 4095)
+class _Postings:
+    """Postings of some rows; may(i, j): whether the sets of rows i and j can match with the token as their first common one. Sizes of 4095 and
+    places of 255 stand for more, and then nothing is ruled out by them."""
+
+    def __init__(self, cols: list[np.ndarray]):
+        packed, self.key, mark, fp, *side = cols
+        packed = packed.view(np.uint64)
+        self.token, self.mark, self.fp = packed >> np.uint64(20), mark.view(np.uint64), fp.view(np.uint64)
+        self.place, self.n = (packed >> np.uint64(12) & np.uint64(255)).astype(np.int64), (packed & np.uint64(4095)).astype(np.int64)
+        self.side = side[0] if side else None
+
+    def may(self, i, j):
+        total = self.n[i] + self.n[j]
+        could = np.minimum(np.minimum(self.n[i] - self.place[i], self.n[j] - self.place[j]), (total - np.bitwise_count(self.mark[i] ^ self.mark[j]).astype(np.int64)) // 2)
+        fits = (could >= needed(total, THRESHOLD / (1 + THRESHOLD))) | (self.n[i] >= 4095) | (self.n[j] >= 4095)
+        fits &= (total <= SMALL) | (np.bitwise_count(self.fp[i] ^ self.fp[j]) <= RADIUS)
+        return fits if self.side is None else fits & ((self.side[i] < 0) | (self.side[i] != self.side[j]))
 
 
 def _forest(size: int, linked) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -144,47 +161,82 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_EDGE)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token, edges that keep what possible matches under each token connect."""
-    for packed, key, *marks in whole_groups(batches, 2 + MARKS, 20):
-        packed, marks = packed.view(np.uint64), [m.view(np.uint64) for m in marks]
-        token = packed >> np.uint64(20)
-        place, n = (packed >> np.uint64(12) & np.uint64(255)).astype(np.int64), (packed & np.uint64(4095)).astype(np.int64)
-        cut = np.flatnonzero(token[1:] != token[:-1]) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
-        size = ends - starts
-        small = np.repeat(size <= 12, size)
-        a, b = [], []
-        for d in range(1, 12):
-            i = np.flatnonzero((token[d:] == token[:-d]) & small[d:] & (key[d:] != key[:-d]))
-            i = i[_may_match(n[i], n[i + d], place[i], place[i + d], [m[i] for m in marks], [m[i + d] for m in marks])]
-            a.append(key[i])
-            b.append(key[i + d])
-        for s, e in zip(starts[size > 12].tolist(), ends[size > 12].tolist(), strict=True):
-            # Equal keys are one set.
-            at = s + np.unique(key[s:e], return_index=True)[1]
-            for x, y in _forest(len(at), lambda x, left, at=at: _may_match(n[at[x]], n[at[left]], place[at[x]], place[at[left]], [m[at[x]] for m in marks], [m[at[left]] for m in marks])):
-                a.append(key[at[x]])
-                b.append(key[at[y]])
-        yield from _pairs(a, b)
+def token_edges(group: np.ndarray, post: _Postings, few: int = 12) -> Iterator[pa.RecordBatch]:
+    """Edges that keep what possibly matches within each group (numbers that stand together) connected."""
+    cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(group)]])
+    size = ends - starts
+    small = np.repeat(size <= few, size)
+    a, b = [], []
+    for d in range(1, few):
+        i = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (post.key[d:] != post.key[:-d]))
+        i = i[post.may(i, i + d)]
+        a.append(post.key[i])
+        b.append(post.key[i + d])
+    for s, e in zip(starts[size > few].tolist(), ends[size > few].tolist(), strict=True):
+        at = s + np.unique(post.key[s:e], return_index=True)[1]  # equal keys are one set
+        for x, y in _forest(len(at), lambda x, left, at=at: post.may(at[x], at[left])):
+            a.append(post.key[at[x]])
+            b.append(post.key[at[y]])
+    yield from _pairs(a, b)
+
+
+def prefix_edges(post: DataFrame, scratch: Scratch, partitions: int, block: int) -> DataFrame:
+    """Candidate edges (a, b) from postings. A token of more than `block` postings is put off: b is null, and a is the token."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in capped_groups(batches, 4, 20, block):
+            if isinstance(got, tuple):
+                yield pa.RecordBatch.from_arrays([pa.array([got[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([got[1]], pa.int64())], names=["a", "b", "rows"])
+                continue
+            rows = _Postings(got)
+            for edges in token_edges(rows.token, rows):
+                yield pa.RecordBatch.from_arrays([*edges.columns, pa.nulls(edges.num_rows, pa.int64())], names=["a", "b", "rows"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, *cols in whole_groups(batches, 6):
+            yield from token_edges(group, _Postings(cols))
+
+    own = F.shiftright("packed", 20)
+    found = scratch.table(post.repartition(partitions, own).sortWithinPartitions("packed").mapInArrow(first, "a long, b long, rows long"), "candidates")
+    edges = found.filter("b IS NOT NULL").select("a", "b")
+    large = found.filter("b IS NULL").select(F.col("a").alias("token"), F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    if large.isEmpty():
+        return edges
+    dealt = post.join(scratch.table(large, "large"), own == F.col("token")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
+    dealt = dealt.select(F.xxhash64("token", "lo", "hi").alias("group"), "packed", "key", "mark", "fp", side.alias("side"))
+    more = dealt.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(second, "a long, b long")
+    return edges.unionByName(scratch.table(more, "more_candidates"))
+
+
+def print_edges(rows: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
+    """Candidate edges (a, b) of keys whose fingerprints are within operator 8's radius, by Golay keys."""
+    prints = scratch.table(rows.filter("n > 0").groupBy("fp").agg(F.min("key").alias("rep"), F.min("doc_id").alias("first")), "prints")
+    edges = simhash.links(prints.select("fp", "first"), scratch, partitions)
+    left, right = prints.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), prints.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b"))
+    across = edges.join(left, "a").join(right, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    equal = rows.filter("n > 0").select("fp", "key").distinct().join(prints.select("fp", "rep"), "fp").filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    return across.unionByName(equal)
 
 
-def full_sets(docs: DataFrame, keys_in: np.ndarray, bits: int) -> DataFrame:
-    """Pass 3: key and the whole set of what may be a candidate (a bitmap by key); each set of a task about once."""
-    schema = pa.schema([("key", pa.int64()), ("hashes", pa.binary())])
+def full_sets(docs: DataFrame) -> DataFrame:
+    """Pass 3, of candidates' rows (text, wanted, label, blocks): wanted and the whole set, each set of a task about once."""
+    schema = pa.schema([("key", pa.int64()), ("label", pa.int64()), ("blocks", pa.int32()), ("hashes", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                _, n, first, hashes, _ = text_sets(part.column(1))
-                keys = set_keys(n, first, hashes)
-                some = np.flatnonzero(in_bitmap(keys_in, bits, keys))
-                some = some[_unseen(keys[some], seen)]
+                row, n, first, hashes, _ = text_sets(part.column(0))
+                some = np.flatnonzero(set_keys(n, first, hashes) == part.column(1).to_numpy()[row])
+                some = some[_unseen(part.column(1).to_numpy()[row[some]], seen)]
                 sets = [hashes[first[i] : first[i] + n[i]].tobytes() for i in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(sets, pa.binary())], schema=schema)
+                at = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(at) for k in (1, 2, 3)], pa.array(sets, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(emit, "key long, hashes binary")
+    return docs.select("text", "wanted", "label", "blocks").mapInArrow(emit, "key long, label long, blocks int, hashes binary")
 
 
 class _Index:
@@ -227,39 +279,39 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pairs(a, b)
 
 
-def links(docs: DataFrame, classes: np.ndarray, scratch: Scratch, partitions: int, block: int, bits: int = 25) -> DataFrame:
-    """Edges (a, b) of keys that keep every connection by links."""
-    sorted_ = postings(docs, classes).repartition(partitions, F.shiftright("packed", 20)).sortWithinPartitions("packed")
-    edges = scratch.table(sorted_.mapInArrow(_candidates, "a long, b long"), "candidates")
-    scratch.free()
-    labels = scratch.table(components(edges, scratch), "candidate_labels")
-    sets = full_sets(docs, bitmap(labels.select(F.col("node").alias("value")).unionByName(labels.select(F.col("label").alias("value"))), bits), bits)
+def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, partitions: int, tokens: int) -> DataFrame:
+    """Edges (a, b) of keys that link, enough to keep every connection by links, from candidate edges."""
+    labels = scratch.table(simhash.components(edges, scratch), "candidate_labels")
     # components() has every node but the label itself.
-    every = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct()
-    sizes = every.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    every = scratch.table(every.join(sizes, "label"), "dealt")
-    # Each set with its component's number of blocks; of one block: one group.
-    dealt = sets.join(every.hint("merge"), F.col("key") == F.col("node")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    every = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct().withColumnRenamed("node", "wanted")
+    one = rows.groupBy("key").agg(F.min("uid").alias("own"), F.max("n").alias("n"))
+    every = scratch.table(every.join(one, F.col("wanted") == F.col("key")).select("wanted", "label", "own", "n"), "wanted")
+    sizes = every.groupBy("label").agg(F.ceil(F.sum("n") / tokens).cast("int").alias("blocks"))
+    every = scratch.table(every.join(sizes, "label").select("own", "wanted", "label", "blocks"), "dealt")
+    # Whose texts are read again: few rows are broadcast (Spark checks the written table's size), many are joined by a shuffle.
+    sets = full_sets(docs.join(every, F.col("uid") == F.col("own"))).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sets = sets.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
-    dealt = dealt.select(F.xxhash64("label", "lo", "hi").alias("group"), "key", side.alias("side"), "hashes")
-    found = scratch.table(dealt.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_links, "a long, b long"), "links")
-    scratch.free()
-    return found
+    sets = sets.select(F.xxhash64("label", "lo", "hi").alias("group"), "key", side.alias("side"), "hashes")
+    return scratch.table(sets.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_links, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 4000) -> DataFrame:
-    """doc_id and component_id of every row."""
+def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, tokens: int = 1 << 21) -> DataFrame:
+    """doc_id, uid, component_id and component (a number of its own) of every row. block: postings of a token that one task compares; tokens: of
+    sets that one task compares, twice."""
     scratch, partitions = Scratch(spark, "sets"), shuffle_partitions(spark)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_uid().alias("uid"), text_or_empty().alias("text"))
     scanned = scratch.table(scan_texts(texts), "scan")
     counts = np.zeros(COUNTERS, np.int64)
     for r in scanned.filter("count IS NOT NULL").groupBy("key").agg(F.sum("count").alias("n")).collect():
         counts[r["key"]] = r["n"]
-    rows = scanned.filter("count IS NULL").select("doc_id", "key")
-    labels = scratch.table(components(links(texts, rarity_classes(counts), scratch, partitions, block), scratch), "labels")
+    rows = scanned.filter("count IS NULL").drop("count")
+    edges = prefix_edges(postings(texts, rarity_classes(counts)), scratch, partitions, block).unionByName(print_edges(rows, scratch, partitions))
+    links = exact_links(edges, rows, texts, scratch, partitions, tokens)
+    labels = scratch.table(simhash.components(links, scratch), "labels")
     distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
-    labelled = scratch.table(distinct.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label")), "labelled")
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = scratch.table(labelled.join(smallest, "label").select("key", "component_id"), "named")
-    return rows.join(named.hint("merge"), "key").select("doc_id", "component_id")
+    labelled = scratch.table(distinct.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("component")), "labelled")
+    smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = scratch.table(labelled.join(smallest, "component").select("key", "component", "component_id"), "named")
+    return rows.join(named.hint("merge"), "key").select("doc_id", "uid", "component_id", "component")
+

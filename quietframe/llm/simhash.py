@@ -13,7 +13,9 @@ no link can be missed, and every candidate is verified on all 64 bits.
 Groups. Only distinct fingerprints are joined, so copies that agree in all bits never meet. Rows with one key are streamed through a
 task in key order. A key's fingerprints are searched breadth-first, each step comparing one fingerprint with those not yet reached in
 numpy, and leave a spanning forest: at most one edge for each fingerprint, never all pairs. A key with more than `block` fingerprints
-(a dense family at scale) is dealt in blocks: every pair of blocks is a task's work of its own, of bounded size.
+(a dense family at scale) is put off to a second round and dealt in blocks: every pair of blocks is a task's work of its own, of bounded size.
+
+near_documents serves the pipeline, where fingerprints are of five-word shingles and the similarity of their sets decides, 0.8 or more.
 
 Components come from the edges by rounds of label contraction (large-star and small-star) over written tables; labels, links and fingerprints
 stay distributed, and only counts reach the driver.
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import Scratch, shuffle_partitions, slices, text_or_empty
+from quietframe.llm.common import Scratch, capped_groups, shuffle_partitions, slices, text_or_empty, whole_groups
 
 RADIUS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -99,10 +101,10 @@ def shingle_prints(texts: list[bytes]) -> np.ndarray:
         starts = [0, *[e + 1 for e in ends[: n - 3]]]
         hashes.extend([digest(joined[a:b], 42) for a, b in zip(starts, ends[2:], strict=True)])
         sizes.append(n - 2)
-    return _majority(np.array(hashes, np.uint64), np.array(sizes, np.int64))
+    return majority(np.array(hashes, np.uint64), np.array(sizes, np.int64))
 
 
-def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Bits set in over half of each run of hashes. Eight bits are counted at a time, one in each byte of a word."""
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
@@ -206,87 +208,60 @@ def across(fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key (and side), the edges of each key's forest. Groups may run over batches."""
-    kept: list[np.ndarray] = []
-
-    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, fp, own, side = cols
-        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-        size = ends - starts
-        a, b = [], []
-        # Small groups, all at once: neighbours at every distance within a group.
-        small = np.repeat(size <= 12, size)
-        for d in range(1, 12):
-            same = np.flatnonzero((key[d:] == key[:-d]) & small[d:] & (own[d:] | own[:-d]))
-            hit = same[near(fp[same], fp[same + d])]
-            a.append(fp[hit])
-            b.append(fp[hit + d])
-        for s, e in zip(starts[size > 12].tolist(), ends[size > 12].tolist(), strict=True):
-            x, y = forest(fp[s:e]) if side[s] < 0 else across(fp[s:e], side[s:e])
-            a.append(fp[s:e][x])
-            b.append(fp[s:e][y])
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        if len(a):
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_EDGE)
-
-    for batch in batches:
-        cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()]
-        if not len(cols[0]):
-            continue
-        kept = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
-        last = int(np.searchsorted(kept[0], kept[0][-1]))
-        if last:
-            yield from solve([c[:last] for c in kept])
-            kept = [c[last:] for c in kept]
-    if kept and len(kept[0]):
-        yield from solve(kept)
-
+def key_edges(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Of rows key, fp, own and, where given, side, in order of key: the edges of each key's forest."""
+    key, fp, own, side = cols if len(cols) == 4 else [*cols, None]
+    fp = fp.view(np.uint64)
+    cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+    size = ends - starts
+    a, b = [], []
+    # Small groups, all at once: neighbours at every distance within a group.
+    small = np.repeat(size <= 12, size)
+    for d in range(1, 12):
+        same = np.flatnonzero((key[d:] == key[:-d]) & small[d:] & (own[d:] | own[:-d]))
+        hit = same[near(fp[same], fp[same + d])]
+        a.append(fp[hit])
+        b.append(fp[hit + d])
+    for s, e in zip(starts[size > 12].tolist(), ends[size > 12].tolist(), strict=True):
+        x, y = forest(fp[s:e]) if side is None or side[s] < 0 else across(fp[s:e], side[s:e])
+        a.append(fp[s:e][x])
+        b.append(fp[s:e][y])
+    a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+    if len(a):
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_EDGE)
 
-def large_keys(prints: DataFrame, block: int) -> dict[int, int]:
-    """Keys with more than `block` fingerprints, and how many: at most keys / block of them. Counters of 1,024 keys each tell where such a
-    key can be, and only there keys are counted one by one."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 20_000):
-                k = segment_keys(batch.column(0).slice(i, 20_000).to_numpy().view(np.uint64))
-                for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-                    key = (k[a][:, :, None] << 12 | k[b][:, None, :]) | pair << 24
-                    counts += np.bincount(key[(k[a][:, :, None] >= 0) & (k[b][:, None, :] >= 0)] >> 10, minlength=1 << 16)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(some), "n": pa.array(counts[some])})
+def links(prints: DataFrame, scratch: Scratch, partitions: int, block: int = 50_000) -> DataFrame:
+    """Edges (a, b) of fingerprints that keep every connection by links. A key of more than `block` fingerprints isn't searched where it was met:
+    it is written down (b null), and in a second round it is dealt in blocks. The table of such keys is joined, never collected."""
 
-    slots = prints.select("fp").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
-    slots = [r["slot"] for r in slots.collect()]
-    if not slots:
-        return {}
-    counted = keyed(prints).filter(F.shiftright("key", 10).isin(slots)).groupBy("key").count().filter(F.col("count") > block)
-    return {r["key"]: r["count"] for r in counted.collect()}
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in capped_groups(batches, 3, 0, block):
+            if isinstance(got, tuple):
+                yield pa.RecordBatch.from_arrays([pa.array([got[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([got[1]], pa.int64())], names=["a", "b", "rows"])
+                continue
+            for edges in key_edges(got):
+                yield pa.RecordBatch.from_arrays([*edges.columns, pa.nulls(edges.num_rows, pa.int64())], names=["a", "b", "rows"])
 
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in whole_groups(batches, 4):
+            yield from key_edges(got)
 
-def links(prints: DataFrame, scratch: Scratch, partitions: int, block: int = 50_000) -> DataFrame:
-    """Edges (a, b) of fingerprints that keep every connection by links."""
     keys = keyed(prints)
-    ordinary = keys.withColumn("side", F.lit(-1).cast("byte"))
-    large = large_keys(prints, block)
-    if large:
-        hot = F.col("key").isin(list(large))
-        sizes = {k: -(-n // block) for k, n in large.items()}
-        blocks = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("key"))
-        dealt = keys.filter(hot).withColumn("n", blocks).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-        pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        pairs = pairs.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-        side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
-        pairs = pairs.select((F.xxhash64("key", "lo", "hi")).alias("key"), "fp", F.lit(True).alias("own"), side.alias("side"))
-        ordinary = ordinary.filter(~hot).unionByName(pairs)
-    sorted_ = ordinary.select("key", "fp", "own", "side").repartition(partitions, "key").sortWithinPartitions("key", "side")
-    found = scratch.table(sorted_.mapInArrow(_edges, "a long, b long"), "edges")
-    scratch.free()
-    return found
+    found = scratch.table(keys.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(first, "a long, b long, rows long"), "edges")
+    edges = found.filter("b IS NOT NULL").select("a", "b")
+    large = found.filter("b IS NULL").select(F.col("a").alias("key"), F.ceil(F.col("rows") / block).cast("int").alias("n"))
+    if large.isEmpty():
+        return edges
+    dealt = keys.join(scratch.table(large, "large"), "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = pairs.withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
+    pairs = pairs.select(F.xxhash64("key", "lo", "hi").alias("key"), "fp", F.lit(True).alias("own"), side.alias("side"))
+    more = pairs.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(second, "a long, b long")
+    return edges.unionByName(scratch.table(more, "more_edges"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -326,6 +301,16 @@ def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_documents(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """doc_id, uid, copies: of each group of documents that link at a similarity of five-word shingles of 0.8 or more, the row with the smallest
+    doc_id (null last), by doc_id and uid (a number for its doc_id and text); copies: how many rows of docs agree in both."""
+    from quietframe.llm.set_dedup import near_duplicates as near_sets
+
+    each = near_sets(docs, spark).groupBy("component", "doc_id", "uid").agg(F.count(F.lit(1)).alias("copies"))
+    best = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "copies")).alias("best"))
+    return Scratch(spark, "near").table(best.select("best.doc_id", "best.uid", "best.copies"), "best")
+
+
 def hex_print(fp):
     """16 lowercase hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

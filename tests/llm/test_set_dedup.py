@@ -47,8 +47,8 @@ def _rows():
     return [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, "alone")]
 
 
-@pytest.mark.parametrize("block", [4000, 16])
-def test_documents_at_the_threshold(spark, block):
+@pytest.mark.parametrize(("block", "tokens"), [(20_000, 1 << 21), (16, 3000)])
+def test_documents_at_the_threshold(spark, block, tokens):
     rows = _rows()
     sets = [_set(t) for _, t in rows]
     label = list(range(len(rows)))
@@ -64,7 +64,7 @@ def test_documents_at_the_threshold(spark, block):
     for i, (d, _) in enumerate(rows):
         least[find(i)] += [d] if d is not None else []
     want = collections.Counter((d, min(least[find(i)], default=None)) for i, (d, _) in enumerate(rows))
-    got = collections.Counter(tuple(r) for r in set_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), spark, block).collect())
+    got = collections.Counter(tuple(r) for r in set_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), spark, block, tokens).select("doc_id", "component_id").collect())
     assert got == want
 
 
