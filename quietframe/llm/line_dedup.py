@@ -6,17 +6,16 @@ place in the document); that is a property of the pair, so the order of the work
 token of its whole sequence, so that it matches equal ones alone; with short=False such lines stay. Lines without words stay.
 
 1. A pass over the texts gives every line's set as one 64-bit key, and counts tokens in 65,536 buckets over the whole corpus.
-2. The counts order tokens by rarity (a class by count, then the hash). Any fixed order makes the prefix filter exact: sets of n and m
-   tokens with Jaccard t or more share a token among the first n - ceil(t n) + 1 of each. A pass emits those as (token, place, size, key,
-   64-bit bitmap of the set), and under each token the length filter, the positional filter (the token as the pair's first common one) and
-   the bitmaps (bits in which they differ bound the overlap) rule lines out. What is left: candidate tokens and candidate keys.
-3. Bitmaps of those and of the candidate postings (a fixed number of bits; false hits only cost work) go out to a third pass, which emits the candidates' postings again, now
-   with the whole set and the line's place. Lines under one token are compared in order of place under the same filters and then
-   exactly. Each line keeps its earliest match, so a family of like lines leaves one row for each line, not its pairs.
+2. The counts order tokens by rarity (a class by count, then the hash); any one order makes the prefix filter exact. Prefix postings meet by
+   token, where the length and positional filters and bitmaps leave candidate edges (see set_join), whose components hold every match.
+3. The sets of candidates go out once for each task that meets them, with their places, dealt by component. An inverted index counts what
+   a set shares with those before it, and each line keeps its earliest match, so a family of like lines leaves one row for each line,
+   not its pairs. Which lines are candidates is broadcast if they are few, else it is joined.
 4. Equal sets need no comparison: a key's first occurrence stands for it, and later ones go. What goes is collected by document and
    joined with the texts.
 
-Skew: copies of a line are reduced in each task before any shuffle; joins by key are plain shuffled joins that adaptive execution splits.
+Skew: copies of a line are reduced in each task before any shuffle; a token of very many lines and a large component are dealt in blocks;
+joins by key are plain shuffled joins that adaptive execution splits.
 
 Defined results. Null text has no lines and stays null. Rows that agree in doc_id and text count as one document: they lose
 the same lines. Null doc_ids come last. An empty table gives no rows. Extra columns pass through untouched, whatever their names.
@@ -24,7 +23,6 @@ the same lines. Null doc_ids come last. An empty table gives no rows. Extra colu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,21 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietframe.llm.common import Scratch, column_bytes, mix64, owned_shingles, shingle_hashes, shuffle_partitions, slices, unique_rows, whole_groups, word_hashes, word_spans
+from quietframe.llm.set_join import COUNTERS, TOKEN_BITS, Index, by_blocks, dealt_candidates, packed_postings, parity, prefix_edges, prefixes, rarity_classes, unseen
 
-WIDTH, THRESHOLD = 5, 0.8
-TOKEN_BITS = 40
-COUNTERS = 1 << 16
+WIDTH = 5
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SAME = np.arange(256, dtype=np.uint8)
 _TOKEN = np.uint64((1 << TOKEN_BITS) - 1)
 
 
-def needed(n, t: float = THRESHOLD):
-    """ceil(t n) for whole numbers, safe against rounding."""
-    return np.ceil(np.asarray(n) * t - 1e-9).astype(np.int64)
-
-
 def line_tokens(column: pa.Array, classes: np.ndarray | None = None, most: int = 1 << 19, short: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, line, n, first, tokens, order, keys, whole) of the lines that have tokens, some at a time. whole(i): the set of line i, 64-bit hashes that
     ascend; keys: one hash of each set. tokens[first[i] : first[i] + n[i]] are the first 40 bits of line i's, for the order of postings, each once, by rarity
@@ -107,17 +99,10 @@ def set_keys(n: np.ndarray, hashes: np.ndarray, bounds: np.ndarray, whole_set) -
     return mix64(total * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)).view(np.int64)
 
 
-def prefixes(n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every line's first n - ceil(t n) + 1 tokens, the line and the place among the tokens."""
-    size = n - needed(n) + 1
-    owner = np.repeat(np.arange(len(n)), size)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    return owner, within
-
-
 def scan_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """Pass 1. Short lines count here alone: they match equal keys only, which need no comparison. count null: a line (ord, uid, line, key). Else a counter: key has its number and count its tokens."""
-    schema = pa.schema([("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("count", pa.int64())])
+    """Pass 1. Short lines count here alone: they match equal keys only, which need no comparison. count null: a line (ord, uid, line, key, n
+    tokens). Else a counter: key has its number and count its tokens."""
+    schema = pa.schema([("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("count", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -126,31 +111,17 @@ def scan_lines(docs: DataFrame, short: bool = False) -> DataFrame:
                 ord_, uid = part.column(0).to_numpy(), part.column(1).to_numpy()
                 for row, line, n, first, tokens, _, keys, _ in line_tokens(part.column(2), short=short):
                     counts += np.bincount((tokens >> np.uint64(TOKEN_BITS - 16)).astype(np.int64), minlength=COUNTERS)
-                    yield pa.RecordBatch.from_arrays([pa.array(ord_[row]), pa.array(uid[row]), pa.array(line.astype(np.int32)), pa.array(keys), pa.nulls(len(row), pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ord_[row]), pa.array(uid[row]), pa.array(line.astype(np.int32)), pa.array(keys), pa.array(n.astype(np.int32)), pa.nulls(len(row), pa.int64())], schema=schema)
         some = np.flatnonzero(counts)
         none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(some), pa.array(counts[some])], schema=schema)
-
-    return docs.mapInArrow(scan, "ord long, uid long, line int, key long, count long")
+        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(some), none.cast(pa.int32()), pa.array(counts[some])], schema=schema)
 
-
-def rarity_classes(counts: np.ndarray) -> np.ndarray:
-    """Of each counter 0 to 15 (4 bits), by how far it stands over the middle."""
-    middle = max(1.0, float(np.median(counts)))
-    return np.clip(np.floor(8 * np.log2(np.maximum(counts, 1) / middle)) + 1, 0, 15).astype(np.uint8)
-
-
-def marks_of(tokens: np.ndarray, first: np.ndarray, words: int = 1) -> list[np.ndarray]:
-    """A bitmap of each set, in `words` 64-bit words. Bits in which two bitmaps differ are tokens that one of the sets has alone."""
-    slot = mix64(tokens) >> np.uint64(48)
-    bit = np.uint64(1) << (slot & np.uint64(63))
-    word = (slot >> np.uint64(6)) % np.uint64(words)
-    return [np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), first) for w in range(words)]
+    return docs.mapInArrow(scan, "ord long, uid long, line int, key long, n int, count long")
 
 
 def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Pass 2: the prefix of every line, each line of a task about once. packed: token (44 bits), place in the prefix (8 bits, 255 for more) and
-    size (12 bits, 4095 for more)."""
+    """Pass 2: the prefix of every line, each line of a task about once: packed (packed_postings), key, mark (parity). Sets of up to three
+    tokens match equal ones alone, and have none."""
     schema = pa.schema([("packed", pa.int64()), ("key", pa.int64()), ("mark", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,198 +129,125 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 for _, _, n, first, tokens, order, keys, _ in line_tokens(part.column(2), classes):
-                    once = np.zeros(len(keys), bool)
-                    _, at = np.unique(keys, return_index=True)
-                    once[at] = [k not in seen for k in keys[at].tolist()]
-                    seen.update(keys[at].tolist())
-                    if len(seen) > 200_000:
-                        seen.clear()
+                    once = unseen(keys, seen) & (n > 3)
                     owner, within = prefixes(n, first)
-                    take = once[owner]
-                    owner, within = owner[take], within[take]
-                    packed = order[first[owner] + within] << np.uint64(20) | (np.minimum(within, 255) << 12 | np.minimum(n[owner], 4095)).astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(keys[owner]), pa.array(marks_of(tokens, first)[0][owner].view(np.int64))], schema=schema)
+                    owner, within = owner[once[owner]], within[once[owner]]
+                    packed = packed_postings(order[first[owner] + within], within, n[owner])
+                    yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(keys[owner]), pa.array(parity(tokens, first)[owner])], schema=schema)
 
     return docs.mapInArrow(emit, "packed long, key long, mark long")
 
 
-def _may_match(n, m, p, q, x, y):
-    """Whether sets of n and m tokens, whose first common token is at place p of one and q of the other, can match; x, y: their
-    bitmaps, lists of words. Sizes of 4095 and places of 255 stand for more, and then nothing is ruled out by them."""
-    need = needed(n + m, THRESHOLD / (1 + THRESHOLD))
-    differ = sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(x, y, strict=True))
-    could = np.minimum(np.minimum(n - p, m - q), (n + m - differ) // 2)
-    return (could >= need) | (n >= 4095) | (m >= 4095)
-
-
-def posting_hash(tokens: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """One number for a token (44 bits, unsigned) of a set."""
-    return mix64(tokens * np.uint64(0x9E3779B97F4A7C15) + keys.view(np.uint64)).view(np.int64)
-
-
-def candidates(post: DataFrame, partitions: int) -> DataFrame:
-    """(value, kind): the tokens (0), the keys (1) and the hashes (2) of postings that have a possible match under the token as their first
-    common one."""
-    schema = pa.schema([("value", pa.int64()), ("kind", pa.int8())])
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packed, key, mark in whole_groups(batches, 3, 20):
-            packed, mark = packed.view(np.uint64), mark.view(np.uint64)
-            token = packed >> np.uint64(20)
-            place, n = (packed >> np.uint64(12) & np.uint64(255)).astype(np.int64), (packed & np.uint64(4095)).astype(np.int64)
-            hit = np.zeros(len(token), bool)
-            cut = np.flatnonzero(token[1:] != token[:-1]) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
-            size = ends - starts
-            small = np.repeat(size <= 24, size)
-            for d in range(1, 24):
-                a = np.flatnonzero((token[d:] == token[:-d]) & small[d:] & (key[d:] != key[:-d]))
-                if len(a):
-                    b = a + d
-                    a = a[ok := _may_match(n[a], n[b], place[a], place[b], [mark[a]], [mark[b]])]
-                    hit[a] = hit[b[ok]] = True
-            for s, e in zip(starts[size > 24].tolist(), ends[size > 24].tolist(), strict=True):
-                for i in range(s, e - 1):
-                    ok = _may_match(n[i], n[i + 1 : e], place[i], place[i + 1 : e], [mark[i]], [mark[i + 1 : e]]) & (key[i + 1 : e] != key[i])
-                    if ok.any():
-                        hit[i] = True
-                        hit[i + 1 : e] |= ok
-            if hit.any():
-                parts = [np.unique(token[hit]).view(np.int64), np.unique(key[hit]), np.unique(posting_hash(token[hit], key[hit]))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.arange(3, dtype=np.int8), [len(x) for x in parts]))], schema=schema)
-
-    return post.repartition(partitions, F.shiftright("packed", 20)).sortWithinPartitions("packed").mapInArrow(some, "value long, kind byte")
-
-
-def bitmap(values: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits bits that has the bit of every value; built by an aggregate, so only the bitmap reaches the driver."""
-    slot = F.pmod(F.col("value"), F.lit(1 << bits))
-    rows = (values.select(F.floor(slot / 64).cast("int").alias("word"), (slot % 64).cast("int").alias("bit"))
-            .select("word", F.expr("shiftleft(1L, bit)").alias("mask")).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas())
-    out = np.zeros((1 << bits) // 64, np.uint64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def in_bitmap(marks: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
-    slot = values.view(np.uint64) & np.uint64((1 << bits) - 1)
-    return (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def full_postings(docs: DataFrame, classes: np.ndarray, maps: list[np.ndarray], bits: int) -> DataFrame:
-    """Pass 3: the prefix postings of candidates, with place in the prefix, place in the corpus, and the whole set."""
-    schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("at", pa.int32()), ("tokens", pa.binary())])
-    tokens_in, keys_in, postings_in = maps
+_SET = pa.schema([("key", pa.int64()), ("label", pa.int64()), ("blocks", pa.int32()), ("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("hashes", pa.binary())])
+_SET_DDL = "key long, label long, blocks int, ord long, uid long, line int, hashes binary"
+
+
+def sets_by_lookup(docs: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Pass 3 where candidates are few: their keys, labels and blocks are broadcast. Each task emits a candidate's set with the earliest place
+    that it has met, again if an earlier one comes, so that the earliest of all is among them."""
+    rows = dealt.toPandas().sort_values("key")
+    sent = dealt.sparkSession.sparkContext.broadcast([rows[c].to_numpy() for c in ("key", "label", "blocks")])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, label, blocks = sent.value
         best: dict[int, tuple] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 ord_, uid = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for row, line, n, first, _, order, keys, whole_set in line_tokens(part.column(2), classes):
-                    keep = np.zeros(len(keys), bool)
-                    for i in np.flatnonzero(in_bitmap(keys_in, bits, keys)).tolist():  # the earliest occurrence that the task has met, again if an earlier one comes
+                for row, line, _, _, _, _, keys, whole_set in line_tokens(part.column(2)):
+                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    out = []
+                    for i in np.flatnonzero(known[at] == keys).tolist():
                         place, k = (ord_[row[i]], uid[row[i]], line[i]), int(keys[i])
                         if k not in best or place < best[k]:
                             best[k] = place
-                            keep[i] = True
+                            out.append(i)
                     if len(best) > 200_000:
                         best.clear()
-                    if not keep.any():
-                        continue
-                    owner, within = prefixes(n, first)
-                    owner, within = owner[keep[owner]], within[keep[owner]]
-                    token = order[first[owner] + within]
-                    hit = in_bitmap(tokens_in, bits, token) & in_bitmap(postings_in, bits, posting_hash(token, keys[owner]))
-                    owner, within = owner[hit], within[hit]
-                    sets: dict[int, bytes] = {}
-                    for i in np.unique(owner).tolist():
-                        sets[i] = whole_set(i).astype("<u8").tobytes()
-                    for a in range(0, len(owner), 1024):
-                        o, w = owner[a : a + 1024], within[a : a + 1024]
-                        yield pa.RecordBatch.from_arrays([pa.array(order[first[o] + w].view(np.int64)), pa.array(keys[o]), pa.array(ord_[row[o]]), pa.array(uid[row[o]]), pa.array(line[o].astype(np.int32)), pa.array(w.astype(np.int32)), pa.array([sets[i] for i in o.tolist()], pa.binary())], schema=schema)
+                    for a in range(0, len(out), 4096):
+                        i = np.array(out[a : a + 4096])
+                        sets = [whole_set(x).astype("<u8").tobytes() for x in i.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(label[at[i]]), pa.array(blocks[at[i]]), pa.array(ord_[row[i]]), pa.array(uid[row[i]]), pa.array(line[i].astype(np.int32)), pa.array(sets, pa.binary())], schema=_SET)
+
+    return docs.mapInArrow(emit, _SET_DDL)
+
 
-    return docs.mapInArrow(emit, "token long, key long, ord long, uid long, line int, at int, tokens binary")
+def sets_by_join(docs: DataFrame, dealt: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Pass 3 where candidates are many: documents are joined with the candidates whose first line they hold."""
+    wanted = dealt.join(firsts.select("key", "first"), "key").select("first.ord", "first.uid", F.struct(F.col("first.line").alias("line"), "key", "label", "blocks").alias("own"))
+    held = docs.join(wanted.groupBy("ord", "uid").agg(F.sort_array(F.collect_list("own")).alias("own")), ["ord", "uid"]).select("ord", "uid", "text", "own")
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ord_, uid, own = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3).to_pylist()
+                asked = [{x["line"]: x for x in some} for some in own]
+                for row, line, _, _, _, _, keys, whole_set in line_tokens(part.column(2)):
+                    out = [(i, x) for i, (r, k, key) in enumerate(zip(row.tolist(), line.tolist(), keys.tolist(), strict=True)) if (x := asked[r].get(k)) and x["key"] == key]
+                    for a in range(0, len(out), 4096):
+                        rows = [(x["key"], x["label"], x["blocks"], ord_[row[i]], uid[row[i]], x["line"], whole_set(i).astype("<u8").tobytes()) for i, x in out[a : a + 4096]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SET.types, strict=True)], schema=_SET)
 
-def _sets(blobs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n, first and the tokens of packed sets."""
-    n = np.array([len(b) // 8 for b in blobs], np.int64)
-    return n, np.cumsum(n) - n, np.concatenate([np.frombuffer(b, "<u8") for b in blobs])
+    return held.mapInArrow(emit, _SET_DDL)
 
 
 _MATCH = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("uid", pa.int64()), ("line", pa.int32()), ("similarity", pa.float64())])
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and place: each set's earliest match among the sets of one token that come before it."""
-    for token, key, ord_, uid, line, at, blobs in whole_groups(batches, 7):
-        cut = np.flatnonzero(token[1:] != token[:-1]) + 1
+    """Of sets sorted by group: each set's earliest match among those of its group that come before it."""
+    for group, key, side, ord_, uid, line, blobs in whole_groups(batches, 7):
+        cut = np.flatnonzero(group[1:] != group[:-1]) + 1
         out: list[tuple] = []
-        for s, e in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(token)]]).tolist(), strict=True):
-            if e - s < 2:
-                continue
-            # The rows are in order of place: a key's first row here is its first occurrence in the corpus.
-            _, once = np.unique(key[s:e], return_index=True)
-            if len(once) < 2:
+        for s, e in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(group)]]).tolist(), strict=True):
+            at = s + np.lexsort((line[s:e], uid[s:e], ord_[s:e]))
+            at = at[np.sort(np.unique(key[at], return_index=True)[1])]  # each key at its earliest place, in order of place
+            if len(at) < 2:
                 continue
-            rows = s + np.sort(once)
-            n, first, tokens = _sets(blobs[rows])
-            marks = marks_of(tokens, first, 4)
-            place = at[rows].astype(np.int64)
-            for j in range(1, len(rows)):
-                likely = np.flatnonzero(_may_match(n[:j], n[j], place[:j], place[j], [m[:j] for m in marks], [m[j] for m in marks]))
-                mine = tokens[first[j] : first[j] + n[j]]
-                for k in range(0, len(likely), 64):  # the earliest first, some at a time
-                    i = likely[k : k + 64]
-                    ends = np.cumsum(n[i])
-                    theirs = tokens[np.arange(ends[-1]) + np.repeat(first[i] - (ends - n[i]), n[i])]
-                    pos = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                    both = np.add.reduceat((mine[pos] == theirs).astype(np.int64), ends - n[i])
-                    good = np.flatnonzero(both >= needed(n[i] + n[j], THRESHOLD / (1 + THRESHOLD)))
-                    if len(good):
-                        g = good[0]
-                        r = rows[i[g]]
-                        out.append((key[rows[j]], ord_[r], uid[r], line[r], both[g] / (n[i[g]] + n[j] - both[g])))
-                        break
+            index = Index([np.frombuffer(blobs[i], "<u8") for i in at], side[at].astype(np.int64))
+            for j in range(1, len(at)):
+                i, both = index.earliest(j)
+                if i >= 0:
+                    r = at[i]
+                    out.append((key[at[j]], ord_[r], uid[r], line[r], both / (index.n[i] + index.n[j] - both)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MATCH.types, strict=True)], schema=_MATCH)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, bits: int = 25, short: bool = False) -> DataFrame:
-    """ord, uid, line, by_ord, by_line, similarity of every line that goes, with its earliest match. docs: ord, uid, text."""
+def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, short: bool = False, block: int = 20_000, tokens: int = 1 << 20, most: int = 4_000, lookup: int = 1 << 20) -> DataFrame:
+    """ord, uid, line, by_ord, by_line, similarity of every line that goes, with its earliest match. docs: ord, uid, text. block: postings of a token
+    that one task compares; tokens and most: tokens and sets of a block, of which a task compares two; lookup: how many candidates are broadcast."""
     scanned = scratch.table(scan_lines(docs, short), "scan")
     lines = scanned.filter("count IS NULL").drop("count")
     counts = np.zeros(COUNTERS, np.int64)
     for r in scanned.filter("count IS NOT NULL").groupBy("key").agg(F.sum("count").alias("n")).collect():
         counts[r["key"]] = r["n"]
-    classes = rarity_classes(counts)
-    found = scratch.table(candidates(postings(docs, classes), partitions), "candidates")
-    scratch.free()
-    maps = [bitmap(found.filter(F.col("kind") == k), bits) for k in range(3)]
-    full = full_postings(docs, classes, maps, bits).repartition(partitions, "token").sortWithinPartitions("token", "ord", "uid", "line")
-    matches = scratch.table(full.mapInArrow(_matches, "key long, ord long, uid long, line int, similarity double"), "matches")
     place = F.struct("ord", "uid", "line")
-    scratch.free()
+    firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
+    edges = prefix_edges(postings(docs, rarity_classes(counts)), scratch, partitions, block)
+    dealt = dealt_candidates(edges, firsts.select("key", "n"), scratch, tokens, most)
+    few = 0 < dealt.limit(lookup + 1).count() <= lookup
+    sets = sets_by_lookup(docs, dealt) if few else sets_by_join(docs, dealt, firsts)
+    sets = by_blocks(sets, "ord", "uid", "line", "hashes").repartition(partitions, "group").sortWithinPartitions("group")
+    matches = scratch.table(sets.mapInArrow(_matches, "key long, ord long, uid long, line int, similarity double"), "matches")
     earliest = matches.groupBy("key").agg(F.min(F.struct("ord", "uid", "line", "similarity")).alias("match"))
-    firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    verdict = firsts.join(earliest, "key", "left").filter("n > 1 OR match IS NOT NULL")
+    verdict = firsts.join(earliest, "key", "left").filter("rows > 1 OR match IS NOT NULL")
     own = F.struct(F.col("first.ord").alias("ord"), F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.lit(1.0).alias("similarity"))
     verdict = scratch.table(verdict.select("key", F.least(own, F.coalesce("match", own)).alias("by")), "verdict")
     gone = lines.join(verdict.hint("merge"), "key").filter(place > F.struct("by.ord", "by.uid", "by.line"))
     return gone.select("ord", "uid", "line", F.col("by.ord").alias("by_ord"), F.col("by.line").alias("by_line"), F.col("by.similarity").alias("similarity"))
 
 
-def dedup_lines(docs: DataFrame, spark: SparkSession, removed: str = "lines_removed", short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, spark: SparkSession, removed: str = "lines_removed", short: bool = False, **limits: int) -> DataFrame:
     """docs with the lines that go taken out of text, and `removed`: how many those were; a column of docs with that name gives way to it. short:
-    equal lines of one to four words go too."""
+    equal lines of one to four words go too. limits: of removed_lines; they change the work, not the result."""
     scratch, partitions = Scratch(spark, "lines"), shuffle_partitions(spark)
     docs = docs.drop(removed)
     name = unique_rows(spark, ["ord", "uid", "gone"], [*docs.columns, removed])
     ord_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))
     uid = F.xxhash64("doc_id", "text")
     text = docs.select(ord_.alias("ord"), uid.alias("uid"), F.col("text").cast("string").alias("text"))
-    lost = removed_lines(text, scratch, partitions, short=short).groupBy("ord", "uid").agg(F.collect_set("line").alias("gone"))
+    lost = removed_lines(text, scratch, partitions, short=short, **limits).groupBy("ord", "uid").agg(F.collect_set("line").alias("gone"))
     lost = scratch.table(lost, "lost").select(F.col("ord").alias(name["ord"]), F.col("uid").alias(name["uid"]), F.col("gone").alias(name["gone"]))
     both = docs.withColumn(name["ord"], ord_).withColumn(name["uid"], uid).join(lost, [name["ord"], name["uid"]], "left")
     gone = F.col(name["gone"])

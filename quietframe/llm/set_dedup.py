@@ -34,11 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietframe.llm import simhash
-from quietframe.llm.common import Scratch, capped_groups, column_bytes, mix64, owned_shingles, row_uid, shuffle_partitions, slices, text_or_empty, whole_groups, word_hashes, word_spans
-from quietframe.llm.line_dedup import COUNTERS, THRESHOLD, TOKEN_BITS, WIDTH, needed, prefixes, rarity_classes
+from quietframe.llm.common import Scratch, column_bytes, mix64, owned_shingles, row_uid, shuffle_partitions, slices, text_or_empty, whole_groups, word_hashes, word_spans
+from quietframe.llm.set_join import COUNTERS, TOKEN_BITS, Index, by_blocks, dealt_candidates, edge_rows, forest, packed_postings, parity, prefix_edges, prefixes, rarity_classes, unseen
 
-RADIUS, SMALL = 20, 100
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+WIDTH = 5
 
 
 def text_sets(column: pa.Array, classes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -85,8 +84,7 @@ def scan_texts(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Pass 2: the prefix of every set, each set of a task about once. packed: token (44 bits), place in the prefix (8 bits, 255 for more) and size
-    (12 bits, 4095 for more); mark: of each of 64 slots whether an odd number of tokens fall in it; fp: the SimHash."""
+    """Pass 2: the prefix of every set, each set of a task about once: packed (packed_postings), key, mark (parity) and fp (the SimHash)."""
     schema = pa.schema([("packed", pa.int64()), ("key", pa.int64()), ("mark", pa.int64()), ("fp", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,120 +95,17 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 if not len(n):
                     continue
                 keys = set_keys(n, first, hashes)
-                once = _unseen(keys, seen)
-                mark = np.bitwise_xor.reduceat(np.uint64(1) << (mix64(hashes) >> np.uint64(58)), first).view(np.int64)
+                once = unseen(keys, seen)
+                mark = parity(hashes, first)
                 prints = simhash.majority(hashes, n).view(np.int64)
                 owner, within = prefixes(n, first)
                 owner, within = owner[once[owner]], within[once[owner]]
-                packed = order[first[owner] + within] << np.uint64(20) | (np.minimum(within, 255) << 12 | np.minimum(n[owner], 4095)).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(keys[owner]), pa.array(mark[owner]), pa.array(prints[owner])], schema=schema)
+                packed = packed_postings(order[first[owner] + within], within, n[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(keys[owner]), pa.array(mark[owner]), pa.array(prints[owner])], schema=schema)
 
     return docs.mapInArrow(emit, "packed long, key long, mark long, fp long")
 
 
-def _unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
-    """The first of each key that isn't in seen, which takes them in and is emptied where it grows large."""
-    out = np.zeros(len(keys), bool)
-    _, at = np.unique(keys, return_index=True)
-    out[at] = [k not in seen for k in keys[at].tolist()]
-    seen.update(keys[at].tolist())
-    if len(seen) > 200_000:
-        seen.clear()
-    return out
-
-
-class _Postings:
-    """Postings of some rows; may(i, j): whether the sets of rows i and j can match with the token as their first common one. Sizes of 4095 and
-    places of 255 stand for more, and then nothing is ruled out by them."""
-
-    def __init__(self, cols: list[np.ndarray]):
-        packed, self.key, mark, fp, *side = cols
-        packed = packed.view(np.uint64)
-        self.token, self.mark, self.fp = packed >> np.uint64(20), mark.view(np.uint64), fp.view(np.uint64)
-        self.place, self.n = (packed >> np.uint64(12) & np.uint64(255)).astype(np.int64), (packed & np.uint64(4095)).astype(np.int64)
-        self.side = side[0] if side else None
-
-    def may(self, i, j):
-        total = self.n[i] + self.n[j]
-        could = np.minimum(np.minimum(self.n[i] - self.place[i], self.n[j] - self.place[j]), (total - np.bitwise_count(self.mark[i] ^ self.mark[j]).astype(np.int64)) // 2)
-        fits = (could >= needed(total, THRESHOLD / (1 + THRESHOLD))) | (self.n[i] >= 4095) | (self.n[j] >= 4095)
-        fits &= (total <= SMALL) | (np.bitwise_count(self.fp[i] ^ self.fp[j]) <= RADIUS)
-        return fits if self.side is None else fits & ((self.side[i] < 0) | (self.side[i] != self.side[j]))
-
-
-def _forest(size: int, linked) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest, found breadth-first; linked(x, left): which of left link with x."""
-    left, out = np.arange(size), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            hit = linked(x, left)
-            if hit.any():
-                new = left[hit]
-                out.append((np.full(len(new), x), new))
-                queue.extend(new.tolist())
-                left = left[~hit]
-    return out
-
-
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if a and len(x := np.concatenate(a)):
-        y = np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_EDGE)
-
-
-def token_edges(group: np.ndarray, post: _Postings, few: int = 12) -> Iterator[pa.RecordBatch]:
-    """Edges that keep what possibly matches within each group (numbers that stand together) connected."""
-    cut = np.flatnonzero(group[1:] != group[:-1]) + 1
-    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(group)]])
-    size = ends - starts
-    small = np.repeat(size <= few, size)
-    a, b = [], []
-    for d in range(1, few):
-        i = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (post.key[d:] != post.key[:-d]))
-        i = i[post.may(i, i + d)]
-        a.append(post.key[i])
-        b.append(post.key[i + d])
-    for s, e in zip(starts[size > few].tolist(), ends[size > few].tolist(), strict=True):
-        at = s + np.unique(post.key[s:e], return_index=True)[1]  # equal keys are one set
-        for x, y in _forest(len(at), lambda x, left, at=at: post.may(at[x], at[left])):
-            a.append(post.key[at[x]])
-            b.append(post.key[at[y]])
-    yield from _pairs(a, b)
-
-
-def prefix_edges(post: DataFrame, scratch: Scratch, partitions: int, block: int) -> DataFrame:
-    """Candidate edges (a, b) from postings. A token of more than `block` postings is put off: b is null, and a is the token."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in capped_groups(batches, 4, 20, block):
-            if isinstance(got, tuple):
-                yield pa.RecordBatch.from_arrays([pa.array([got[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([got[1]], pa.int64())], names=["a", "b", "rows"])
-                continue
-            rows = _Postings(got)
-            for edges in token_edges(rows.token, rows):
-                yield pa.RecordBatch.from_arrays([*edges.columns, pa.nulls(edges.num_rows, pa.int64())], names=["a", "b", "rows"])
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, *cols in whole_groups(batches, 6):
-            yield from token_edges(group, _Postings(cols))
-
-    own = F.shiftright("packed", 20)
-    found = scratch.table(post.repartition(partitions, own).sortWithinPartitions("packed").mapInArrow(first, "a long, b long, rows long"), "candidates")
-    edges = found.filter("b IS NOT NULL").select("a", "b")
-    large = found.filter("b IS NULL").select(F.col("a").alias("token"), F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    if large.isEmpty():
-        return edges
-    dealt = post.join(scratch.table(large, "large"), own == F.col("token")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
-    dealt = dealt.select(F.xxhash64("token", "lo", "hi").alias("group"), "packed", "key", "mark", "fp", side.alias("side"))
-    more = dealt.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(second, "a long, b long")
-    return edges.unionByName(scratch.table(more, "more_candidates"))
-
-
 def print_edges(rows: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
     """Candidate edges (a, b) of keys whose fingerprints are within operator 8's radius, by Golay keys."""
     prints = scratch.table(rows.filter("n > 0").groupBy("fp").agg(F.min("key").alias("rep"), F.min("doc_id").alias("first")), "prints")
@@ -231,7 +126,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 row, n, first, hashes, _ = text_sets(part.column(0))
                 some = np.flatnonzero(set_keys(n, first, hashes) == part.column(1).to_numpy()[row])
-                some = some[_unseen(part.column(1).to_numpy()[row[some]], seen)]
+                some = some[unseen(part.column(1).to_numpy()[row[some]], seen)]
                 sets = [hashes[first[i] : first[i] + n[i]].tobytes() for i in some.tolist()]
                 at = pa.array(row[some])
                 yield pa.RecordBatch.from_arrays([*[part.column(k).take(at) for k in (1, 2, 3)], pa.array(sets, pa.binary())], schema=schema)
@@ -239,31 +134,6 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text", "wanted", "label", "blocks").mapInArrow(emit, "key long, label long, blocks int, hashes binary")
 
 
-class _Index:
-    """Which of some sets have a token; linked() counts what a set shares with those that are left."""
-
-    def __init__(self, sets: list[np.ndarray], side: np.ndarray):
-        self.sets, self.side = sets, side
-        self.n = np.array([len(x) for x in sets], np.int64)
-        self.build(np.arange(len(sets)))
-
-    def build(self, which: np.ndarray) -> None:
-        tokens, owner = np.concatenate([self.sets[i] for i in which]), np.repeat(which, self.n[which])
-        by = np.argsort(tokens, kind="stable")
-        self.tokens, self.owner, self.held = tokens[by], owner[by], len(which)
-
-    def linked(self, x: int, left: np.ndarray) -> np.ndarray:
-        if 2 * len(left) < self.held:
-            self.build(left)
-        lo, hi = np.searchsorted(self.tokens, self.sets[x], "left"), np.searchsorted(self.tokens, self.sets[x], "right")
-        lo, size = lo[hi > lo], (hi - lo)[hi > lo]
-        at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-        both = np.bincount(self.owner[at], minlength=len(self.sets))[left]
-        ok = both >= needed(self.n[left] + self.n[x], THRESHOLD / (1 + THRESHOLD))
-        # Of two blocks only links over the cut count: those within a block are another task's.
-        return ok & ((self.side[left] != self.side[x]) | (self.side[x] < 0))
-
-
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sets sorted by group, a spanning forest of each group's links."""
     for group, key, side, blobs in whole_groups(batches, 4):
@@ -272,33 +142,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(group)]]).tolist(), strict=True):
             at = s + np.unique(key[s:e], return_index=True)[1]
             if len(at) > 1:
-                index = _Index([np.frombuffer(blobs[i], "<u8") for i in at], side[at].astype(np.int64))
-                for x, y in _forest(len(at), index.linked):
+                index = Index([np.frombuffer(blobs[i], "<u8") for i in at], side[at].astype(np.int64))
+                for x, y in forest(len(at), index.linked):
                     a.append(key[at[x]])
                     b.append(key[at[y]])
-        yield from _pairs(a, b)
+        yield from edge_rows(a, b)
 
 
-def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, partitions: int, tokens: int) -> DataFrame:
+def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, partitions: int, tokens: int, most: int) -> DataFrame:
     """Edges (a, b) of keys that link, enough to keep every connection by links, from candidate edges."""
-    labels = scratch.table(simhash.components(edges, scratch), "candidate_labels")
-    # components() has every node but the label itself.
-    every = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct().withColumnRenamed("node", "wanted")
     one = rows.groupBy("key").agg(F.min("uid").alias("own"), F.max("n").alias("n"))
-    every = scratch.table(every.join(one, F.col("wanted") == F.col("key")).select("wanted", "label", "own", "n"), "wanted")
-    sizes = every.groupBy("label").agg(F.ceil(F.sum("n") / tokens).cast("int").alias("blocks"))
-    every = scratch.table(every.join(sizes, "label").select("own", "wanted", "label", "blocks"), "dealt")
+    dealt = dealt_candidates(edges, one, scratch, tokens, most)
+    dealt = scratch.table(dealt.join(one.select("key", "own"), "key").withColumnRenamed("key", "wanted"), "owners")
     # Whose texts are read again: few rows are broadcast (Spark checks the written table's size), many are joined by a shuffle.
-    sets = full_sets(docs.join(every, F.col("uid") == F.col("own"))).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    sets = sets.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
-    sets = sets.select(F.xxhash64("label", "lo", "hi").alias("group"), "key", side.alias("side"), "hashes")
+    sets = by_blocks(full_sets(docs.join(dealt, F.col("uid") == F.col("own"))), "hashes")
     return scratch.table(sets.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_links, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, tokens: int = 1 << 21) -> DataFrame:
-    """doc_id, uid, component_id and component (a number of its own) of every row. block: postings of a token that one task compares; tokens: of
-    sets that one task compares, twice."""
+def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, tokens: int = 1 << 21, most: int = 4_000) -> DataFrame:
+    """doc_id, uid, component_id and component (a number of its own) of every row. block: postings of a token that one task compares; tokens and
+    most: tokens and sets of a block, of which a task compares two."""
     scratch, partitions = Scratch(spark, "sets"), shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_uid().alias("uid"), text_or_empty().alias("text"))
     scanned = scratch.table(scan_texts(texts), "scan")
@@ -307,7 +170,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, t
         counts[r["key"]] = r["n"]
     rows = scanned.filter("count IS NULL").drop("count")
     edges = prefix_edges(postings(texts, rarity_classes(counts)), scratch, partitions, block).unionByName(print_edges(rows, scratch, partitions))
-    links = exact_links(edges, rows, texts, scratch, partitions, tokens)
+    links = exact_links(edges, rows, texts, scratch, partitions, tokens, most)
     labels = scratch.table(simhash.components(links, scratch), "labels")
     distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
     labelled = scratch.table(distinct.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("component")), "labelled")

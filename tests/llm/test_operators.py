@@ -617,7 +617,8 @@ def test_exact_goes_through_the_index(spark, docs):
 # ---- op10
 
 
-def test_lines(spark, docs, none):
+@pytest.mark.parametrize("limits", [{}, {"lookup": 0, "block": 5, "most": 3}, {"tokens": 40}])
+def test_lines(spark, docs, none, limits):
     rows = sorted(set(corpus()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     seen, want = [], {}
     for i, t, *_ in rows:
@@ -631,7 +632,7 @@ def test_lines(spark, docs, none):
             gone += hit
             kept += [] if hit else [line]
         want[i, t] = (None if t is None else "\n".join(kept), gone)
-    out = line_dedup.dedup_lines(docs, spark)
+    out = line_dedup.dedup_lines(docs, spark, **limits)
     assert out.columns == [*docs.columns, "lines_removed"]
     got = collections.defaultdict(list)
     for r in out.collect():
@@ -642,3 +643,29 @@ def test_lines(spark, docs, none):
         full[i].append(want[i, t])
     assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in full.items()}
     assert line_dedup.dedup_lines(none, spark).count() == 0
+    clash = line_dedup.dedup_lines(docs.withColumn("lines_removed", F.lit("x")), spark)
+    assert clash.columns == [*docs.columns, "lines_removed"] and dict(clash.dtypes)["lines_removed"] == "bigint"
+
+
+def test_family_of_like_lines(spark):
+    """Hundreds of lines that are alike in part: each is held against all earlier ones, over blocks of any size."""
+    rng = random.Random(12)
+    base = words(rng, 40)
+    lines = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(40)] = rng.choice(["other", "word", "here"])
+        lines.append(" ".join(w))
+    rows = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(15)]
+    seen, want = [], {}
+    for i, t in rows:
+        want[i] = 0
+        for line in t.split("\n"):
+            w = line.lower().split(" ")
+            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            want[i] += any(len(s & x) / len(s | x) >= 0.8 for x in seen)
+            seen.append(s)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for limits in ({}, {"block": 20, "most": 25, "lookup": 0}, {"block": 7, "tokens": 500}):
+        assert {r["doc_id"]: r["lines_removed"] for r in line_dedup.dedup_lines(docs, spark, **limits).collect()} == want
