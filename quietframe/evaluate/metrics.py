@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quietframe.sources.shared import written
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -156,12 +158,15 @@ def redacted_row_count(d: Dataset, columns: list[str], keyword: str = "Unknown")
 
 
 def auc(d: Dataset, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve, exactly: pairs of a positive and a negative in order, ties by half. Aggregated by score first, so the
-    running sum is over distinct scores."""
+    """Area under the ROC curve, exactly: pairs of a positive and a negative in order, ties by half. Aggregated by score first, and dealt by
+    ranges of it: running sums are taken within each range, and only the ranges' totals, one row each, are summed up in one task."""
     g = d.source.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.select("p", "q", below.alias("below"))
-    return _one(g, value=F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")))
+    g = written(g.repartitionByRange(score).withColumn("range", F.spark_partition_id()), "auc")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = g.groupBy("range").agg(F.sum("q").alias("in_range")).select("range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("q").over(Window.partitionBy("range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumn("inside", inside).join(F.broadcast(ranges), "range")  # one row for each partition
+    return _one(g, value=F.sum(F.col("p") * (F.col("start") + F.col("inside") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")))
 
 
 # ---- two datasets

@@ -63,6 +63,8 @@ class Analyze(_Run):
                     for n in range(1, self.run_len + 1):
                         for some in combinations(columns, n):
                             self.one(Metric.create(name, columns=list(some), **extra), d)
+                else:  # asked for by name, with parameters of its own
+                    self.one(Metric.create(name, **extra), d)
         return self.results
 
 

@@ -16,14 +16,28 @@ BINS = 64
 
 
 def power_histogram(df: DataFrame, column: str) -> DataFrame:
-    """bin and n: values by power of two, 1 for [0, 2), 2 for [2, 4) ... and the same below zero. At most 128 rows."""
+    """bin and n: values by power of two, with edges 0, 1, 2, 4 and so on. Bin 1 is [0, 1), 2 is [1, 2), 3 is [2, 4); bin -1 is [-1, 0), -2 is
+    [-2, -1), -3 is [-4, -2). The last bin of either side takes what is beyond it. At most 128 rows."""
     x = F.col(column).cast("double")
-    size = F.greatest(F.lit(1), F.least(F.lit(BINS), F.floor(F.log2(F.greatest(F.abs(x), F.lit(1.0)))) + 1))
-    number = F.when(x < 0, -size).otherwise(size).cast("int")
+    size = F.greatest(F.abs(x), F.lit(1.0))
+    near = F.floor(F.log2(size)).cast("double")
+    two = F.lit(2.0)
+    # log2 rounds: the power that is really the last one not over the size.
+    power = F.when(F.pow(two, near) > size, near - 1).when(F.pow(two, near + 1) <= size, near + 1).otherwise(near)
+    above = F.when(x < 1, 1).otherwise(power + 2)
+    below = F.when(x >= -1, 1).otherwise(power + F.when(F.pow(two, power) == size, 1).otherwise(2))
+    last = F.lit(float(BINS))
+    number = F.when(x < 0, -F.least(last, below)).otherwise(F.least(last, above)).cast("int")
     fine = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     return df.filter(fine).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _edges(b: int) -> tuple[float, float]:
+    """The ends of a bin."""
+    low, high = (0.0 if abs(b) == 1 else 2.0 ** (abs(b) - 2)), 2.0 ** (abs(b) - 1)
+    return (low, high) if b > 0 else (-high, -low if low else 0.0)
+
+
 def approx_bounds(df: DataFrame, column: str, epsilon: float, odometer: Odometer | OdometerHeterogeneous | None = None, noise: bool = True) -> tuple[float | None, float | None]:
     """Bounds that hold the column's values but for bins that noise hides; (None, None) if no bin stands out. Noise is drawn once."""
     source = random.SystemRandom()
@@ -37,8 +51,7 @@ def approx_bounds(df: DataFrame, column: str, epsilon: float, odometer: Odometer
         cut = -math.log(1 - (1 - fail) ** (1 / (2 * BINS - 1))) / epsilon
         over = [b for b, n in noisy.items() if n > cut]
         if over:
-            lo, hi = min(over), max(over)
-            return (-(2.0**-lo) if lo < 0 else 0.0 if lo == 1 else 2.0 ** (lo - 1)), (2.0**hi if hi > 0 else 0.0 if hi == -1 else -(2.0 ** (-hi - 1)))
+            return _edges(min(over))[0], _edges(max(over))[1]
         fail *= 10
     return None, None
 

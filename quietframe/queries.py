@@ -87,7 +87,7 @@ zero_noise("group_by_expression", "SELECT l_linenumber % 3 AS m, COUNT(*) AS n F
 zero_noise("having_on_output", "SELECT l_linenumber AS k, COUNT(*) AS n FROM lineitem GROUP BY l_linenumber HAVING COUNT(*) > 5000", "SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 5000")
 zero_noise("order_by_expression", "SELECT l_linenumber AS k, COUNT(*) AS n FROM lineitem GROUP BY l_linenumber ORDER BY COUNT(*) DESC, k LIMIT 3", "SELECT l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, k LIMIT 3")
 zero_noise("top_n", "SELECT TOP 2 l_returnflag AS f, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY n DESC", "SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC LIMIT 2")
-zero_noise("threshold_censor_zero_noise", "SELECT o_orderdate AS d, COUNT(*) AS n FROM orders GROUP BY o_orderdate", f"SELECT o_orderdate AS d, count(*) AS n FROM {ONE.format(w='')} WHERE rn <= 1 GROUP BY 1 HAVING count(*) > {TAU1}", "o_orderkey")
+zero_noise("threshold_censor_zero_noise", "SELECT FLOOR(o_totalprice / 5000) AS d, COUNT(*) AS n FROM orders GROUP BY FLOOR(o_totalprice / 5000)", f"SELECT CAST(floor(o_totalprice / 5000) AS BIGINT) AS d, count(*) AS n FROM {ONE.format(w='')} WHERE rn <= 1 GROUP BY 1 HAVING count(*) > 1 - ln(2 * 1e-5)", "o_orderkey")
 zero_noise("aggregate_expressions", "SELECT l_returnflag AS f, COUNT(*) * 2 + 1 AS a, ROUND(LN(COUNT(*)), 6) AS b, 3 AS three FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag AS f, count(*) * 2 + 1 AS a, round(ln(count(*)), 6) AS b, 3 AS three FROM lineitem GROUP BY 1")
 
 # ---- expressions over public tables
@@ -98,6 +98,14 @@ public("iif_choose", "SELECT n_nationkey AS k, IIF(n_regionkey > 2, 'hi', 'lo')
 public("in_list_between", "SELECT n_nationkey AS k, n_regionkey IN (1, 3) AS a, n_nationkey BETWEEN 3 AND 7 AS b, n_regionkey NOT IN (0) AS c FROM nation")
 public("is_null_true_false", "SELECT doc_id AS k, quality IS NULL AS a, quality IS TRUE AS b, toxic IS NOT FALSE AS c FROM labels", "SELECT doc_id AS k, quality IS NULL AS a, coalesce(CAST(quality AS VARCHAR) IN ('true','t','y','yes','on','1'), false) AS b, NOT coalesce(CAST(toxic AS VARCHAR) IN ('false','f','n','no','off','0'), false) AS c FROM labels")
 public("math_functions", "SELECT l_orderkey AS k, l_linenumber AS n, ROUND(SQRT(l_quantity), 6) AS a, SQUARE(l_linenumber) AS b, ROUND(EXP(l_discount), 6) AS c, SIGN(l_discount) AS d, ROUND(POWER(l_tax, 2), 6) AS e, ABS(l_linenumber - 4) AS f, ROUND(SIN(l_quantity), 6) AS g FROM lineitem", "SELECT l_orderkey AS k, l_linenumber AS n, round(sqrt(l_quantity), 6) AS a, pow(l_linenumber, 2) AS b, round(exp(l_discount), 6) AS c, CAST(sign(l_discount) AS DOUBLE) AS d, round(pow(l_tax, 2), 6) AS e, abs(l_linenumber - 4) AS f, round(sin(l_quantity), 6) AS g FROM lineitem")
+public("log_functions", "SELECT l_orderkey AS k, l_linenumber AS n, ROUND(LN(l_quantity), 6) AS a, ROUND(LOG10(l_quantity), 6) AS b, ROUND(LOG2(l_quantity), 6) AS c, CEIL(l_discount) AS d, FLOOR(l_quantity) AS e FROM lineitem", "SELECT l_orderkey AS k, l_linenumber AS n, round(ln(l_quantity), 6) AS a, round(log10(l_quantity), 6) AS b, round(log2(l_quantity), 6) AS c, CAST(ceil(l_discount) AS BIGINT) AS d, CAST(floor(l_quantity) AS BIGINT) AS e FROM lineitem")
+public("trig_functions", "SELECT l_orderkey AS k, l_linenumber AS n, ROUND(COS(l_quantity), 6) AS a, ROUND(TAN(l_tax), 6) AS b, ROUND(ASIN(l_discount), 6) AS c, ROUND(ACOS(l_discount), 6) AS d, ROUND(ATAN(l_quantity), 6) AS e, ROUND(ATANH(l_discount), 6) AS f, ROUND(DEGREES(l_tax), 6) AS g, ROUND(PI(), 6) AS h FROM lineitem", "SELECT l_orderkey AS k, l_linenumber AS n, round(cos(l_quantity), 6) AS a, round(tan(l_tax), 6) AS b, round(asin(l_discount), 6) AS c, round(acos(l_discount), 6) AS d, round(atan(l_quantity), 6) AS e, round(atanh(l_discount), 6) AS f, round(degrees(l_tax), 6) AS g, round(pi(), 6) AS h FROM lineitem")
+public("limit_n", "SELECT n_nationkey AS k, n_name AS n FROM nation ORDER BY n_nationkey LIMIT 5")
+public("substring_edges", "SELECT n_nationkey AS k, SUBSTRING(n_name FROM 1 FOR 100) AS a, SUBSTRING(n_name FROM 100 FOR 2) AS b FROM nation", "SELECT n_nationkey AS k, n_name AS a, '' AS b FROM nation")
+public("precedence_and_minus", "SELECT n_nationkey AS k, 2 + n_nationkey * 3 - -n_regionkey AS a, -(n_nationkey - 4) * 2 AS b, (n_nationkey + 1) * (n_regionkey + 2) AS c FROM nation")
+public("select_star", "SELECT * FROM region", "SELECT * FROM region")
+public("comma_join", "SELECT n_name AS n, r_name AS r FROM nation, region WHERE n_regionkey = r_regionkey")
+public("dayname_weekday", "SELECT o_orderkey AS k, DAYNAME(o_orderdate) AS d, EXTRACT(WEEKDAY FROM o_orderdate) AS w FROM orders", "SELECT o_orderkey AS k, dayname(o_orderdate) AS d, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS w FROM orders")
 public("round_half_even", "SELECT n_nationkey AS k, ROUND(n_nationkey / 2) AS a FROM nation", "SELECT n_nationkey AS k, round_even(n_nationkey / 2.0::DOUBLE, 0) AS a FROM nation")
 public("trunc_floor", "SELECT c_custkey AS k, TRUNC(c_acctbal) AS a, TRUNCATE(c_acctbal, -2) AS b FROM customer", "SELECT c_custkey AS k, floor(c_acctbal) AS a, floor(c_acctbal * 0.01) * 100.0 AS b FROM customer")
 public("division_modulo", "SELECT n_nationkey AS k, (n_nationkey - 9) / n_regionkey AS a, (n_nationkey - 9) % 4 AS b FROM nation", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 0 THEN 0.0 ELSE CAST(n_nationkey - 9 AS DOUBLE) / n_regionkey END AS a, ((n_nationkey - 9) % 4 + 4) % 4 AS b FROM nation")
@@ -123,13 +131,18 @@ public("quoted_names", 'SELECT n."n_name" AS [a b], `n_nationkey` AS k FROM "nat
 # ---- mechanisms
 
 
-@register("noisy_scale_table", "SELECT * FROM (VALUES ('laplace', 1.0, 1, 1.0, {}, {}), ('laplace', 100.0, 3, 0.5, {}, {}), ('gaussian', 1.0, 1, 1.0, {}, {})) t(mechanism, sensitivity, max_ids, epsilon, scale, threshold)".replace("1.0", "1.0::DOUBLE").replace("100.0", "100.0::DOUBLE").replace("0.5", "0.5::DOUBLE").replace("{}", "{}::DOUBLE").format(*[round(x, 4) for m in (Laplace(1.0, 1e-5, 1.0, 1), Laplace(0.5, 1e-5, 100.0, 3), Gaussian(1.0, 1e-5, 1.0, 1)) for x in (m.scale, m.threshold)]))
+# Laplace: scale = max_ids sensitivity / epsilon, threshold = max_ids (1 - ln(2 delta / max_ids) / epsilon).
+@register("noisy_scale_table", """
+    SELECT 'laplace' AS mechanism, s AS sensitivity, k AS max_ids, e AS epsilon, round(k * s / e, 4) AS scale, round(k * (1 - ln(2 * 1e-5::DOUBLE / k) / e), 4) AS threshold
+    FROM (VALUES (1.0::DOUBLE, 1, 1.0::DOUBLE), (100.0::DOUBLE, 3, 0.5::DOUBLE), (2.0::DOUBLE, 2, 0.1::DOUBLE)) t(s, k, e)""")
 def noisy_scale_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, m.sensitivity, m.max_contrib, m.epsilon, round(m.scale, 4), round(m.threshold, 4)) for n, m in (("laplace", Laplace(1.0, 1e-5, 1.0, 1)), ("laplace", Laplace(0.5, 1e-5, 100.0, 3)), ("gaussian", Gaussian(1.0, 1e-5, 1.0, 1)))]
+    rows = [(n, m.sensitivity, m.max_contrib, m.epsilon, round(m.scale, 4), round(m.threshold, 4)) for n, m in (("laplace", Laplace(1.0, 1e-5, 1.0, 1)), ("laplace", Laplace(0.5, 1e-5, 100.0, 3)), ("laplace", Laplace(0.1, 1e-5, 2.0, 2)))]
     return spark.createDataFrame(rows, "mechanism string, sensitivity double, max_ids int, epsilon double, scale double, threshold double")
 
 
-@register("power2_histogram", "SELECT CAST(CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END * greatest(1, least(64, floor(log2(greatest(abs(c_acctbal), 1))) + 1)) AS INTEGER) AS bin, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1")
+@register("power2_histogram", """
+    WITH edges AS (SELECT CAST(i AS INTEGER) AS bin, CASE WHEN i = 1 THEN 0 ELSE pow(2, i - 2) END AS lo, pow(2, i - 1) AS hi FROM range(1, 65) t(i))
+    SELECT bin, count(*) AS n FROM (SELECT bin FROM customer JOIN edges ON c_acctbal >= lo AND c_acctbal < hi UNION ALL SELECT -bin FROM customer JOIN edges ON c_acctbal >= -hi AND c_acctbal < -lo) GROUP BY bin""")
 def power2_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return power_histogram(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_acctbal")
 
@@ -193,25 +206,25 @@ register("metric_auc", "WITH x AS (SELECT quality q, n_chars s FROM labels JOIN
 
 
 def _pair(name: str, f: Callable[[M.Dataset, M.Dataset], DataFrame], sql: str) -> None:
-    """The original is lineitem; the synthetic one is its rows of orders with an even key."""
+    """The original is lineitem; the synthetic one is all its rows, with lines over 6 numbered 6 and the quantity one more where it is even."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         li = spark.read.parquet(f"{d}/lineitem.parquet")
-        out = f(M.Dataset(li), M.Dataset(li.filter("l_orderkey % 2 = 0 AND l_linenumber < 7")))
+        out = f(M.Dataset(li), M.Dataset(li.withColumns({"l_linenumber": F.expr("least(l_linenumber, 6)"), "l_quantity": F.expr("CASE WHEN l_quantity % 2 = 0 THEN l_quantity + 1 ELSE l_quantity END")})))
         return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
     register(f"compare_{name}", sql)(run)
 
 
 _C = ["l_returnflag", "l_linenumber"]
-_AB = "WITH a AS (SELECT l_returnflag f, l_linenumber k, count(*) n, sum(l_quantity) / count(*) x FROM lineitem GROUP BY ALL), b AS (SELECT l_returnflag f, l_linenumber k, count(*) n, sum(l_quantity) / count(*) x FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber < 7 GROUP BY ALL), j AS (SELECT CASE WHEN a.n >= 100000 THEN 5 WHEN a.n >= 10000 THEN 4 WHEN a.n >= 1000 THEN 3 WHEN a.n >= 100 THEN 2 WHEN a.n >= 10 THEN 1 ELSE 0 END AS bin, a.n AS n, a.x AS x, coalesce(b.n, 0) AS m, coalesce(b.x, 0) AS y FROM a LEFT JOIN b USING (f, k)) "
+_AB = "WITH a AS (SELECT l_returnflag f, l_linenumber k, count(*) n, sum(l_quantity) / count(*) x FROM lineitem GROUP BY ALL), b AS (SELECT l_returnflag f, least(l_linenumber, 6) k, count(*) n, sum(CASE WHEN l_quantity % 2 = 0 THEN l_quantity + 1 ELSE l_quantity END) / count(*) x FROM lineitem GROUP BY ALL), j AS (SELECT CASE WHEN a.n >= 100000 THEN 5 WHEN a.n >= 10000 THEN 4 WHEN a.n >= 1000 THEN 3 WHEN a.n >= 100 THEN 2 WHEN a.n >= 10 THEN 1 ELSE 0 END AS bin, a.n AS n, a.x AS x, coalesce(b.n, 0) AS m, coalesce(b.x, 0) AS y FROM a LEFT JOIN b USING (f, k)) "
 _pair("mean_absolute_error", lambda a, b: M.mean_absolute_error(a, b, _C, "l_quantity"), _AB + "SELECT bin, round(avg(abs(x - y)), 6) AS value FROM j GROUP BY 1")
 _pair("mean_absolute_error_in_count", lambda a, b: M.mean_absolute_error_in_count(a, b, _C), _AB + "SELECT bin, round(avg(abs(n - m)), 6) AS value FROM j GROUP BY 1")
 _pair("mean_error", lambda a, b: M.mean_error(a, b, _C), _AB + "SELECT round(avg(m - n), 6) AS value FROM j")
 _pair("mean_proportional_error", lambda a, b: M.mean_proportional_error(a, b, _C, "l_quantity"), _AB + "SELECT bin, round(sum((y - x) / x) * 100 / count(*), 6) AS value FROM j GROUP BY 1")
 _pair("mean_proportional_error_in_count", lambda a, b: M.mean_proportional_error_in_count(a, b, _C), _AB + "SELECT bin, round(sum((m - n) / n) * 100 / count(*), 6) AS value FROM j GROUP BY 1")
-_pair("suppressed_combinations", lambda a, b: M.suppressed_combination_count(a, b, _C), "SELECT count(*) AS value FROM (SELECT l_returnflag, l_linenumber FROM lineitem EXCEPT SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber < 7)")
-_pair("fabricated_combinations", lambda a, b: M.fabricated_combination_count(b, a, _C), "SELECT count(*) AS value FROM (SELECT l_returnflag, l_linenumber FROM lineitem EXCEPT SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber < 7)")
+_pair("suppressed_combinations", lambda a, b: M.suppressed_combination_count(a, b, _C), "SELECT count(*) AS value FROM (SELECT l_returnflag, l_linenumber FROM lineitem EXCEPT SELECT l_returnflag, least(l_linenumber, 6) FROM lineitem)")
+_pair("fabricated_combinations", lambda a, b: M.fabricated_combination_count(b, a, _C), "SELECT count(*) AS value FROM (SELECT l_returnflag, l_linenumber FROM lineitem EXCEPT SELECT l_returnflag, least(l_linenumber, 6) FROM lineitem)")
 
 # ---- transforms
 

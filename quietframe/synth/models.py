@@ -237,11 +237,14 @@ def _positive(x: np.ndarray) -> np.ndarray:
 
 
 class AggregateSeeded(Synthesizer):
-    """Noisy counts of all combinations of up to reporting_length attributes, thresholded; rows are grown from them attribute by attribute, each
-    drawn by the counts of pairs with what the row has."""
+    """Noisy counts of all attributes and pairs of them (reporting_length 1 or 2; more is refused), thresholded; rows are grown from them attribute by
+    attribute, each drawn by the counts of pairs with what the row has."""
 
     def learn(self, df, epsilon):
-        width = min(self.options.get("reporting_length", 2), len(self.columns), 3)
+        width = self.options.get("reporting_length", 2)
+        if width not in (1, 2):
+            raise ValueError("reporting_length must be 1 or 2: longer combinations aren't counted")
+        width = min(width, len(self.columns))
         delta = self.options.get("delta") or 1e-6
         each = epsilon / width
         self.singles = [_positive(_laplace(table(df, [c], [n]), len(self.columns) / each)) for c, n in zip(self.columns, self.shape, strict=True)]

@@ -166,6 +166,26 @@ def test_heavy_keys_are_limited_before_the_shuffle(spark, people):
     assert "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize(("values", "bounds"), [
+    ([0, 1, 2, 3, 4, 5, 6, 7, 8, 9], (0, 16)),
+    ([2.0**10, 2.0**20, 2.0**30, 2.0**40], (2.0**10, 2.0**41)),
+    ([-(2.0**10), -(2.0**20), -(2.0**30), -(2.0**40)], (-(2.0**40), -(2.0**9))),
+    ([2.0**10, -(2.0**20), -(2.0**30), 2.0**40, -0.5, -0.75], (-(2.0**30), 2.0**41)),
+    ([0.0, 0.25, 0.4995], (0, 1)),
+    ([-0.25, -0.4995, -1.0], (-1, 0)),
+    ([2.0 ** (4 * p) for p in range(10)], (1, 2.0**37)),
+    ([1, 3, 5, -6, -4.5, 25, -3, 299, 899], (-8, 1024)),
+    ([-(2.0**65), 2.0**65, math.inf, -math.inf, math.nan, None], (-(2.0**63), 2.0**63)),
+    ([math.inf, -math.inf, math.nan, None], (None, None)),
+    ([1.5], (1, 2)),
+    ([-2.0], (-2, -1)),
+    ([2.0**29, 2.0**29 - 1], (2.0**28, 2.0**30)),
+])
+def test_approx_bounds_edges(spark, values, bounds):
+    df = spark.createDataFrame([(None if x is None else float(x),) for x in values] * 100, "x double")
+    assert approx_bounds(df, "x", 1.0, noise=False) == bounds
+
+
 def test_bounds_and_set_union(spark):
     df = spark.createDataFrame([(float(x),) for x in [*range(1, 1000), 1e30] + [float("nan"), float("inf")]], "x double")
     assert approx_bounds(df, "x", 1.0, noise=False)[1] == 1024
