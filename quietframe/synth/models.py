@@ -204,7 +204,7 @@ class MST(Synthesizer):
 
 
 class AIM(MST):
-    """Adaptive choice over a workload of two-way marginals with an annealed budget (arXiv 2201.12677), restricted to models that are trees:
+    """Adaptive choice over a workload of two-way marginals with an equal share of the budget in each round (arXiv 2201.12677), restricted to models that are trees:
     in each round the pair is chosen whose error exceeds what noise explains, weighted by how often its columns are in the workload."""
 
     def choose(self, df, rho, total, rng):
