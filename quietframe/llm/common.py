@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,6 +19,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quietframe-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -50,11 +51,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def free(self) -> None:
-        """Lets Spark delete the shuffle files of plans that are done, rather than when the driver happens to collect garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(self.path(name)), True)
 
