@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,18 @@ class Scratch:
         self._fs.delete(self._path(self.path(name)), True)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about `size` bytes in what runs inside; both sides of a worker's pipe hold a batch several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

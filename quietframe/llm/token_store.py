@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import Scratch, filesystem, shuffle_partitions, slices, text_or_empty
+from quietframe.llm.common import Scratch, batches_of, filesystem, shuffle_partitions, slices, text_or_empty
 from quietframe.llm.tokens import encoder
 
 MAGIC = b"QFTOK001"
@@ -178,7 +178,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int,
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [path], "n_docs": [n], "n_ids": [ids]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     dealt = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(write, "part int, path string, n_docs long, n_ids long").collect()
+    with batches_of(docs.sparkSession):
+        rows = dealt.mapInArrow(write, "part int, path string, n_docs long, n_ids long").collect()
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 
