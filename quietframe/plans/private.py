@@ -9,7 +9,7 @@ ORDER BY, LIMIT and expressions work on what was written, so collecting twice gi
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -373,14 +373,20 @@ class PrivateSession:
         p = self.plan(query)
         return exact_stage(p, self.sources.frame(p.query.relations[0].parts), order)
 
-    def execute(self, query: str | Select, *, pre_aggregated: DataFrame | pd.DataFrame | None = None, postprocess: bool = True, order: SparkColumn | None = None, noise=None) -> DataFrame:
-        """The released result, or with postprocess=False the noisy statistics behind it."""
+    def execute(self, query: str | Select, *, pre_aggregated: DataFrame | pd.DataFrame | Sequence | None = None, postprocess: bool = True, order: SparkColumn | None = None, noise=None) -> DataFrame:
+        """The released result, or with postprocess=False the noisy statistics behind it. pre_aggregated: the exact stage's rows, as a frame, or as
+        a list or array of records of which the first holds the names."""
         p = self.plan(query)
         steps = p.steps(self.privacy)
         self.odometer.check(steps)
         if pre_aggregated is None:
             exact = exact_stage(p, self.sources.frame(p.query.relations[0].parts), order)
         else:
+            if not isinstance(pre_aggregated, DataFrame | pd.DataFrame):
+                names, *records = [list(r) for r in pre_aggregated]
+                if not records:
+                    raise QueryError("pre-aggregated records must be names and then rows")
+                pre_aggregated = pd.DataFrame([[x.item() if hasattr(x, "item") else x for x in r] for r in records], columns=[str(c) for c in names])
             exact = self.spark.createDataFrame(pre_aggregated) if isinstance(pre_aggregated, pd.DataFrame) else pre_aggregated
             wanted = [*[f"group_{i}" for i in range(len(p.groups))], *p.mechanisms()]
             if sorted(exact.columns) != sorted(wanted):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import random
+import warnings
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietframe.operators.mechanisms import Laplace, discrete_laplace, rho_of
-from quietframe.synth.marginals import covariance_sums, table
+from quietframe.synth.marginals import covariance_sums, occurring, table, tables
 from quietframe.transform.columns import TableTransformer
 
 
@@ -108,7 +109,7 @@ class Synthesizer:
 
 class MWEM(Synthesizer):
     """Multiplicative weights with the exponential mechanism (Hardt, Ligett, McSherry 2012) over marginal queries, on the joint histogram of
-    each group of columns (`split_factor` columns a group)."""
+    each group of columns (`split_factor` columns a group). `q_count` adds that many random boxes, a range of each of up to `box_width` columns."""
 
     def learn(self, df, epsilon):
         k = self.options.get("split_factor") or len(self.columns)
@@ -121,6 +122,7 @@ class MWEM(Synthesizer):
             each = epsilon * 0.95 / len(groups) / rounds / 2
             width = min(self.options.get("marginal_width", 2), len(g))
             queries = [c for w in range(1, width + 1) for c in combinations(range(len(g)), w)]
+            queries += [self._box(true.shape, self.options.get("box_width", len(g)), rng) for _ in range(self.options.get("q_count", 0))]
             model = np.full(true.shape, total / true.size)
             seen: list[tuple] = []
             for _ in range(rounds):
@@ -131,13 +133,25 @@ class MWEM(Synthesizer):
                     for q2, m in seen:
                         now = self._sum(model, q2)
                         step = np.exp(np.clip((m - now) / (2 * total), -5, 5))
-                        model = model * np.expand_dims(step, tuple(i for i in range(model.ndim) if i not in q2))
+                        if isinstance(q2[0], slice):
+                            model[q2] *= step
+                        else:
+                            model = model * np.expand_dims(step, tuple(i for i in range(model.ndim) if i not in q2))
                         model *= total / model.sum()
             p = model.ravel() / model.sum()
             self.parts.append((g, model.shape, np.cumsum(p)))
 
     @staticmethod
-    def _sum(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    def _box(shape: Sequence[int], width: int, rng: np.random.Generator) -> tuple[slice, ...]:
+        some = set(rng.permutation(len(shape))[: rng.integers(1, max(1, min(width, len(shape))) + 1)].tolist())
+        ends = [sorted(rng.integers(0, n, 2).tolist()) for n in shape]
+        return tuple(slice(a, b + 1) if i in some else slice(None) for i, (a, b) in enumerate(ends))
+
+    @staticmethod
+    def _sum(x: np.ndarray, axes: tuple) -> np.ndarray:
+        """The marginal over some axes, or the count in a box of slices."""
+        if isinstance(axes[0], slice):
+            return np.asarray(x[axes].sum())
         return x.sum(axis=tuple(i for i in range(x.ndim) if i not in axes))
 
     def rows(self, n, rng):
@@ -151,25 +165,45 @@ class MWEM(Synthesizer):
 
 class MST(Synthesizer):
     """A tree of noisy two-way marginals: a third of the zCDP budget on one-way marginals, a third on choosing edges (maximum spanning tree by the
-    exponential mechanism on the error of independence), a third on measuring them. Sampling walks the tree from its root."""
+    exponential mechanism on the error of independence), a third on measuring them. Between the first two, values whose noisy count is under three
+    standard deviations become one, which sampling gives back as any of them alike. Sampling walks the tree from its root."""
 
     def learn(self, df, epsilon):
         rho = rho_of(epsilon, self.options.get("delta", 1e-9)) / 3
-        d = len(self.columns)
-        self.ones, rng = [], _rng()
+        d, rng = len(self.columns), _rng()
         sigma = math.sqrt(d / (2 * rho))
-        for c, n in zip(self.columns, self.shape, strict=True):
-            self.ones.append(_positive(_gauss(table(df, [c], [n]), sigma)))
+        noisy = [_gauss(x, sigma) for x in tables(df, self.columns, self.shape, [(i,) for i in range(d)])]
+        self.compress(noisy, 3 * sigma)
         total = max(1.0, float(np.mean([o.sum() for o in self.ones])))
-        edges = self.choose(df, rho, total, rng) if d > 1 else []
+        true = dict(zip(combinations(range(d), 2), tables(df, self.columns, self.size, list(combinations(range(d), 2)), self.maps), strict=True))
+        edges = self.choose(true, rho, total, rng) if d > 1 else []
         sigma = math.sqrt(max(1, len(edges)) / (2 * rho))
-        pairs = {e: _positive(_gauss(table(df, [self.columns[i] for i in e], [self.shape[i] for i in e]), sigma)) for e in edges}
-        # The walk: the root by its own marginal, every other column by its parent.
+        self.grow(edges, {e: _positive(_gauss(true[e], sigma)) for e in edges})
+
+    def compress(self, noisy: list[np.ndarray], least: float) -> None:
+        """ones, size, maps (new codes of columns with rare values), back (old values of each new code)."""
+        self.ones, self.size, self.maps, self.back = [], [], {}, []
+        for i, x in enumerate(noisy):
+            rare = np.flatnonzero(x < least)
+            often = np.flatnonzero(x >= least)
+            if len(rare) < 2 or not len(often):
+                self.back.append([np.array([v]) for v in range(len(x))])
+                self.ones.append(_positive(x))
+            else:
+                code = np.full(len(x), len(often))
+                code[often] = np.arange(len(often))
+                self.maps[i] = code.tolist()
+                self.back.append([*(np.array([v]) for v in often), rare])
+                self.ones.append(_positive(np.append(x[often], max(0.0, x[rare].sum()))))
+            self.size.append(len(self.ones[-1]))
+
+    def grow(self, edges: list[tuple[int, int]], pairs: dict[tuple[int, int], np.ndarray]) -> None:
+        """The walk: the root by its own marginal, every other column by its parent."""
         self.walk, seen = [(0, None, np.cumsum(self.ones[0] / self.ones[0].sum()))], {0}
-        while len(seen) < d:
+        while len(seen) < len(self.columns):
             e = next((e for e in edges if (e[0] in seen) != (e[1] in seen)), None)
             if e is None:
-                i = next(i for i in range(d) if i not in seen)
+                i = next(i for i in range(len(self.columns)) if i not in seen)
                 self.walk.append((i, None, np.cumsum(self.ones[i] / self.ones[i].sum())))
                 seen.add(i)
                 continue
@@ -179,13 +213,14 @@ class MST(Synthesizer):
             self.walk.append((b, a, np.cumsum(m / m.sum(1, keepdims=True), axis=1)))
             seen.add(b)
 
-    def choose(self, df, rho, total, rng) -> list[tuple[int, int]]:
+    def apart(self, e: tuple[int, int], total: float) -> np.ndarray:
+        """What a pair would be if its columns were independent."""
+        return np.outer(self.ones[e[0]] / self.ones[e[0]].sum(), self.ones[e[1]] / self.ones[e[1]].sum()) * total
+
+    def choose(self, true, rho, total, rng) -> list[tuple[int, int]]:
         d = len(self.columns)
         eps = math.sqrt(8 * rho / (d - 1))
-        error = {}
-        for a, b in combinations(range(d), 2):
-            expect = np.outer(self.ones[a] / self.ones[a].sum(), self.ones[b] / self.ones[b].sum()) * total
-            error[a, b] = float(np.abs(table(df, [self.columns[a], self.columns[b]], [self.shape[a], self.shape[b]]) - expect).sum())
+        error = {e: float(np.abs(x - self.apart(e, total)).sum()) for e, x in true.items()}
         part, edges = list(range(d)), []
         while len(edges) < d - 1:
             free = [e for e in error if part[e[0]] != part[e[1]]]
@@ -199,36 +234,67 @@ class MST(Synthesizer):
         out = np.zeros((n, len(self.columns)), np.int64)
         for i, parent, cdf in self.walk:
             u = rng.random(n)
-            out[:, i] = np.minimum(np.searchsorted(cdf, u), self.shape[i] - 1) if parent is None else np.minimum((cdf[out[:, parent]] < u[:, None]).sum(1), self.shape[i] - 1)
+            out[:, i] = np.minimum(np.searchsorted(cdf, u), self.size[i] - 1) if parent is None else np.minimum((cdf[out[:, parent]] < u[:, None]).sum(1), self.size[i] - 1)
+        for i, back in enumerate(self.back):
+            first = np.array([v[0] for v in back])
+            many = out[:, i] == len(back) - 1 if len(back[-1]) > 1 else np.zeros(n, bool)
+            out[:, i] = first[out[:, i]]
+            out[many, i] = rng.choice(back[-1], int(many.sum()))
         return out
 
 
 class AIM(MST):
-    """Adaptive choice over a workload of two-way marginals with an equal share of the budget in each round (arXiv 2201.12677), restricted to models that are trees:
-    in each round the pair is chosen whose error exceeds what noise explains, weighted by how often its columns are in the workload."""
+    """Adaptive and iterative choice over a workload of two-way marginals (arXiv 2201.12677), restricted to models that are trees. In each round
+    the exponential mechanism picks the pair whose distance from the model exceeds what noise explains, weighted by the workload; the pair is
+    measured, measurements of one pair are averaged by their precision, and the model is made anew. A round that moved the model by less than its
+    noise doubles the next ones' budget. Pairs that would close a circle, or are larger than `max_cells`, aren't candidates."""
 
-    def choose(self, df, rho, total, rng):
-        d = len(self.columns)
+    def learn(self, df, epsilon):
+        rho, rng, d = rho_of(epsilon, self.options.get("delta", 1e-9)), _rng(), len(self.columns)
+        rounds = self.options.get("rounds") or 16 * d
+        sigma, eps = math.sqrt(rounds / (1.8 * rho)), math.sqrt(0.8 * rho / rounds)
+        if d == 1:
+            sigma = math.sqrt(1 / (2 * rho))
+        left = rho - d / (2 * sigma**2)
+        self.compress([_gauss(x, sigma) for x in tables(df, self.columns, self.shape, [(i,) for i in range(d)])], -math.inf)
+        sure = [1 / sigma**2] * d  # the precision of each one-way marginal
         weight = {e: 1.0 for e in combinations(range(d), 2)} | {tuple(sorted(self.columns.index(c) for c in w)): 2.0 for w in self.options.get("workload", [])}
+        if any(len(e) != 2 for e in weight):
+            raise ValueError("the workload must be pairs of columns")
         cells = self.options.get("max_cells", 10_000)
-        part, edges, left = list(range(d)), [], rho
-        score = {}
-        for a, b in weight:
-            if self.shape[a] * self.shape[b] <= cells:
-                expect = np.outer(self.ones[a] / self.ones[a].sum(), self.ones[b] / self.ones[b].sum()) * total
-                score[a, b] = float(np.abs(table(df, [self.columns[a], self.columns[b]], [self.shape[a], self.shape[b]]) - expect).sum())
-        for k in range(d - 1):
-            free = [e for e in score if part[e[0]] != part[e[1]]]
+        wanted = [e for e in weight if self.shape[e[0]] * self.shape[e[1]] <= cells]
+        if len(wanted) < len(weight):
+            warnings.warn(f"{len(weight) - len(wanted)} pairs of more than {cells} cells can't be measured", stacklevel=2)
+        true = dict(zip(wanted, tables(df, self.columns, self.shape, wanted), strict=True))
+        part, edges, pairs, precision = list(range(d)), [], {}, {}
+        self.measured = []
+        while left > 1e-12 * rho:
+            free = [e for e in true if e in pairs or part[e[0]] != part[e[1]]]
             if not free:
                 break
-            share = left / (d - 1 - k)
-            left -= share
-            noise = math.sqrt(2 / math.pi) * math.sqrt((d - 1) / (2 * rho))
-            e = free[exponential_mechanism([weight[x] * (score[x] - noise * self.shape[x[0]] * self.shape[x[1]]) for x in free], math.sqrt(8 * share), 2.0, rng)]
-            edges.append(e)
-            old, new = part[e[1]], part[e[0]]
-            part = [new if p == old else p for p in part]
-        return edges
+            if left < 2 * (1 / (2 * sigma**2) + eps**2 / 8):  # the last round takes what is left
+                sigma, eps = math.sqrt(1 / (1.8 * left)), math.sqrt(0.8 * left)
+            left -= 1 / (2 * sigma**2) + eps**2 / 8
+            total = max(1.0, float(np.mean([o.sum() for o in self.ones])))
+            model = {e: pairs[e] if e in pairs else self.apart(e, total) for e in free}
+            noise = math.sqrt(2 / math.pi) * sigma
+            e = free[exponential_mechanism([weight[x] * (np.abs(true[x] - model[x]).sum() - noise * true[x].size) for x in free], eps, max(weight.values()), rng)]
+            seen, w = _gauss(true[e], sigma), 1 / sigma**2
+            self.measured.append((e, sigma))
+            if e not in pairs:
+                edges.append(e)
+                old, new = part[e[1]], part[e[0]]
+                part = [new if p == old else p for p in part]
+            before = precision.get(e, 0.0)
+            pairs[e] = (pairs[e] * before + seen * w) / (before + w) if before else seen
+            precision[e] = before + w
+            for axis, i in ((1, e[0]), (0, e[1])):
+                p = w / seen.shape[axis]
+                self.ones[i] = _positive((self.ones[i] * sure[i] + seen.sum(axis) * p) / (sure[i] + p))
+                sure[i] += p
+            if np.abs(pairs[e] - model[e]).sum() <= noise * seen.size:
+                sigma, eps = sigma / 2, eps * 2
+        self.grow(edges, {e: _positive(x) for e, x in pairs.items()})
 
 
 def _positive(x: np.ndarray) -> np.ndarray:
@@ -237,41 +303,61 @@ def _positive(x: np.ndarray) -> np.ndarray:
 
 
 class AggregateSeeded(Synthesizer):
-    """Noisy counts of all attributes and pairs of them (reporting_length 1 or 2; more is refused), thresholded; rows are grown from them attribute by
-    attribute, each drawn by the counts of pairs with what the row has."""
+    """Noisy counts of all combinations of up to `reporting_length` attributes, 3 by default; each length has an equal share of epsilon. Of single
+    attributes every value is counted, of longer combinations those that occur, and a count is released above a threshold that a combination of
+    one row passes with probability delta at most. Rows are grown attribute by attribute, each drawn by the counts of the longest combinations
+    with what the row has, which back off to those of pairs and single attributes as far as noise outweighs them."""
 
     def learn(self, df, epsilon):
-        width = self.options.get("reporting_length", 2)
-        if width not in (1, 2):
-            raise ValueError("reporting_length must be 1 or 2: longer combinations aren't counted")
-        width = min(width, len(self.columns))
+        d = len(self.columns)
+        self.width = max(1, min(self.options.get("reporting_length", 3), d))
         delta = self.options.get("delta") or 1e-6
-        each = epsilon / width
-        self.singles = [_positive(_laplace(table(df, [c], [n]), len(self.columns) / each)) for c, n in zip(self.columns, self.shape, strict=True)]
-        self.pairs = {}
-        if width > 1:
-            some = list(combinations(range(len(self.columns)), 2))
-            scale = len(some) / each
-            cut = scale * math.log(1 / (2 * delta))
-            for a, b in some:
-                x = _laplace(table(df, [self.columns[a], self.columns[b]], [self.shape[a], self.shape[b]]), scale)
-                self.pairs[a, b] = np.where(x > cut, x, 0)
+        each = epsilon / self.width
+        self.singles = [_positive(_laplace(x, d / each)) for x in tables(df, self.columns, self.shape, [(i,) for i in range(d)])]
+        self.longer, self.scale = {}, {}
+        wanted = [some for w in range(2, self.width + 1) for some in combinations(range(d), w)]
+        for some, (cell, n) in zip(wanted, occurring(df, self.columns, self.shape, wanted), strict=True):
+            of = math.comb(d, len(some))
+            scale = self.scale[len(some)] = of / each
+            x = _laplace(n, scale)
+            kept = x > 1 + scale * math.log(of * (self.width - 1) / (2 * delta))
+            self.longer[some] = (cell[kept], x[kept])
 
     def aggregates(self) -> pd.DataFrame:
         """The released counts: attributes, values, count."""
         out = [(self.columns[i], str(v), float(n)) for i, s in enumerate(self.singles) for v, n in enumerate(s) if n > 0]
-        out += [(f"{self.columns[a]};{self.columns[b]}", f"{v};{w}", float(x[v, w])) for (a, b), x in self.pairs.items() for v, w in zip(*np.nonzero(x), strict=True)]
+        for some, (cell, n) in self.longer.items():
+            values = np.stack(np.unravel_index(cell, [self.shape[i] for i in some]), 1) if len(cell) else np.zeros((0, len(some)), np.int64)
+            out += [(";".join(self.columns[i] for i in some), ";".join(map(str, v)), float(x)) for v, x in zip(values.tolist(), n.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["attributes", "values", "count"])
 
+    def _counts(self, some: tuple[int, ...], rows: np.ndarray) -> np.ndarray:
+        """Released counts of each row's values of some[:-1] with every value of some[-1]."""
+        cell, n = self.longer[some]
+        key = np.zeros(len(rows), np.int64)
+        for i in some[:-1]:
+            key = key * self.shape[i] + rows[:, i]
+        key = key[:, None] * self.shape[some[-1]] + np.arange(self.shape[some[-1]])[None, :]
+        if not len(cell):
+            return np.zeros(key.shape)
+        at = np.minimum(np.searchsorted(cell, key), len(cell) - 1)
+        return np.where(cell[at] == key, n[at], 0.0)
+
     def rows(self, n, rng):
         out = np.zeros((n, len(self.columns)), np.int64)
         for i in range(len(self.columns)):
-            logs = np.tile(np.log(self.singles[i] + 1e-9), (n, 1)) * max(1, 1 - i)
-            for j in range(i):
-                if (j, i) in self.pairs:
-                    logs = logs + np.log(self.pairs[j, i] + 1e-3)[out[:, j]] - np.log(self.singles[i] + 1e-3)
-            p = np.exp(logs - logs.max(1, keepdims=True))
-            out[:, i] = np.minimum((np.cumsum(p / p.sum(1, keepdims=True), axis=1) < rng.random(n)[:, None]).sum(1), self.shape[i] - 1)
+            p = np.tile(self.singles[i] / self.singles[i].sum(), (n, 1))
+            if self.width > 1 and i:
+                logs = np.log(p + 1e-12)
+                for j in range(i):
+                    x = self._counts((j, i), out) + self.scale[2] * p
+                    logs += np.log(x / x.sum(1, keepdims=True) + 1e-12) - np.log(p + 1e-12)
+                p = np.exp(logs - logs.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+            for w in range(3, min(self.width, i + 1) + 1):
+                found = [self._counts((*some, i), out) + self.scale[w] * p for some in combinations(range(i), w - 1)]
+                p = sum(x / x.sum(1, keepdims=True) for x in found) / len(found)
+            out[:, i] = np.minimum((np.cumsum(p, axis=1) < rng.random(n)[:, None]).sum(1), self.shape[i] - 1)
         return out
 
 

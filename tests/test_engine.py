@@ -5,6 +5,7 @@ import random
 import statistics
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given
@@ -21,6 +22,7 @@ from quietframe.plans.metadata import Metadata
 from quietframe.plans.parser import ParseError, parse, parse_batch, parse_expression
 from quietframe.plans.private import Analyzer, PrivateSession, QueryError, read, sensitivity_of, without_noise
 from quietframe.streaming.budgeted import release_each_batch
+from quietframe.synth import marginals as S
 from quietframe.synth.models import DPLinearRegression, Synthesizer, exponential_mechanism, pmse_ratio, private_covariance, sra, wasserstein
 from quietframe.transform.columns import Anonymization, Bin, Chain, Clamp, DateTime, Drop, Label, Log, MinMax, OneHot, Standard, TableTransformer, infer_column_types, infer_pii, is_ids
 
@@ -158,6 +160,12 @@ def test_pre_aggregated(spark):
     with pytest.raises(QueryError):
         s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", pre_aggregated=rows.drop(columns="keycount"))
     assert "keycount" in s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", pre_aggregated=rows, postprocess=False).columns
+    records = [("group_0", "keycount", "count_all"), ("x", 100, 300), ("y", 2, 2)]
+    for some in (records, [list(r) for r in records], np.array(records, dtype=object)):
+        assert [r["n"] for r in s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", pre_aggregated=some, noise=without_noise).collect()] == [300]
+    for bad in ([], records[:1], [("group_0", "keycount"), ("x", 1)]):
+        with pytest.raises((QueryError, ValueError)):
+            s.execute("SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", pre_aggregated=bad)
 
 
 def test_heavy_keys_are_limited_before_the_shuffle(spark, people):
@@ -218,7 +226,7 @@ def test_transforms_come_back(spark):
     assert infer_pii(["a@b.c"]) == "email" and is_ids([3, 1, 2]) and not is_ids([1, 5])
 
 
-@pytest.mark.parametrize("name,options", [("mwem", {"iterations": 6}), ("mst", {}), ("aim", {}), ("pacsynth", {}), ("quail", {"target": "b"})])
+@pytest.mark.parametrize("name,options", [("mwem", {"iterations": 6}), ("mwem", {"iterations": 8, "q_count": 20}), ("mst", {}), ("aim", {}), ("pacsynth", {}), ("quail", {"target": "b"})])
 def test_synthesizers_keep_marginals(spark, name, options):
     rng = random.Random(2)
     rows = [(a := rng.choice([0, 0, 0, 1]), a if rng.random() < 0.9 else 1 - a, rng.choice("xyz")) for _ in range(4000)]
@@ -230,6 +238,52 @@ def test_synthesizers_keep_marginals(spark, name, options):
         assert set(s.sample_conditional(spark, 50, "a = 1").toPandas().a) == {1}
 
 
+def test_all_tables_in_one_pass(spark):
+    rows = [(i % 3, i % 5, i % 2 if i % 7 else None) for i in range(200)] + [(9, 0, 0)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    wanted = [(0,), (2,), (0, 1), (1, 2), (0, 1, 2)]
+    for some, x, (cell, n) in zip(wanted, S.tables(df, ["a", "b", "c"], [3, 5, 2], wanted), S.occurring(df, ["a", "b", "c"], [3, 5, 2], wanted), strict=True):
+        brute = np.zeros([[3, 5, 2][i] for i in some])
+        for r in rows:
+            if all(r[i] is not None and r[i] < [3, 5, 2][i] for i in some):
+                brute[tuple(r[i] for i in some)] += 1
+        assert (x == brute).all() and (brute.ravel()[cell] == n).all() and n.sum() == brute.sum()
+    assert S.tables(df, ["a", "b", "c"], [2, 5, 2], [(0, 2)], {0: [1, 0, 1]})[0].sum() == sum(r[2] is not None and r[0] < 3 for r in rows)
+    assert S.tables(df.limit(0), ["a"], [3], [(0,)])[0].tolist() == [0, 0, 0]
+    with pytest.raises(ValueError, match="large"):
+        S.tables(df, ["a", "b"], [10_000, 10_000], [(0, 1)])
+
+
+def test_seeded_rows_keep_triples(spark):
+    """c is the exclusive or of a and b: no pair says anything of it."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(a := rng.randrange(2), b := rng.randrange(2), a ^ b) for _ in range(4000)], "a int, b int, c int")
+    s = Synthesizer.create("pacsynth", epsilon=6.0).fit(df, categorical_columns=["a", "b", "c"])
+    out = s.sample(spark, 2000).toPandas()
+    assert ((out.a ^ out.b) == out.c).mean() > 0.9
+    found = s.aggregates()
+    assert set(found["attributes"]) == {"a", "b", "c", "a;b", "a;c", "b;c", "a;b;c"} and (found["attributes"] == "a;b;c").sum() == 4
+    short = Synthesizer.create("pacsynth", epsilon=6.0, reporting_length=2).fit(df, categorical_columns=["a", "b", "c"]).sample(spark, 2000).toPandas()
+    assert ((short.a ^ short.b) == short.c).mean() < 0.65
+
+
+def test_trees_compress_and_adapt(spark):
+    rng = random.Random(5)
+    rows = [(v := rng.choice([0, 1, 2]) if rng.random() < 0.98 else rng.randrange(3, 60), v % 2, rng.randrange(3), rng.randrange(2)) for _ in range(5000)]
+    df = spark.createDataFrame(rows, "v int, odd int, x int, y int")
+    mst = Synthesizer.create("mst", epsilon=2.0).fit(df, ordinal_columns=["v", "odd", "x", "y"])
+    assert mst.shape[0] > 40 and mst.size[0] < 20  # rare values became one
+    out = mst.sample(spark, 3000).toPandas()
+    assert (out.v > 2).mean() == pytest.approx(0.02, abs=0.03) and out.v.max() > 2
+    aim = Synthesizer.create("aim", epsilon=2.0, workload=[["v", "odd"]]).fit(df, ordinal_columns=["v", "odd", "x", "y"])
+    steps = [sigma for _, sigma in aim.measured]
+    assert steps == sorted(steps, reverse=True) and steps[-1] < steps[0] and (0, 1) in [e for e, _ in aim.measured]
+    out = aim.sample(spark, 3000).toPandas()
+    assert (out.v % 2 == out.odd).mean() > 0.8
+    with pytest.warns(UserWarning, match="measured"):
+        Synthesizer.create("aim", epsilon=2.0, max_cells=10).fit(df, ordinal_columns=["v", "odd", "x", "y"])
+
+
 def test_neural_names_say_what_they_need():
     for name in ("dpctgan", "patectgan", "dpgan", "pategan"):
         with pytest.raises(NotImplementedError, match="torch"):
@@ -271,6 +325,13 @@ def test_stream_releases_each_batch(spark, people, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and s.odometer.k == 2
+    # A new session takes the account up: the next batch would go over its cap, and nothing of it is released.
+    people.filter("pid IS NOT NULL").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    again = PrivateSession(spark, META, Privacy(1.0, 1e-5), cap=s.odometer.spent[0] * 1.1)
+    q = release_each_batch(stream, again, "PEOPLE", "SELECT sex, COUNT(*) AS n FROM PEOPLE GROUP BY sex", str(tmp_path / "out"), checkpointLocation=str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="budget"):
+        q.processAllAvailable()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and again.odometer.steps == s.odometer.steps
 
 
 def _value(v):
