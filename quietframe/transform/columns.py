@@ -209,8 +209,20 @@ class Log(Transformer):
         return F.exp(cols[0])
 
 
-#: The date and time texts that are read.
-FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "dd.MM.yyyy", "yyyy/MM/dd", "yyyyMMdd")
+#: The date and time texts that are read. A time without a date is one of the first of January 1970.
+FORMATS = (
+    "yyyy-MM-dd",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "yyyy-MM-dd hh:mm:ss[.SSSSSS] a",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX][XX]",
+    "HH:mm:ss[.SSSSSS]",
+    "MM/dd/yyyy",
+    "MM/dd/yyyy HH:mm:ss",
+    "dd.MM.yyyy",
+    "yyyy/MM/dd",
+    "yyyyMMdd",
+)
 
 
 class DateTime(Transformer):
@@ -229,7 +241,7 @@ class DateTime(Transformer):
 
     def inverse(self, cols):
         t = F.timestamp_micros((F.round(cols[0] * 86_400_000_000.0) + F.unix_micros(F.lit(self.epoch).cast("timestamp"))).cast("bigint"))
-        return F.date_format(t, FORMATS[1]) if self.kind == "string" else t.cast(self.kind)
+        return F.date_format(t, "yyyy-MM-dd HH:mm:ss") if self.kind == "string" else t.cast(self.kind)
 
 
 class Chain(Transformer):
@@ -356,6 +368,17 @@ class TableTransformer:
         return cls(by)
 
 
+class NoTransformer(TableTransformer):
+    """Every column as it is."""
+
+    def __init__(self, odometer=None):
+        super().__init__({}, odometer)
+
+    def fit(self, df: DataFrame, epsilon: float = 0.0) -> TableTransformer:
+        self.by = {c: Identity() for c in df.columns}
+        return super().fit(df, epsilon)
+
+
 #: Patterns of personal data.
 PII = {"datetime": r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?$", "uuid4": r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "ssn": r"^\d{3}-\d{2}-\d{4}$"}
 

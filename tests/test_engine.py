@@ -24,7 +24,7 @@ from quietframe.plans.private import Analyzer, PrivateSession, QueryError, read,
 from quietframe.streaming.budgeted import release_each_batch
 from quietframe.synth import marginals as S
 from quietframe.synth.models import DPLinearRegression, Synthesizer, exponential_mechanism, pmse_ratio, private_covariance, sra, wasserstein
-from quietframe.transform.columns import Anonymization, Bin, Chain, Clamp, DateTime, Drop, Label, Log, MinMax, OneHot, Standard, TableTransformer, infer_column_types, infer_pii, is_ids
+from quietframe.transform.columns import Anonymization, Bin, Chain, Clamp, DateTime, Drop, Label, Log, MinMax, NoTransformer, OneHot, Standard, TableTransformer, infer_column_types, infer_pii, is_ids
 
 META = {"": {"PEOPLE": {"PEOPLE": {"max_ids": 1, "pid": {"type": "int", "private_id": True}, "age": {"type": "int", "lower": 0, "upper": 100}, "income": {"type": "float", "lower": 0, "upper": 1000}, "sex": {"type": "string"}, "free": {"type": "float"}, "married": {"type": "boolean"}}}}}
 
@@ -217,6 +217,14 @@ def test_transforms_come_back(spark):
     assert [r[0] for r in df.select(b.transform(F.col("x"))[0]).collect()][-1] == 3
     t = DateTime().fit(df, "d")
     assert df.select(t.inverse(t.transform(F.col("d"))).alias("v")).first()["v"].startswith("2020-01-01")
+    day = 19358.5  # noon of 2023-01-01
+    texts = {"2023-01-01": 19358.0, "2023-01-01 12:00:00": day, "2023-01-01 12:00:00.5": day + 0.5 / 86400, "2023-01-01 12:00:00 PM": day, "2023-01-01 12:00:00.500000 PM": day + 0.5 / 86400, "2023-01-01T12:00:00": day, "2023-01-01T12:00:00.250": day + 0.25 / 86400, "12:00:00": 0.5, "12:00:00.5": 0.5 + 0.5 / 86400, "01/01/2023": 19358.0, "01/01/2023 12:00:00": day, "01.01.2023": 19358.0, "2023/01/01": 19358.0, "20230101": 19358.0, "soon": None}
+    for r in spark.createDataFrame(list(texts.items()), "d string, v double").select("d", "v", t.transform(F.col("d"))[0].alias("x")).collect():
+        assert r["x"] == (None if r["v"] is None else pytest.approx(r["v"], abs=1e-9)), r
+    zones = spark.createDataFrame([("2023-01-01T12:00:00+02:00",), ("2023-01-01T10:00:00Z",), ("2023-01-01T12:00:00.000+0200",)], "d string")
+    assert len({r[0] for r in zones.select(t.transform(F.col("d"))[0]).collect()}) == 1
+    same = NoTransformer().fit(df)
+    assert same.inverse(same.transform(df)).collect() == df.collect() and same.transform(df).columns == df.columns
     assert Standard(lower=0, upper=19, epsilon=5.0).fit(df, "x").deviation > 0
     table = TableTransformer({"x": MinMax(lower=0, upper=19), "s": Label(), "d": Drop(), "i": Anonymization("email")}).fit(df)
     back = table.inverse(table.transform(df))
