@@ -173,30 +173,42 @@ class MST(Synthesizer):
         d, rng = len(self.columns), _rng()
         sigma = math.sqrt(d / (2 * rho))
         noisy = [_gauss(x, sigma) for x in tables(df, self.columns, self.shape, [(i,) for i in range(d)])]
-        self.compress(noisy, 3 * sigma)
+        self.compress(noisy, sigma, 3 * sigma)
         total = max(1.0, float(np.mean([o.sum() for o in self.ones])))
         true = dict(zip(combinations(range(d), 2), tables(df, self.columns, self.size, list(combinations(range(d), 2)), self.maps), strict=True))
         edges = self.choose(true, rho, total, rng) if d > 1 else []
         sigma = math.sqrt(max(1, len(edges)) / (2 * rho))
-        self.grow(edges, {e: _positive(_gauss(true[e], sigma)) for e in edges})
-
-    def compress(self, noisy: list[np.ndarray], least: float) -> None:
-        """ones, size, maps (new codes of columns with rare values), back (old values of each new code)."""
-        self.ones, self.size, self.maps, self.back = [], [], {}, []
+        seen = {e: _gauss(true[e], sigma) for e in edges}
+        for e, x in seen.items():
+            self.blend(e, x, sigma)
+        self.grow(edges, {e: _positive(x) for e, x in seen.items()})
+
+    def compress(self, noisy: list[np.ndarray], sigma: float, least: float) -> None:
+        """ones and their precision, size, maps (new codes of columns with rare values), back (old values of each new code)."""
+        self.ones, self.sure, self.size, self.maps, self.back = [], [], [], {}, []
         for i, x in enumerate(noisy):
             rare = np.flatnonzero(x < least)
             often = np.flatnonzero(x >= least)
             if len(rare) < 2 or not len(often):
                 self.back.append([np.array([v]) for v in range(len(x))])
                 self.ones.append(_positive(x))
+                self.sure.append(np.full(len(x), 1 / sigma**2))
             else:
                 code = np.full(len(x), len(often))
                 code[often] = np.arange(len(often))
                 self.maps[i] = code.tolist()
                 self.back.append([*(np.array([v]) for v in often), rare])
                 self.ones.append(_positive(np.append(x[often], max(0.0, x[rare].sum()))))
+                self.sure.append(np.append(np.full(len(often), 1 / sigma**2), 1 / (sigma**2 * len(rare))))
             self.size.append(len(self.ones[-1]))
 
+    def blend(self, e: tuple[int, int], seen: np.ndarray, sigma: float) -> None:
+        """The one-way marginals of a pair, averaged by precision with the sums of its noisy table."""
+        for axis, i in ((1, e[0]), (0, e[1])):
+            p = 1 / (sigma**2 * seen.shape[axis])
+            self.ones[i] = _positive((self.ones[i] * self.sure[i] + seen.sum(axis) * p) / (self.sure[i] + p))
+            self.sure[i] = self.sure[i] + p
+
     def grow(self, edges: list[tuple[int, int]], pairs: dict[tuple[int, int], np.ndarray]) -> None:
         """The walk: the root by its own marginal, every other column by its parent."""
         self.walk, seen = [(0, None, np.cumsum(self.ones[0] / self.ones[0].sum()))], {0}
@@ -256,8 +268,7 @@ class AIM(MST):
         if d == 1:
             sigma = math.sqrt(1 / (2 * rho))
         left = rho - d / (2 * sigma**2)
-        self.compress([_gauss(x, sigma) for x in tables(df, self.columns, self.shape, [(i,) for i in range(d)])], -math.inf)
-        sure = [1 / sigma**2] * d  # the precision of each one-way marginal
+        self.compress([_gauss(x, sigma) for x in tables(df, self.columns, self.shape, [(i,) for i in range(d)])], sigma, -math.inf)
         weight = {e: 1.0 for e in combinations(range(d), 2)} | {tuple(sorted(self.columns.index(c) for c in w)): 2.0 for w in self.options.get("workload", [])}
         if any(len(e) != 2 for e in weight):
             raise ValueError("the workload must be pairs of columns")
@@ -288,10 +299,7 @@ class AIM(MST):
             before = precision.get(e, 0.0)
             pairs[e] = (pairs[e] * before + seen * w) / (before + w) if before else seen
             precision[e] = before + w
-            for axis, i in ((1, e[0]), (0, e[1])):
-                p = w / seen.shape[axis]
-                self.ones[i] = _positive((self.ones[i] * sure[i] + seen.sum(axis) * p) / (sure[i] + p))
-                sure[i] += p
+            self.blend(e, seen, sigma)
             if np.abs(pairs[e] - model[e]).sum() <= noise * seen.size:
                 sigma, eps = sigma / 2, eps * 2
         self.grow(edges, {e: _positive(x) for e, x in pairs.items()})

@@ -285,7 +285,7 @@ def test_trees_compress_and_adapt(spark):
     assert (out.v > 2).mean() == pytest.approx(0.02, abs=0.03) and out.v.max() > 2
     aim = Synthesizer.create("aim", epsilon=2.0, workload=[["v", "odd"]]).fit(df, ordinal_columns=["v", "odd", "x", "y"])
     steps = [sigma for _, sigma in aim.measured]
-    assert steps == sorted(steps, reverse=True) and steps[-1] < steps[0] and (0, 1) in [e for e, _ in aim.measured]
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(steps, steps[1:], strict=False)) and steps[-1] < steps[0] and (0, 1) in [e for e, _ in aim.measured]
     out = aim.sample(spark, 3000).toPandas()
     assert (out.v % 2 == out.odd).mean() > 0.8
     with pytest.warns(UserWarning, match="measured"):
