@@ -49,8 +49,10 @@ class Scratch:
         return self.path(name)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it again: its lineage is cut and a lost executor costs nothing that was written."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Writes df and reads it again: its lineage is cut and a lost executor costs nothing that was written. The shuffle files of the
+        write go at its end, not when the driver happens to collect garbage."""
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -58,17 +60,23 @@ class Scratch:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
-    """Arrow batches of about `size` bytes in what runs inside; both sides of a worker's pipe hold a batch several times over."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting in what runs inside."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(size))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about `size` bytes in what runs inside; both sides of a worker's pipe hold a batch several times over."""
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size)):
+        yield
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

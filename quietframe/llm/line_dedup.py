@@ -225,10 +225,13 @@ def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, short: boo
     place = F.struct("ord", "uid", "line")
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
     edges = prefix_edges(postings(docs, rarity_classes(counts)), scratch, partitions, block)
-    dealt = dealt_candidates(edges, firsts.select("key", "n"), scratch, tokens, most)
-    few = 0 < dealt.limit(lookup + 1).count() <= lookup
-    sets = sets_by_lookup(docs, dealt) if few else sets_by_join(docs, dealt, firsts)
-    sets = by_blocks(sets, "ord", "uid", "line", "hashes").repartition(partitions, "group").sortWithinPartitions("group")
+
+    def sets_of(rows: DataFrame, name: str = "") -> DataFrame:
+        few = 0 < rows.limit(lookup + 1).count() <= lookup
+        return sets_by_lookup(docs, rows) if few else sets_by_join(docs, rows, firsts)
+
+    dealt = dealt_candidates(edges, firsts.select("key", "n"), sets_of, scratch, partitions, block, tokens, most)
+    sets = by_blocks(sets_of(dealt), "ord", "uid", "line", "hashes").repartition(partitions, "group").sortWithinPartitions("group")
     matches = scratch.table(sets.mapInArrow(_matches, "key long, ord long, uid long, line int, similarity double"), "matches")
     earliest = matches.groupBy("key").agg(F.min(F.struct("ord", "uid", "line", "similarity")).alias("match"))
     verdict = firsts.join(earliest, "key", "left").filter("rows > 1 OR match IS NOT NULL")

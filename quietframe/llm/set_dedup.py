@@ -107,13 +107,13 @@ def postings(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
 
 def print_edges(rows: DataFrame, scratch: Scratch, partitions: int) -> DataFrame:
-    """Candidate edges (a, b) of keys whose fingerprints are within operator 8's radius, by Golay keys."""
+    """Candidate edges (a, b, token) of keys whose fingerprints are within operator 8's radius, by Golay keys; token: a number of the edge's own."""
     prints = scratch.table(rows.filter("n > 0").groupBy("fp").agg(F.min("key").alias("rep"), F.min("doc_id").alias("first")), "prints")
     edges = simhash.links(prints.select("fp", "first"), scratch, partitions)
     left, right = prints.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), prints.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b"))
     across = edges.join(left, "a").join(right, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     equal = rows.filter("n > 0").select("fp", "key").distinct().join(prints.select("fp", "rep"), "fp").filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    return across.unionByName(equal)
+    return across.unionByName(equal).withColumn("token", F.xxhash64("a", "b"))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -149,13 +149,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from edge_rows(a, b)
 
 
-def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, partitions: int, tokens: int, most: int) -> DataFrame:
+def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, partitions: int, block: int, tokens: int, most: int) -> DataFrame:
     """Edges (a, b) of keys that link, enough to keep every connection by links, from candidate edges."""
     one = rows.groupBy("key").agg(F.min("uid").alias("own"), F.max("n").alias("n"))
-    dealt = dealt_candidates(edges, one, scratch, tokens, most)
-    dealt = scratch.table(dealt.join(one.select("key", "own"), "key").withColumnRenamed("key", "wanted"), "owners")
-    # Whose texts are read again: few rows are broadcast (Spark checks the written table's size), many are joined by a shuffle.
-    sets = by_blocks(full_sets(docs.join(dealt, F.col("uid") == F.col("own"))), "hashes")
+
+    def sets_of(some: DataFrame, name: str) -> DataFrame:
+        # Whose texts are read again: few rows are broadcast (Spark checks the written table's size), many are joined by a shuffle.
+        some = scratch.table(some.join(one.select("key", "own"), "key").withColumnRenamed("key", "wanted"), name)
+        return full_sets(docs.join(some, F.col("uid") == F.col("own")))
+
+    dealt = dealt_candidates(edges, one, sets_of, scratch, partitions, block, tokens, most)
+    sets = by_blocks(sets_of(dealt, "owners"), "hashes")
     return scratch.table(sets.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_links, "a long, b long"), "links")
 
 
@@ -170,7 +174,7 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, t
         counts[r["key"]] = r["n"]
     rows = scanned.filter("count IS NULL").drop("count")
     edges = prefix_edges(postings(texts, rarity_classes(counts)), scratch, partitions, block).unionByName(print_edges(rows, scratch, partitions))
-    links = exact_links(edges, rows, texts, scratch, partitions, tokens, most)
+    links = exact_links(edges, rows, texts, scratch, partitions, block, tokens, most)
     labels = scratch.table(simhash.components(links, scratch), "labels")
     distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
     labelled = scratch.table(distinct.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("component")), "labelled")

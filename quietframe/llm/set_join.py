@@ -5,6 +5,10 @@ Postings of those tokens meet by token. Under each, the length and positional fi
 is kept as edges of a spanning forest, never as all pairs. The components of these candidate edges hold every link. Their sets are dealt by
 component to be compared exactly, a large component in blocks: every pair of blocks is a task's work of its own, of bounded size.
 
+64 slots say little of a large set, so in a large corpus chance meetings under common tokens make one component of most large sets, and dealing
+it in blocks would take the square of its size. The edges of a component of more than one block are therefore drawn again first: where its sets met,
+they meet once more with bitmaps that have a slot for every token (wide_parity), which lose nothing either, and only what is left is dealt.
+
 A token with more than `block` postings isn't searched where it was met: it is written down, and in a second round its postings are dealt in
 blocks, every pair of blocks to a group of its own.
 """
@@ -25,7 +29,7 @@ TOKEN_BITS = 40
 COUNTERS = 1 << 16
 #: Fingerprints of sets of over SMALL tokens together must be within RADIUS bits, where postings carry them.
 RADIUS, SMALL = 20, 100
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64())])
 
 
 def needed(n, t: float = THRESHOLD):
@@ -62,6 +66,26 @@ def parity(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (mix64(hashes) >> np.uint64(58)), first).view(np.int64)
 
 
+def wide_parity(tokens: np.ndarray) -> bytes:
+    """As parity, of one set, with as many slots as it has tokens or up to twice as many: a power of two, 64 at least. The half of one with twice the
+    slots, folded on the other half, is the one with half of them."""
+    slots = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((mix64(tokens) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_marks(sets: DataFrame) -> DataFrame:
+    """key, n, wide (wide_parity) of sets (key, hashes), each once."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("wide", pa.binary())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in tokens], pa.int32()), pa.array([wide_parity(x) for x in tokens], pa.binary())], schema=schema)
+
+    return sets.select("key", "hashes").mapInArrow(emit, "key long, n int, wide binary").dropDuplicates(["key"])
+
+
 def unseen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
     """The first of each key that isn't in seen, which takes them in and is emptied where it grows large."""
     out = np.zeros(len(keys), bool)
@@ -93,6 +117,36 @@ class Postings:
         return fits if self.side is None else fits & ((self.side[i] < 0) | (self.side[i] != self.side[j]))
 
 
+class Marks:
+    """Wide bitmaps of some sets; may(x, left): which of left can match set x."""
+
+    def __init__(self, n: np.ndarray, side: np.ndarray, wide: np.ndarray):
+        self.n, self.side = n.astype(np.int64), side
+        self.size, self.at, self.rows = np.array([len(x) for x in wide]), np.zeros(len(n), np.int64), {}
+        for size in np.unique(self.size).tolist():
+            which = np.flatnonzero(self.size == size)
+            self.at[which] = np.arange(len(which))
+            self.rows[size] = np.frombuffer(b"".join(wide[which].tolist()), "<u8").reshape(len(which), -1)
+
+    def may(self, x: int, left: np.ndarray) -> np.ndarray:
+        out, size = np.zeros(len(left), bool), int(self.size[x])
+        own = self.rows[size][self.at[x]]
+        # Sets that match have sizes within a factor of 1.25, so bitmaps of one length or of the next.
+        for other in (size // 2, size, size * 2):
+            some = np.flatnonzero(self.size[left] == other)
+            if not len(some):
+                continue
+            mine, theirs = own, self.rows[other][self.at[left[some]]]
+            if other < size:
+                mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+            elif other > size:
+                theirs = theirs[:, : len(mine)] ^ theirs[:, len(mine) :]
+            n, total = self.n[left[some]], self.n[left[some]] + self.n[x]
+            differ = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+            out[some] = np.minimum(np.minimum(n, self.n[x]), (total - differ) // 2) >= overlap(total)
+        return out & ((self.side[left] != self.side[x]) | (self.side[x] < 0))
+
+
 def forest(size: int, linked) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges of a spanning forest, found breadth-first; linked(x, left): which of left link with x."""
     left, out = np.arange(size), []
@@ -109,61 +163,65 @@ def forest(size: int, linked) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def edge_rows(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def edge_rows(a: list[np.ndarray], b: list[np.ndarray], token: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Edges, each once; token: under which they were found."""
     if a and len(x := np.concatenate(a)):
         y = np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=_EDGE)
+        rows = [np.minimum(x, y), np.maximum(x, y), *([] if token is None else [np.concatenate(token).view(np.int64)])]
+        rows = np.unique(np.stack(rows), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], schema=pa.schema(list(_EDGE)[: len(rows)]))
 
 
 def token_edges(group: np.ndarray, post: Postings, few: int = 12) -> Iterator[pa.RecordBatch]:
-    """Edges that keep what possibly matches within each group (numbers that stand together) connected."""
+    """Edges (a, b, token) that keep what possibly matches within each group (numbers that stand together) connected."""
     cut = np.flatnonzero(group[1:] != group[:-1]) + 1
     starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(group)]])
     size = ends - starts
     small = np.repeat(size <= few, size)
-    a, b = [], []
+    a, b, token = [], [], []
     for d in range(1, few):
         i = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (post.key[d:] != post.key[:-d]))
         i = i[post.may(i, i + d)]
         a.append(post.key[i])
         b.append(post.key[i + d])
+        token.append(post.token[i])
     for s, e in zip(starts[size > few].tolist(), ends[size > few].tolist(), strict=True):
         at = s + np.unique(post.key[s:e], return_index=True)[1]  # equal keys are one set
         for x, y in forest(len(at), lambda x, left, at=at: post.may(at[x], at[left])):
             a.append(post.key[at[x]])
             b.append(post.key[at[y]])
-    yield from edge_rows(a, b)
+            token.append(post.token[at[x]])
+    yield from edge_rows(a, b, token)
 
 
 def prefix_edges(post: DataFrame, scratch: Scratch, partitions: int, block: int) -> DataFrame:
-    """Candidate edges (a, b) from postings: packed, key, mark and, if they have it, fp."""
+    """Candidate edges (a, b, token) from postings: packed, key, mark and, if they have it, fp."""
     carried = post.columns
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in capped_groups(batches, len(carried), 20, block):
             if isinstance(got, tuple):
-                yield pa.RecordBatch.from_arrays([pa.array([got[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([got[1]], pa.int64())], names=["a", "b", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([got[0]], pa.int64()), pa.array([got[1]], pa.int64())], names=["a", "b", "token", "rows"])
                 continue
             rows = Postings(got)
             for edges in token_edges(rows.token, rows):
-                yield pa.RecordBatch.from_arrays([*edges.columns, pa.nulls(edges.num_rows, pa.int64())], names=["a", "b", "rows"])
+                yield pa.RecordBatch.from_arrays([*edges.columns, pa.nulls(edges.num_rows, pa.int64())], names=["a", "b", "token", "rows"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, side, *cols in whole_groups(batches, 2 + len(carried)):
             yield from token_edges(group, Postings(cols, side))
 
     own = F.shiftright("packed", 20)
-    found = scratch.table(post.repartition(partitions, own).sortWithinPartitions("packed").mapInArrow(first, "a long, b long, rows long"), "candidates")
-    edges = found.filter("b IS NOT NULL").select("a", "b")
-    large = found.filter("b IS NULL").select(F.col("a").alias("token"), F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    found = scratch.table(post.repartition(partitions, own).sortWithinPartitions("packed").mapInArrow(first, "a long, b long, token long, rows long"), "candidates")
+    edges = found.filter("b IS NOT NULL").select("a", "b", "token")
+    large = found.filter("b IS NULL").select("token", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
     if large.isEmpty():
         return edges
     dealt = post.join(scratch.table(large, "large"), own == F.col("token")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
     dealt = dealt.select(F.xxhash64("token", "lo", "hi").alias("group"), side.alias("side"), *carried)
-    more = dealt.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(second, "a long, b long")
+    more = dealt.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(second, "a long, b long, token long")
     return edges.unionByName(scratch.table(more, "more_candidates"))
 
 
@@ -203,17 +261,47 @@ class Index:
         return ok & ((self.side[left] != self.side[x]) | (self.side[x] < 0))
 
 
-def dealt_candidates(edges: DataFrame, sizes: DataFrame, scratch: Scratch, tokens: int, most: int) -> DataFrame:
-    """key, label, blocks of every key in a candidate edge; label: its component; blocks: in how many a component is dealt, so that one has about
-    `tokens` tokens and `most` sets at most. sizes: key, n of all sets."""
+def _dealt(edges: DataFrame, sizes: DataFrame, scratch: Scratch, name: str, tokens: int, most: int) -> DataFrame:
     from quietframe.llm.simhash import components
 
-    labels = scratch.table(components(edges, scratch), "candidate_labels")
+    labels = scratch.table(components(edges, scratch), f"{name}_labels")
     # components() has every node but the label itself.
     every = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct().withColumnRenamed("node", "key")
-    every = scratch.table(every.join(sizes, "key"), "wanted")
+    every = scratch.table(every.join(sizes, "key"), f"{name}_wanted")
     blocks = every.groupBy("label").agg(F.ceil(F.greatest(F.sum("n") / tokens, F.count(F.lit(1)) / most)).cast("int").alias("blocks"))
-    return scratch.table(every.join(blocks, "label").select("key", "label", "blocks"), "dealt")
+    return scratch.table(every.join(blocks, "label").select("key", "label", "blocks"), f"{name}_dealt")
+
+
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group: edges that keep what can match by wide bitmaps connected within each group."""
+    for group, key, side, n, wide in whole_groups(batches, 5):
+        cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+        a, b = [], []
+        for s, e in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(group)]]).tolist(), strict=True):
+            if e - s > 1:
+                for x, y in forest(e - s, Marks(n[s:e], side[s:e], wide[s:e]).may):
+                    a.append(key[s + x])
+                    b.append(key[s + y])
+        yield from edge_rows(a, b)
+
+
+def dealt_candidates(edges: DataFrame, sizes: DataFrame, sets_of, scratch: Scratch, partitions: int, block: int, tokens: int, most: int) -> DataFrame:
+    """key, label, blocks of every key in a candidate edge (a, b, token); label: its component; blocks: in how many a component is dealt, so that one
+    has about `tokens` tokens and `most` sets at most. sizes: key, n of all sets; sets_of(rows, name): key, hashes of those with a row of key, label, blocks.
+
+    A component of several blocks is drawn again: of each token that made an edge in it, the sets with such an edge are compared by wide bitmaps, in
+    blocks of `block` sets. Sets that match met under their first common token, and each has an edge of that token there, so they meet again."""
+    dealt = _dealt(edges, sizes, scratch, "candidate", tokens, most)
+    large = dealt.filter("blocks > 1")
+    if large.isEmpty():
+        return dealt
+    met = edges.join(large.select(F.col("key").alias("a")), "a").select(F.col("token").alias("label"), F.explode(F.array("a", "b")).alias("key"))
+    met = scratch.table(met.distinct(), "met")
+    blocks = met.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    marks = scratch.table(wide_marks(sets_of(large, "marked")), "marks")
+    again = by_blocks(met.join(blocks, "label").join(marks, "key"), "n", "wide")
+    again = scratch.table(again.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_met_again, "a long, b long"), "met_again")
+    return scratch.table(dealt.filter("blocks = 1").unionByName(_dealt(again, sizes, scratch, "again", tokens, most)), "dealt")
 
 
 def by_blocks(sets: DataFrame, *carried: str) -> DataFrame:
