@@ -55,8 +55,11 @@ class Scratch:
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        self._fs.delete(self._path(self.path(name)), True)
+    def drop(self, *names: str) -> None:
+        """names: tables or files, or patterns such as "edges*"; those that aren't there are passed over."""
+        for name in names:
+            for found in self._fs.globStatus(self._path(self.path(name))) or []:
+                self._fs.delete(found.getPath(), True)
 
 
 @contextmanager

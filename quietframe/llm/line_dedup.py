@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietframe.llm.common import Scratch, column_bytes, mix64, owned_shingles, shingle_hashes, shuffle_partitions, slices, unique_rows, whole_groups, word_hashes, word_spans
-from quietframe.llm.set_join import COUNTERS, TOKEN_BITS, Index, by_blocks, dealt_candidates, packed_postings, parity, prefix_edges, prefixes, rarity_classes, unseen
+from quietframe.llm.set_join import COUNTERS, TOKEN_BITS, Index, by_blocks, dealt_candidates, in_passes, packed_postings, parity, prefix_edges, prefixes, rarity_classes, share, union, unseen
 
 WIDTH = 5
 _NOT_WORD = np.ones(256, bool)
@@ -214,9 +214,10 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MATCH.types, strict=True)], schema=_MATCH)
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, short: bool = False, block: int = 20_000, tokens: int = 1 << 20, most: int = 4_000, lookup: int = 1 << 20) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, short: bool = False, block: int = 20_000, tokens: int = 1 << 20, most: int = 4_000, lookup: int = 1 << 20, at_once: int | None = None) -> DataFrame:
     """ord, uid, line, by_ord, by_line, similarity of every line that goes, with its earliest match. docs: ord, uid, text. block: postings of a token
-    that one task compares; tokens and most: tokens and sets of a block, of which a task compares two; lookup: how many candidates are broadcast."""
+    that one task compares; tokens and most: tokens and sets of a block, of which a task compares two; lookup: how many candidates are broadcast;
+    at_once: bytes that go out in one pass."""
     scanned = scratch.table(scan_lines(docs, short), "scan")
     lines = scanned.filter("count IS NULL").drop("count")
     counts = np.zeros(COUNTERS, np.int64)
@@ -224,16 +225,20 @@ def removed_lines(docs: DataFrame, scratch: Scratch, partitions: int, short: boo
         counts[r["key"]] = r["n"]
     place = F.struct("ord", "uid", "line")
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"))
-    edges = prefix_edges(postings(docs, rarity_classes(counts)), scratch, partitions, block)
+    at_once = at_once or share(int(counts.sum()))
+    edges = prefix_edges(postings(docs, rarity_classes(counts)), scratch, partitions, block, at_once)
 
     def sets_of(rows: DataFrame, name: str = "") -> DataFrame:
         few = 0 < rows.limit(lookup + 1).count() <= lookup
         return sets_by_lookup(docs, rows) if few else sets_by_join(docs, rows, firsts)
 
-    dealt = dealt_candidates(edges, firsts.select("key", "n"), sets_of, scratch, partitions, block, tokens, most)
-    sets = by_blocks(sets_of(dealt), "ord", "uid", "line", "hashes").repartition(partitions, "group").sortWithinPartitions("group")
-    matches = scratch.table(sets.mapInArrow(_matches, "key long, ord long, uid long, line int, similarity double"), "matches")
-    earliest = matches.groupBy("key").agg(F.min(F.struct("ord", "uid", "line", "similarity")).alias("match"))
+    dealt = dealt_candidates(edges, firsts.select("key", "n"), sets_of, scratch, partitions, block, tokens, most, at_once)
+    scratch.drop("candidates", "more_candidates*", "marks", "met", "meetings")
+    matches = []
+    for k, (some, own) in enumerate(in_passes(dealt, 8 * F.col("n").cast("bigint"), at_once)):
+        sets = by_blocks(sets_of(some), "ord", "uid", "line", "hashes").filter(own).repartition(partitions, "group").sortWithinPartitions("group")
+        matches.append(scratch.table(sets.mapInArrow(_matches, "key long, ord long, uid long, line int, similarity double"), f"matches{k}"))
+    earliest = union(matches).groupBy("key").agg(F.min(F.struct("ord", "uid", "line", "similarity")).alias("match"))
     verdict = firsts.join(earliest, "key", "left").filter("rows > 1 OR match IS NOT NULL")
     own = F.struct(F.col("first.ord").alias("ord"), F.col("first.uid").alias("uid"), F.col("first.line").alias("line"), F.lit(1.0).alias("similarity"))
     verdict = scratch.table(verdict.select("key", F.least(own, F.coalesce("match", own)).alias("by")), "verdict")

@@ -14,7 +14,7 @@ are what links reach.
    probability of about 0.0001). What is left under a token is kept as a spanning forest, never as all pairs.
 3. The candidates' components hold every link. The sets of their documents go out once for each task that meets them, dealt by component,
    and there an inverted index counts what two sets share: the exact check. A component of more than `tokens` tokens is dealt in blocks, and
-   every pair of blocks is a task's work of its own, of bounded size. The exact links' spanning forest gives the components that count.
+   every pair of blocks is a task's work of its own, of bounded size. Groups go out in passes (see set_join). The exact links' spanning forest gives the components that count.
 
 Skew. Copies are reduced to one set in each task before any shuffle. A token with more than `block` postings isn't compared where it was
 met: it is named, and in a second round its postings are dealt in blocks, every pair of blocks to a group of its own.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quietframe.llm import simhash
 from quietframe.llm.common import Scratch, column_bytes, mix64, owned_shingles, row_uid, shuffle_partitions, slices, text_or_empty, whole_groups, word_hashes, word_spans
-from quietframe.llm.set_join import COUNTERS, TOKEN_BITS, Index, by_blocks, dealt_candidates, edge_rows, forest, packed_postings, parity, prefix_edges, prefixes, rarity_classes, unseen
+from quietframe.llm.set_join import COUNTERS, TOKEN_BITS, Index, by_blocks, dealt_candidates, edge_rows, forest, in_passes, packed_postings, parity, prefix_edges, prefixes, rarity_classes, share, union, unseen
 
 WIDTH = 5
 
@@ -149,7 +149,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from edge_rows(a, b)
 
 
-def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, partitions: int, block: int, tokens: int, most: int) -> DataFrame:
+def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, partitions: int, block: int, tokens: int, most: int, at_once: int) -> DataFrame:
     """Edges (a, b) of keys that link, enough to keep every connection by links, from candidate edges."""
     one = rows.groupBy("key").agg(F.min("uid").alias("own"), F.max("n").alias("n"))
 
@@ -158,14 +158,18 @@ def exact_links(edges: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scr
         some = scratch.table(some.join(one.select("key", "own"), "key").withColumnRenamed("key", "wanted"), name)
         return full_sets(docs.join(some, F.col("uid") == F.col("own")))
 
-    dealt = dealt_candidates(edges, one, sets_of, scratch, partitions, block, tokens, most)
-    sets = by_blocks(sets_of(dealt, "owners"), "hashes")
-    return scratch.table(sets.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_links, "a long, b long"), "links")
+    dealt = dealt_candidates(edges, one, sets_of, scratch, partitions, block, tokens, most, at_once)
+    scratch.drop("candidates", "more_candidates*", "edges", "more_edges", "marks", "met", "meetings")
+    links = []
+    for k, (some, own) in enumerate(in_passes(dealt, 8 * F.col("n").cast("bigint"), at_once)):
+        sets = by_blocks(sets_of(some, f"owners{k}"), "hashes").filter(own)
+        links.append(scratch.table(sets.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_links, "a long, b long"), f"links{k}"))
+    return union(links)
 
 
-def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, tokens: int = 1 << 21, most: int = 4_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, tokens: int = 1 << 21, most: int = 4_000, at_once: int | None = None) -> DataFrame:
     """doc_id, uid, component_id and component (a number of its own) of every row. block: postings of a token that one task compares; tokens and
-    most: tokens and sets of a block, of which a task compares two."""
+    most: tokens and sets of a block, of which a task compares two; at_once: bytes that go out in one pass."""
     scratch, partitions = Scratch(spark, "sets"), shuffle_partitions(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_uid().alias("uid"), text_or_empty().alias("text"))
     scanned = scratch.table(scan_texts(texts), "scan")
@@ -173,8 +177,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, block: int = 20_000, t
     for r in scanned.filter("count IS NOT NULL").groupBy("key").agg(F.sum("count").alias("n")).collect():
         counts[r["key"]] = r["n"]
     rows = scanned.filter("count IS NULL").drop("count")
-    edges = prefix_edges(postings(texts, rarity_classes(counts)), scratch, partitions, block).unionByName(print_edges(rows, scratch, partitions))
-    links = exact_links(edges, rows, texts, scratch, partitions, block, tokens, most)
+    at_once = at_once or share(int(counts.sum()))
+    edges = prefix_edges(postings(texts, rarity_classes(counts)), scratch, partitions, block, at_once).unionByName(print_edges(rows, scratch, partitions))
+    links = exact_links(edges, rows, texts, scratch, partitions, block, tokens, most, at_once)
     labels = scratch.table(simhash.components(links, scratch), "labels")
     distinct = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
     labelled = scratch.table(distinct.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("component")), "labelled")

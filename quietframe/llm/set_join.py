@@ -11,15 +11,19 @@ they meet once more with bitmaps that have a slot for every token (wide_parity),
 
 A token with more than `block` postings isn't searched where it was met: it is written down, and in a second round its postings are dealt in
 blocks, every pair of blocks to a group of its own.
+
+Whole sets take about twice the corpus's Parquet files, and in blocks they go out several times. What is dealt therefore goes out in passes, every group
+in one of them: as many as it takes that a pass has a third of the bytes of all sets at most, so that disk follows the input, whatever is alike in it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietframe.llm.common import Scratch, capped_groups, mix64, whole_groups
@@ -29,6 +33,8 @@ TOKEN_BITS = 40
 COUNTERS = 1 << 16
 #: Fingerprints of sets of over SMALL tokens together must be within RADIUS bits, where postings carry them.
 RADIUS, SMALL = 20, 100
+#: Bytes that a pass may have in any case, and bytes of a posting.
+AT_ONCE, POSTING = 1 << 28, 32
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64())])
 
 
@@ -194,7 +200,29 @@ def token_edges(group: np.ndarray, post: Postings, few: int = 12) -> Iterator[pa
     yield from edge_rows(a, b, token)
 
 
-def prefix_edges(post: DataFrame, scratch: Scratch, partitions: int, block: int) -> DataFrame:
+def share(tokens: int) -> int:
+    """How many bytes a pass may have where all sets have so many tokens."""
+    return max(AT_ONCE, 8 * tokens // 3)
+
+
+def in_passes(rows: DataFrame, size: Column, at_once: int) -> Iterator[tuple[DataFrame, Column]]:
+    """For each pass, the rows (key, label, blocks and more) that have a group in it, and which groups of by_blocks() are its own. size: a row's bytes
+    each time that it goes out; a pass has about `at_once` bytes."""
+    count = -(-int(rows.agg(F.sum(size.cast("bigint") * F.col("blocks"))).first()[0] or 0) // at_once)
+    if count <= 1:
+        yield rows, F.lit(True)
+        return
+    i = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.pmod(F.xxhash64("label", F.least(i, j), F.greatest(i, j)), F.lit(count)))
+    for k in range(count):
+        yield rows.filter(F.array_contains(groups, F.lit(k).cast("bigint"))), F.pmod("group", F.lit(count)) == k
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def prefix_edges(post: DataFrame, scratch: Scratch, partitions: int, block: int, at_once: int) -> DataFrame:
     """Candidate edges (a, b, token) from postings: packed, key, mark and, if they have it, fp."""
     carried = post.columns
 
@@ -214,15 +242,18 @@ def prefix_edges(post: DataFrame, scratch: Scratch, partitions: int, block: int)
     own = F.shiftright("packed", 20)
     found = scratch.table(post.repartition(partitions, own).sortWithinPartitions("packed").mapInArrow(first, "a long, b long, token long, rows long"), "candidates")
     edges = found.filter("b IS NOT NULL").select("a", "b", "token")
-    large = found.filter("b IS NULL").select("token", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    large = found.filter("b IS NULL").select(F.col("token").alias("label"), "rows", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
     if large.isEmpty():
         return edges
-    dealt = post.join(scratch.table(large, "large"), own == F.col("token")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    side = F.when(F.col("lo") == F.col("hi"), -1).otherwise((F.col("i") == F.col("hi")).cast("int")).cast("byte")
-    dealt = dealt.select(F.xxhash64("token", "lo", "hi").alias("group"), side.alias("side"), *carried)
-    more = dealt.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(second, "a long, b long, token long")
-    return edges.unionByName(scratch.table(more, "more_candidates"))
+    large = scratch.table(large, "large")
+    volume = large.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] * POSTING
+    count = max(1, -(-volume // at_once))
+    more = []
+    for k in range(count):
+        dealt = by_blocks(post.join(large, own == F.col("label")), *(c for c in carried if c != "key")).filter(F.pmod("group", F.lit(count)) == k)
+        dealt = dealt.select("group", "side", *carried).repartition(partitions, "group").sortWithinPartitions("group")
+        more.append(scratch.table(dealt.mapInArrow(second, "a long, b long, token long"), f"more_candidates{k}"))
+    return union([edges, *more])
 
 
 class Index:
@@ -269,7 +300,7 @@ def _dealt(edges: DataFrame, sizes: DataFrame, scratch: Scratch, name: str, toke
     every = labels.unionByName(labels.select(F.col("label").alias("node"), "label")).distinct().withColumnRenamed("node", "key")
     every = scratch.table(every.join(sizes, "key"), f"{name}_wanted")
     blocks = every.groupBy("label").agg(F.ceil(F.greatest(F.sum("n") / tokens, F.count(F.lit(1)) / most)).cast("int").alias("blocks"))
-    return scratch.table(every.join(blocks, "label").select("key", "label", "blocks"), f"{name}_dealt")
+    return scratch.table(every.join(blocks, "label").select("key", "label", "blocks", "n"), f"{name}_dealt")
 
 
 def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +316,8 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from edge_rows(a, b)
 
 
-def dealt_candidates(edges: DataFrame, sizes: DataFrame, sets_of, scratch: Scratch, partitions: int, block: int, tokens: int, most: int) -> DataFrame:
-    """key, label, blocks of every key in a candidate edge (a, b, token); label: its component; blocks: in how many a component is dealt, so that one
+def dealt_candidates(edges: DataFrame, sizes: DataFrame, sets_of, scratch: Scratch, partitions: int, block: int, tokens: int, most: int, at_once: int) -> DataFrame:
+    """key, label, blocks, n of every key in a candidate edge (a, b, token); label: its component; blocks: in how many a component is dealt, so that one
     has about `tokens` tokens and `most` sets at most. sizes: key, n of all sets; sets_of(rows, name): key, hashes of those with a row of key, label, blocks.
 
     A component of several blocks is drawn again: of each token that made an edge in it, the sets with such an edge are compared by wide bitmaps, in
@@ -299,8 +330,12 @@ def dealt_candidates(edges: DataFrame, sizes: DataFrame, sets_of, scratch: Scrat
     met = scratch.table(met.distinct(), "met")
     blocks = met.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     marks = scratch.table(wide_marks(sets_of(large, "marked")), "marks")
-    again = by_blocks(met.join(blocks, "label").join(marks, "key"), "n", "wide")
-    again = scratch.table(again.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_met_again, "a long, b long"), "met_again")
+    meetings = scratch.table(met.join(blocks, "label").join(marks.select("key", "n", F.length("wide").alias("bytes")), "key"), "meetings")
+    drawn = []
+    for k, (some, own) in enumerate(in_passes(meetings, F.col("bytes") + POSTING, at_once)):
+        again = by_blocks(some.join(marks.select("key", "wide"), "key"), "n", "wide").filter(own)
+        drawn.append(scratch.table(again.repartition(partitions, "group").sortWithinPartitions("group").mapInArrow(_met_again, "a long, b long"), f"met_again{k}"))
+    again = union(drawn)
     return scratch.table(dealt.filter("blocks = 1").unionByName(_dealt(again, sizes, scratch, "again", tokens, most)), "dealt")
 
 
