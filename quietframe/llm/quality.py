@@ -13,7 +13,7 @@ The log weight is the plain sum of log ratios over all n-grams of a text, whatev
 
 Scale. Documents are read twice, in narrow passes; a pass of counts sends at most BUCKETS rows from each task. The label sample has at most
 `labelled` rows, chosen by a hash of doc_id. The k-th largest key is found exactly by refining a histogram over a thin table, and so is the
-place among ties; no sort of all rows, and at most 10,000 numbers reach the driver at once.
+place among ties; no sort of all rows, and at most 10,000 numbers reach the driver at once. Texts go to the workers in batches of 4 MB.
 
 Defined results. Null and empty texts have no n-grams: log weight 0. Ties of keys at the cut go to the smaller doc_id, then to any
 one of equal rows. Rows with equal doc_ids share their noise. An empty table gives no rows; without labelled good documents the target
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import LOWER, SPACE, Scratch, column_bytes, mix64, row_uid, slices, text_or_empty, word_hashes
+from quietframe.llm.common import LOWER, SPACE, Scratch, batches_of, column_bytes, mix64, row_uid, slices, text_or_empty, word_hashes
 
 BUCKETS = 1 << 16
 _KIND = np.full(256, 2, np.uint8)
@@ -186,8 +186,9 @@ def resample(docs: DataFrame, labels: DataFrame, spark: SparkSession, k: int | N
     scratch = Scratch(spark, "quality")
     sample = scratch.table(label_sample(labels, labelled), "sample")
     own = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"), row_uid().alias("uid")).join(F.broadcast(sample), "doc_id", "left")
-    ratios = log_ratios([tuple(r) for r in count(own.withColumn("quality", F.col("to_count"))).collect()])
-    weights = scratch.table(weigh(own.withColumn("quality", F.col("to_cut")), ratios).withColumn("row", F.monotonically_increasing_id()), "weights")
+    with batches_of(spark):
+        ratios = log_ratios([tuple(r) for r in count(own.withColumn("quality", F.col("to_count"))).collect()])
+        weights = scratch.table(weigh(own.withColumn("quality", F.col("to_cut")), ratios).withColumn("row", F.monotonically_increasing_id()), "weights")
     if k is None:
         cut = fit_cut(weights, care)
         k = weights.filter(F.col("log_weight") >= F.lit(cut)).count()
