@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quietframe.llm.common import Scratch, shuffle_partitions, slices, text_or_empty
+from quietframe.llm.common import Scratch, batches_of, shuffle_partitions, slices, text_or_empty
 from quietframe.llm.tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -134,4 +134,6 @@ def place(pieces: DataFrame, capacity: int, partitions: int) -> DataFrame:
 def pack(docs: DataFrame, spark: SparkSession, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece of each document."""
     scratch = Scratch(spark, "packing")
-    return place(scratch.table(cut_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, shuffle_partitions(spark))
+    with batches_of(spark):
+        pieces = scratch.table(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
+    return place(pieces, capacity, shuffle_partitions(spark))

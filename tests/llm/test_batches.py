@@ -1,8 +1,9 @@
 """Texts reach the Python workers in batches of a few MB, however many rows a batch may have."""
 
+import public_tokenizers
 import pytest
 
-from quietframe.llm import quality
+from quietframe.llm import packing, quality
 
 
 @pytest.fixture
@@ -41,3 +42,10 @@ def test_quality_batches(spark, largest):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
     assert quality.resample(docs, labels, spark).count() == 300
     assert largest() < 5 << 20
+
+
+def test_packing_batches(spark, largest):
+    docs = long_texts(spark, ("doc_id", "text"))
+    out = packing.pack(docs, spark, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    assert out.select("doc_id").distinct().count() == 300
+    assert largest() < 5 << 20
