@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietframe.llm.common import Scratch, filesystem, shuffle_partitions
+from quietframe.llm.common import Scratch, batches_of, filesystem, shuffle_partitions
 
 BLOCK = 3_000
 _PAGE, _NO_PAGE = 0x7061676500008000, 0x6E6F6E6500008000
@@ -259,6 +259,7 @@ def archive_and_read(pages: DataFrame, spark: SparkSession, least: int = 0) -> D
     folder = scratch.folder("archives")
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("ckey", capture_key(F.col("url"), F.col("page_id")))
-    captures = scratch.table(write_archives(rows, folder, least), "captures")
+    with batches_of(spark):
+        captures = scratch.table(write_archives(rows, folder, least), "captures")
     manifest = write_index(captures, folder, partitions)
     return read_captures(rows.select("ckey").distinct(), folder, manifest, partitions)

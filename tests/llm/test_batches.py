@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from quietframe.llm import packing, quality
+from quietframe.llm import packing, quality, warc
 
 
 @pytest.fixture
@@ -49,3 +49,10 @@ def test_packing_batches(spark, largest):
     out = packing.pack(docs, spark, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     assert out.select("doc_id").distinct().count() == 300
     assert largest() < 5 << 20
+
+
+def test_warc_batches(spark, largest):
+    pages = long_texts(spark, ("page_id", "html")).selectExpr("page_id", "concat('http://a.b.com/', page_id) AS url", "html")
+    out = warc.archive_and_read(pages, spark)
+    assert out.filter("record_type = 'response'").count() == 300
+    assert largest() < 5 << 20
