@@ -15,6 +15,8 @@ from pyspark.sql.types import NumericType, StringType
 ACCURACY = 10_000
 #: How far from a rank bounds are proposed, as shares of the rows; beyond these the least and the greatest value hold.
 AWAY = (2 / ACCURACY, 0.01)
+#: Groups whose bounds go to every task. Spark itself sends the rows of few groups to as few tasks.
+FEW = 20_000
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,15 @@ class Rank:
         return F.expr(f"percentile_disc({self.share}) WITHIN GROUP (ORDER BY {column})" if self.discrete else f"percentile({column}, {self.share})")
 
 
-def percentiles(df: DataFrame, ranks: dict[str, Rank], by: Iterable[str] = ()) -> DataFrame:
-    """The keys and a column for each rank, by name: a row for each group, or one row without keys. NULLs don't count; NaN is the greatest value."""
+def few_groups(df: DataFrame, by: Iterable[str]) -> bool:
+    """Runs a job over the keys, if there are any."""
+    by = list(by)
+    return not by or df.agg(F.approx_count_distinct(F.struct(*by))).first()[0] <= FEW
+
+
+def percentiles(df: DataFrame, ranks: dict[str, Rank], by: Iterable[str] = (), few: bool = True) -> DataFrame:
+    """The keys and a column for each rank, by name: a row for each group, or one row without keys. NULLs don't count; NaN is the greatest value.
+    few: bounds of all groups fit into each task; that changes no result."""
     by, columns = list(by), list(dict.fromkeys(r.column for r in ranks.values()))
     keys, at = [f"k{i}" for i in range(len(by))], {c: f"x{j}" for j, c in enumerate(columns)}
     types = {c: df.select(c).schema[0].dataType for c in columns}
@@ -41,7 +50,7 @@ def percentiles(df: DataFrame, ranks: dict[str, Rank], by: Iterable[str] = ()) -
         if not keys:
             return rows.crossJoin(F.broadcast(few))
         right, on = few.withColumnsRenamed({k: f"r_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]
-        return rows.join(right, on).drop(*[f"r_{k}" for k in keys])
+        return rows.join(F.broadcast(right) if few else right, on).drop(*[f"r_{k}" for k in keys])
 
     shares = {x: list(dict.fromkeys(f"{end}(CAST({r.share} AS double) {sign} {a}D, {to})" for r in ranks.values() if at[r.column] == x for a in AWAY for sign, end, to in (("-", "greatest", "0D"), ("+", "least", "1D")))) for x in at.values()}
     sketch = rows.groupBy(*keys).agg(*[F.expr(f"percentile_approx({x}, array({', '.join(s)}), {ACCURACY})").alias(x) for x, s in shares.items()], *[f(x).alias(f"{x}_{f.__name__}") for x in shares for f in (F.min, F.max)])

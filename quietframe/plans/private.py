@@ -8,11 +8,14 @@ ORDER BY, LIMIT and expressions work on what was written, so collecting twice gi
 
 from __future__ import annotations
 
+import dataclasses
+import functools
 import random
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ from pyspark.sql.window import Window
 
 from quietframe.functions.render import quote, render, render_select
 from quietframe.operators.mechanisms import Mechanism, OdometerHeterogeneous, Privacy, compose
+from quietframe.operators.quantiles import Rank, few_groups, percentiles
 from quietframe.plans.ast import Binary, Call, Case, Column, Item, Literal, Node, Ranking, Scalar, Select, Star, Table, is_aggregate
 from quietframe.plans.metadata import NUMERIC, ColumnInfo, Metadata, TableInfo
 from quietframe.plans.parser import parse
@@ -427,19 +431,75 @@ def read(spark: SparkSession, query: str | Select, sources: Sources | dict) -> D
     q = parse(query) if isinstance(query, str) else query
     src = sources if isinstance(sources, Sources) else Sources(spark, sources)
     frames: dict[str, DataFrame] = {}
+    made: dict[tuple[str, ...], DataFrame] = {}
 
     def table(t: Table) -> str:
         view = "t_" + "_".join(t.parts).lower().replace(" ", "_")
-        frames[view] = src.frame(t.parts)
+        frames[view] = made[t.parts] if t.parts in made else src.frame(t.parts)
         return "{" + view + "}" + ("" if t.alias else f" AS {quote(t.parts[-1])}")
 
-    text = render_select(_escaped(q), table=table)
-    return spark.sql(text, **frames)
+    def run(q: Select) -> DataFrame:
+        text = render_select(q, table=table)
+        return spark.sql(text, **frames)
+
+    q = _escaped(q)
+    mended = _percentiles_beside(q, run, made)
+    return run(mended).toDF(*run(q).columns) if made else run(q)
+
+
+def _percentiles_beside(q: Select, run: Callable[[Select], DataFrame], made: dict[tuple[str, ...], DataFrame]) -> Select:
+    """The query with its percentiles, and those of queries that it reads from, from tables beside the others, which are put into made: a row for
+    each group, from operators.quantiles. Left as they are: percentiles in scalar subqueries and of what gives other rows each time."""
+
+    def walk(x, f: Callable[[Node], Node | None]):
+        if isinstance(x, Node):
+            if (y := f(x)) is not None:
+                return y
+            return dataclasses.replace(x, **{c.name: walk(getattr(x, c.name), f) for c in dataclasses.fields(x)})
+        return tuple(walk(y, f) for y in x) if isinstance(x, tuple) else x
+
+    def own(x, f: Callable[[Node], Node | None]):
+        return walk(x, lambda n: n if isinstance(n, Select) else f(n))
+
+    q = dataclasses.replace(q, relations=walk(q.relations, lambda n: n if isinstance(n, Scalar) else _percentiles_beside(n, run, made) if isinstance(n, Select) else None))
+    calls: dict[Call, str] = {}
+    own((q.items, q.having, q.order), lambda n: calls.setdefault(n, f"p{len(calls)}") and n if isinstance(n, Call) and n.name.startswith("PERCENTILE_") and len(n.args) == 2 else None)
+    if not calls or not q.relations:
+        return q
+
+    def key(g: Node) -> Node:
+        """What a group is by: a number or a name may stand for an item, a name only where no column has it."""
+        if isinstance(g, Literal) and type(g.value) is int and 1 <= g.value <= len(q.items):
+            return q.items[g.value - 1].expr
+        item = next((i.expr for i in q.items if isinstance(g, Column) and len(g.parts) == 1 and i.alias and i.alias.lower() == g.name.lower()), None)
+        if item is not None:
+            try:
+                run(Select((Item(g),), q.relations))
+            except AnalysisException:
+                return item
+        return g
+
+    try:
+        keys = [key(g) for g in q.group]
+        base = run(Select((*[Item(k, f"g{i}") for i, k in enumerate(keys)], *[Item(c.args[0], f"v{i}") for i, c in enumerate(calls)]), q.relations, q.where))
+        if not base._jdf.queryExecution().analyzed().deterministic():
+            return q
+        ranks = {n: Rank(f"v{i}", render(c.args[1]), c.name == "PERCENTILE_DISC") for i, (c, n) in enumerate(calls.items())}
+        by = [f"g{i}" for i in range(len(keys))]
+        few = few_groups(base, by)
+        found = percentiles(base, ranks, by, few)
+    except AnalysisException:
+        return q  # it is wrong, which the query itself will say
+    name = f"percentiles {len(made)}"
+    made[(name,)] = F.broadcast(found) if few else found
+    tests = [Binary("<=>", k, Column((name, f"g{i}"))) for i, k in enumerate(keys)]
+    where = functools.reduce(lambda a, b: Binary("AND", a, b), [*([q.where] if q.where is not None else []), *tests]) if tests or q.where is not None else None
+    put = {f: own(getattr(q, f), lambda n: Call("MAX", (Column((name, calls[n])),)) if n in calls else None) for f in ("items", "having", "order")}
+    return dataclasses.replace(q, relations=(*q.relations, Table((name,))), where=where, **put)
 
 
 def _escaped(q: Select) -> Select:
     """Braces in literals are doubled, since spark.sql formats its text."""
-    import dataclasses
 
     def walk(x):
         if isinstance(x, Literal) and isinstance(x.value, str):
