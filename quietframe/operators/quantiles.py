@@ -17,6 +17,8 @@ ACCURACY = 10_000
 AWAY = (2 / ACCURACY, 0.01)
 #: Groups whose bounds go to every task. Spark itself sends the rows of few groups to as few tasks.
 FEW = 20_000
+#: Rows of a group whose values may be in one buffer.
+SMALL = 100_000
 
 
 @dataclass(frozen=True)
@@ -31,10 +33,13 @@ class Rank:
         return F.expr(f"percentile_disc({self.share}) WITHIN GROUP (ORDER BY {column})" if self.discrete else f"percentile({column}, {self.share})")
 
 
-def few_groups(df: DataFrame, by: Iterable[str]) -> bool:
-    """Runs a job over the keys, if there are any."""
+def few_groups(df: DataFrame, by: Iterable[str]) -> bool | None:
+    """Whether the bounds of all groups fit into each task; None if all groups are small. Runs a job over the keys, if there are any."""
     by = list(by)
-    return not by or df.agg(F.approx_count_distinct(F.struct(*by))).first()[0] <= FEW
+    if not by:
+        return True
+    groups, largest = df.groupBy(*by).count().agg(F.count(F.lit(1)), F.max("count")).first()
+    return None if (largest or 0) <= SMALL else groups <= FEW
 
 
 def percentiles(df: DataFrame, ranks: dict[str, Rank], by: Iterable[str] = (), few: bool = True) -> DataFrame:

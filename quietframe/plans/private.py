@@ -449,7 +449,7 @@ def read(spark: SparkSession, query: str | Select, sources: Sources | dict) -> D
 
 def _percentiles_beside(q: Select, run: Callable[[Select], DataFrame], made: dict[tuple[str, ...], DataFrame]) -> Select:
     """The query with its percentiles, and those of queries that it reads from, from tables beside the others, which are put into made: a row for
-    each group, from operators.quantiles. Left as they are: percentiles in scalar subqueries and of what gives other rows each time."""
+    each group, from operators.quantiles. Left as they are: percentiles of small groups, in scalar subqueries and of what gives other rows each time."""
 
     def walk(x, f: Callable[[Node], Node | None]):
         if isinstance(x, Node):
@@ -486,7 +486,8 @@ def _percentiles_beside(q: Select, run: Callable[[Select], DataFrame], made: dic
             return q
         ranks = {n: Rank(f"v{i}", render(c.args[1]), c.name == "PERCENTILE_DISC") for i, (c, n) in enumerate(calls.items())}
         by = [f"g{i}" for i in range(len(keys))]
-        few = few_groups(base, by)
+        if (few := few_groups(base, by)) is None:
+            return q
         found = percentiles(base, ranks, by, few)
     except AnalysisException:
         return q  # it is wrong, which the query itself will say

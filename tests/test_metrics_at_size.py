@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quietframe import queries as Q
 from quietframe.evaluate import metrics as M
+from quietframe.operators import quantiles
 from quietframe.plans.parser import parse
 from quietframe.plans.private import _escaped, read, render_select
 
@@ -78,8 +79,11 @@ SQL = [
 ]
 
 
+@pytest.mark.parametrize("few", [20_000, 0])
 @pytest.mark.parametrize("text", SQL)
-def test_percentiles_in_sql_as_the_aggregate_alone(spark, text):
+def test_percentiles_in_sql_as_the_aggregate_alone(spark, text, few, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL", 0)
+    monkeypatch.setattr(quantiles, "FEW", few)
     t = spark.range(3000).select(F.when(F.col("id") % 11 > 0, F.rand(5)).alias("x"), (F.col("id") % 17).cast("int").alias("y"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("g"), F.col("id") % 4)).alias("g"))
     tables = {"t": t, "u": spark.createDataFrame([("g1", "one"), ("g2", "two"), ("g3", "two")], "g string, name string")}
     for name, df in tables.items():
@@ -95,3 +99,9 @@ def test_few_values_of_a_group_meet_in_one_task(spark, shuffled, tmp_path):
     got = read(spark, "SELECT g, PERCENTILE_CONT(x, 0.5) AS p, COUNT(*) AS n FROM t GROUP BY g", {"t": spark.read.parquet(str(tmp_path / "t"))})
     assert sorted(r["n"] for r in got.collect()) == [200_000] * 3
     assert (largest := shuffled()) < 2_000_000, largest
+
+
+def test_small_groups_stay_with_the_aggregate_alone(spark):
+    t = spark.range(1000).select((F.col("id") % 100).alias("g"), F.col("id").alias("x"))
+    assert quantiles.few_groups(t, ["g"]) is None and quantiles.few_groups(t, []) and quantiles.few_groups(t.limit(0), ["g"]) is None
+    assert len(read(spark, "SELECT g, PERCENTILE_CONT(x, 0.5) AS p FROM t GROUP BY g", {"t": t}).collect()) == 100
